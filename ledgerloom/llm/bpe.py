@@ -6,7 +6,9 @@ import bisect
 import heapq
 import json
 import mmap
+import re
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -22,6 +24,17 @@ from .common import as_bytes, field, map_batches, plain
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same for texts up to U+024F, whose letters, numbers and blanks are few enough to name.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_NARROW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_WIDE = regex.compile(WORD_PATTERN).findall
+_BEYOND = re.compile("[^\x00-\u024f]").search
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text without special tokens; together they are the text."""
+    return _NARROW(text) if _BEYOND(text) is None else _WIDE(text)
+
 
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file: printable Latin-1
@@ -43,10 +56,12 @@ class Vocabulary:
         ids = model["vocab"]
         self.bytes = {i: bytes(letters[c] for c in token) for token, i in ids.items()}
         self.of_byte = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.ranks: dict[int, int] = {}  # both ids of a pair in one number
+        self.made: list[int] = []  # by rank
+        for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.ranks.setdefault(ids[a] << 32 | ids[b], len(self.made))
+            self.made.append(ids[a + b])
         self.special: dict[str, int] = {}
         for token in data.get("added_tokens", []):
             if token["single_word"] or token["lstrip"] or token["rstrip"]:
@@ -63,19 +78,18 @@ class Vocabulary:
         """Ids of a word: again and again the adjacent pair of the lowest rank is merged, the
         first of equal ones. Long words use a heap over a linked list, which gives the same."""
         ids = [self.of_byte[b] for b in word]
-        merges = self.merges
-        if len(ids) > 48:
+        if len(ids) > 64:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = None
-            for i, pair in enumerate(zip(ids, ids[1:])):  # noqa: B905
-                found = merges.get(pair)
-                if found is not None and (best is None or found < best[0]):
-                    best = (found, i)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [best[0][1]]
+        get, none = self.ranks.get, len(self.made)
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            ids[i] = new = self.made[least]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | new, none)
+            if i < len(ranks):
+                ranks[i] = get(new << 32 | ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -85,8 +99,8 @@ class Vocabulary:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := self.merges.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j], found[1]))
+            if j < n and (rank := self.ranks.get(ids[i] << 32 | ids[j])) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[j], self.made[rank]))
 
         for i in range(n - 1):
             offer(i)
@@ -123,15 +137,16 @@ class Lexicon:
         states, edges, words, ids, self.root = struct.unpack_from("<5I", view, 4)
         at = 24
 
-        def part(kind: str, n: int) -> np.ndarray:
+        def part(kind: str, n: int) -> memoryview:
             nonlocal at
-            out = np.frombuffer(view, kind, n, at)
-            at += (out.nbytes + 3) // 4 * 4
+            size = n * (4 if kind == "I" else 1)
+            out = view[at : at + size].cast(kind)
+            at += (size + 3) // 4 * 4
             return out
 
-        self.first, self.final = part("<u4", states + 1), part("u1", states)
-        self.label, self.target, self.number = part("u1", edges), part("<u4", edges), part("<u4", edges)
-        self.offset, self.ids = part("<u4", words + 1), part("<u4", ids)
+        self.first, self.final = part("I", states + 1), part("B", states)
+        self.label, self.target, self.number = part("B", edges), part("I", edges), part("I", edges)
+        self.offset, self.ids = part("I", words + 1), part("I", ids)
         self.states, self.words = states, words
 
     @classmethod
@@ -198,14 +213,17 @@ class Lexicon:
     def rank(self, word: bytes) -> int:
         """The word's place among all sorted words; -1 if it isn't one."""
         state, total = self.root, 0
-        first, label = self.first, self.label
+        first, label, number, target = self.first, self.label, self.number, self.target
         for byte in word:
-            a, b = int(first[state]), int(first[state + 1])
-            edge = bisect.bisect_left(label, byte, a, b)
-            if edge == b or label[edge] != byte:
+            edge, end = first[state], first[state + 1]
+            if end - edge > 8:
+                edge = bisect.bisect_left(label, byte, edge, end)
+            while edge < end and label[edge] < byte:
+                edge += 1
+            if edge == end or label[edge] != byte:
                 return -1
-            total += int(self.number[edge])
-            state = int(self.target[edge])
+            total += number[edge]
+            state = target[edge]
         return total if self.final[state] else -1
 
     def get(self, word: bytes) -> bytes | None:
@@ -217,10 +235,9 @@ class Lexicon:
 class Encoder:
     """Encodes whole texts: special tokens first, then words, by memo, lexicon or exact merges."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_words: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_words: int = 300_000):
         self.vocabulary, self.lexicon, self.memo_words = vocabulary, lexicon, memo_words
         self.memo: dict[str, bytes] = {}
-        self.words = regex.compile(WORD_PATTERN).findall
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
         self.table = vocabulary.bytes
@@ -230,7 +247,7 @@ class Encoder:
         found = self.lexicon.get(data) if self.lexicon is not None else None
         if found is None:
             ids = self.vocabulary.merge(data)
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            found = array("I", ids).tobytes()
         if len(self.memo) >= self.memo_words:  # only what is kept for speed is bounded
             self.memo.clear()
         if len(data) <= 64:
@@ -252,7 +269,7 @@ class Encoder:
             if special:
                 out.append(struct.pack("<I", self.vocabulary.special[piece]))
             else:
-                out += [get(w) or self._ids(w) for w in self.words(piece)]
+                out += [get(w) or self._ids(w) for w in split_words(piece)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -266,7 +283,6 @@ def frequent_words(docs: DataFrame, text_col: str, n: int, special: list[str], f
     schema = T.StructType([field("word", T.StringType()), field("times", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = regex.compile(WORD_PATTERN).findall
         cut = regex.compile("|".join(map(regex.escape, special))).split if special else lambda t: [t]
         counts: Counter = Counter()
 
@@ -276,7 +292,7 @@ def frequent_words(docs: DataFrame, text_col: str, n: int, special: list[str], f
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for piece in cut(text or ""):
-                    counts.update(words(piece))
+                    counts.update(split_words(piece))
                 if len(counts) >= flush:
                     yield out()
                     counts.clear()

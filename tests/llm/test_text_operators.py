@@ -155,6 +155,14 @@ def test_bpe_equals_the_library(spark, sf_dir):
     assert bpe.encode_texts(docs_of(spark, []), path).count() == 0
 
 
+def test_narrow_words_equal_the_pattern():
+    every = [chr(c) for c in range(0x250)]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(every), "".join(every), "a".join(every), *["".join(rng.choice([*every[:200], *"'stlvred  \n"], 80)) for _ in range(3000)]]
+    for text in texts:
+        assert bpe._NARROW(text) == bpe._WIDE(text)
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     words = {w.encode(): [i, i + 1] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "é", " the", "a"])}
     block = bpe.Lexicon.build(words)
