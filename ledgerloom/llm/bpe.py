@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, field, map_batches, plain
+from .common import as_bytes, field, map_batches, materialize, plain
 
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -277,7 +277,7 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, text_col: str, n: int, special: list[str], flush: int = 200_000) -> list[str]:
-    """The ``n`` most frequent words over all texts, of equal ones the smaller. Each task counts
+    """The ``n`` most frequent words over all texts that occur twice or more, of equal ones the smaller. Each task counts
     on its own and hands over what it has counted so far whenever it holds ``flush`` words."""
     source = plain(docs, text_col)
     schema = T.StructType([field("word", T.StringType()), field("times", T.LongType())])
@@ -299,8 +299,14 @@ def frequent_words(docs: DataFrame, text_col: str, n: int, special: list[str], f
         yield out()
 
     total = source.mapInArrow(run, schema).groupBy("word").agg(F.sum("times").alias("times"))
-    usable = total.filter((F.octet_length("word") > 1) & (F.octet_length("word") <= 64))
-    return [r["word"] for r in usable.orderBy(F.desc("times"), "word").limit(n).collect()]
+    counted = materialize(total.filter((F.col("times") > 1) & F.octet_length("word").between(2, 64)))
+    sizes = counted.groupBy(F.floor(F.log2("times")).alias("power")).count().orderBy(F.desc("power")).collect()
+    least, held = 2, 0
+    for row in sizes:  # only counts from this power of two on can be among the n, so only they are sorted
+        least, held = 1 << row["power"], held + row["count"]
+        if held >= n:
+            break
+    return [r["word"] for r in counted.filter(F.col("times") >= least).orderBy(F.desc("times"), "word").limit(n).collect()]
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 1 << 15) -> DataFrame:
