@@ -186,11 +186,12 @@ def find_personal_data(
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
+        ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
         rows = [examine(t) for t in texts]
         spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
         seen = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("instance", pa.int64()), ("pattern", pa.int64())]))
         kinds = [*[pa.int64()] * 4, spans, seen]
-        return [*[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())]
+        return [*[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], pa.array([xxhash.xxh3_128_digest(f"{i}:".encode() + t) for i, t in zip(ids, texts, strict=True)], pa.binary())]
 
     found = materialize(map_batches(plain(docs, id_col, text_col), added, lambda: run, [id_col]))
     every = found.select("__row", F.explode("__mentions").alias("m")).select("__row", "m.*")
