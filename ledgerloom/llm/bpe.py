@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, field, map_batches, materialize, plain
+from .common import as_bytes, field, map_arrow, map_batches, materialize, plain
 
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -298,7 +298,7 @@ def frequent_words(docs: DataFrame, text_col: str, n: int, special: list[str], f
                     counts.clear()
         yield out()
 
-    total = source.mapInArrow(run, schema).groupBy("word").agg(F.sum("times").alias("times"))
+    total = map_arrow(source, run, schema).groupBy("word").agg(F.sum("times").alias("times"))
     counted = materialize(total.filter((F.col("times") > 1) & F.octet_length("word").between(2, 64)))
     sizes = counted.groupBy(F.floor(F.log2("times")).alias("power")).count().orderBy(F.desc("power")).collect()
     least, held = 2, 0

@@ -19,6 +19,9 @@ WORD_BYTES = bytes(
 #: Where tables go that cut a lineage, if the cluster names no shared folder.
 LOCAL_SHARED = "/tmp/checkpoints/ledgerloom"
 
+#: Rows in an Arrow batch.
+BATCH_ROWS = 1024
+
 
 def words_of(data: bytes) -> list[bytes]:
     """The words ``[0-9a-z\\x80-\\xff]+`` of a UTF-8 text after lower-casing A-Z only."""
@@ -53,6 +56,21 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` over batches of at most ``BATCH_ROWS`` rows: Spark's default of 10,000
+    whole texts a batch, once in the JVM and again in Python, is too much for a small executor."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+
+    def freed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    return df.mapInArrow(freed, schema)
+
+
 def map_batches(
     df: DataFrame, added: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], keep: list[str] | None = None
 ) -> DataFrame:
@@ -71,7 +89,7 @@ def map_batches(
             old = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip([*old, *new], arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def per_text(fn: Callable[[bytes], tuple], kinds: list[pa.DataType], text_col: str) -> Callable[[pa.RecordBatch], list[pa.Array]]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, as_bytes, field, plain, words_of
+from .common import WORD_BYTES, as_bytes, field, map_arrow, plain, words_of
 
 
 def suffix_array(symbols: np.ndarray, bits: int) -> np.ndarray:
@@ -272,7 +272,7 @@ def _search(docs: DataFrame, phrases: Phrases, text_col: str, keep: list[str], s
             old = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip([*old, pa.array(sizes, pa.int64()), spans, items], arrow, strict=True)], schema=arrow)
 
-    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])]).mapInArrow(run, schema)
+    return map_arrow(plain(docs, *dict.fromkeys([*keep, text_col])), run, schema)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -326,7 +326,7 @@ def find_contamination(
                 merged = [[{"first": a, "end": b} for a, b in merge_spans([(s["first"], s["end"]) for s in x])] for x in batch.column(at).to_pylist()]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(merged, batch.column(at).type))
 
-        found = found.mapInArrow(run, schema)
+        found = map_arrow(found, run, schema)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return found.select(*[F.col(f"`{c}`") for c in keep], F.col("__words").alias("n_words"), hit.alias("n_hit"), F.col("__spans").alias("spans"), F.array_sort("__items").alias("items"))
 
@@ -350,5 +350,5 @@ def remove_contamination(
             out = batch.select(schema.names)
             yield out.set_column(out.schema.get_field_index(text_col), out.schema.field(text_col), pa.array(texts, pa.binary()).cast(column.type))
 
-    return left.mapInArrow(run, schema).select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
+    return map_arrow(left, run, schema).select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_batches, materialize, plain
+from .common import field, map_arrow, map_batches, materialize, plain
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -310,7 +310,7 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
                     known[2] = {t: [v[0] + 1, v[1] + counts[t], 0, 0, 0.0] for t, v in known[2].items() if t in counts}
         yield out()
 
-    return plain(pages, id_col, url_col, html_col).mapInArrow(run, schema)
+    return map_arrow(plain(pages, id_col, url_col, html_col), run, schema)
 
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5, min_pages: int = 10) -> DataFrame:

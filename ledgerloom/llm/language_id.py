@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, field, map_batches, plain
+from .common import as_bytes, field, map_arrow, map_batches, plain
 
 UNKNOWN = "und"
 #: Number of n-gram features. Trigrams of bytes are hashed to them.
@@ -144,7 +144,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=schema.names)
 
     counts = np.zeros((len(languages), FEATURES))
-    found = sample.mapInArrow(run, schema).groupBy("lang", "feature").agg(F.sum("times").alias("times")).toArrow()
+    found = map_arrow(sample, run, schema).groupBy("lang", "feature").agg(F.sum("times").alias("times")).toArrow()
     counts[found.column(0).to_numpy(), found.column(1).to_numpy()] = found.column(2).to_numpy()
     return LanguageModel.fit(languages, counts)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, field, map_batches, materialize, plain
+from .common import as_bytes, field, map_arrow, map_batches, materialize, plain
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 KEY, DOC = "__line_key", "__line_doc"
@@ -128,7 +128,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
                 rows += [i] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0).take(pa.array(rows, pa.int64()))], names=[KEY, DOC])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 @dataclass
@@ -224,7 +224,7 @@ class LineIndex:
                         hit[own] = shards[s].contains([keys[i] for i in own.tolist()])
                     yield batch.filter(pa.array(hit))
 
-            hits = hits.mapInArrow(run, kinds)
+            hits = map_arrow(hits, run, kinds)
         found = hits.join(self.counts(), KEY).filter(F.col(DOC) != F.col("keeper"))
         return found.groupBy(DOC).agg(F.collect_set(KEY).alias("__line_drops"))
 

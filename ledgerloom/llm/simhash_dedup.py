@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, field, map_batches, materialize, plain
+from .common import as_bytes, field, map_arrow, map_batches, materialize, plain
 
 SEED = 42
 _CHUNK = 1 << 15
@@ -140,7 +140,7 @@ def _rotated(fp: np.ndarray, shift: int) -> np.ndarray:
     return fp if shift == 0 else (fp << np.uint64(shift)) | (fp >> np.uint64(64 - shift))
 
 
-def linked(distinct: DataFrame, errors: int = 4, slice_rows: int = 1024, chunk_pairs: int = 1 << 21) -> DataFrame:
+def linked(distinct: DataFrame, errors: int = 4, slice_rows: int = 1024, chunk_pairs: int = 1 << 20) -> DataFrame:
     """(a, b): fingerprints in one component; the links of every pair within ``errors`` bits are kept.
 
     Fingerprints that differ in at most ``errors`` bits agree in one of ``errors + 1`` blocks of
@@ -182,24 +182,33 @@ def linked(distinct: DataFrame, errors: int = 4, slice_rows: int = 1024, chunk_p
             far = np.flatnonzero(label != np.arange(len(fp)))
             return pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.array(fp[label[far]])], names=["a", "b"])
 
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
-        for batch in batches:
-            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
-            edges = np.append(0, np.flatnonzero(held[2][1:] != held[2][:-1]) + 1)  # the last cell may go on
-            if len(edges) < 2:
-                continue
+        def cut(table: list[np.ndarray], last: bool) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+            """(cells to join, what is left), a bounded number of pairs at a time; the last cell may go on."""
+            edges = np.append(0, np.flatnonzero(table[2][1:] != table[2][:-1]) + 1)
+            if last:
+                edges = np.append(edges, len(table[2]))
             work = np.cumsum(np.diff(edges).astype(np.int64) ** 2)
             begin, spent = 0, 0
             for k in range(len(work)):
                 if work[k] - spent > chunk_pairs or k == len(work) - 1:
-                    yield out([h[edges[begin] : edges[k + 1]] for h in held])
+                    yield [c[edges[begin] : edges[k + 1]] for c in table], [c[edges[k + 1] :] for c in table]
                     begin, spent = k + 1, work[k]
-            held = [h[edges[-1] :] for h in held]
-        if len(held[0]):
-            yield out(held)
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= 1 << 16:
+                table = [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = [table]
+                for cells, left in cut(table, False):
+                    yield out(cells)
+                    held = [left]
+        if held:
+            for cells, _ in cut([np.concatenate(c) for c in zip(*held, strict=True)], True):
+                yield out(cells)
 
     schema = T.StructType([field("a", T.LongType()), field("b", T.LongType())])
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

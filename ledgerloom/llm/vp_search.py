@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, materialize
+from .common import field, map_arrow, materialize
 
 _SLACK = 1e-9
 
@@ -208,7 +208,7 @@ def nearest(
             rows = [(int(sent.value[dim][0][q]), i, s) for (dim, q), pairs in best.items() for s, i in pairs]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=schema.names)
 
-        near = index.mapInArrow(run, schema)
+        near = map_arrow(index, run, schema)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
