@@ -1,0 +1 @@
+"""Analytics over temporal transaction ledgers, expressed as DataFrame transformations."""

@@ -1 +1,476 @@
-QUERIES = {}
+"""Every registered query: an operator applied to the ledger view of the given tables.
+
+Results keep to what both engines can be compared by: counts are longs, doubles are rounded to six
+places, moments are epoch microseconds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import MODEL_METRICS
+from ..functions.columns import micros
+from ..ml import models
+from ..operators import clean, enrich, graph, history, metrics, profile, rules, split, stats
+from ..sources.views import VIEW_SETTINGS as S
+from ..sources.views import ledger, table, transfers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plain(fn(spark, sf_dir))
+
+    QUERIES[fn.__name__] = run
+    return run
+
+
+def plain(df: DataFrame) -> DataFrame:
+    out = []
+    for c, t in df.dtypes:
+        x = F.col(f"`{c}`")
+        out.append((F.round(x, 6) + F.lit(0.0) if t in ("double", "float") else x.cast("long") if t in ("int", "tinyint", "smallint") else x).alias(c))
+    return df.select(*out)
+
+
+# -- the tables the queries start from ------------------------------------------
+
+
+def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw columns, with moments cut to the minute, so that many tie."""
+    src, dst = F.col("src_account").cast("long"), F.col("dst_account").cast("long")
+    region = lambda a: F.concat(F.lit("R"), F.pmod(a, F.lit(5)).cast("string"))
+    return transfers(spark, sf_dir).select(
+        F.date_format("timestamp", clean.TIMESTAMP_FORMAT).alias("timestamp"), F.pmod(src, F.lit(10)).alias("src_bank"), "src_account", F.pmod(dst, F.lit(10)).alias("dst_bank"), "dst_account",
+        (F.col("amount_paid") * F.lit(0.5)).alias("amount_received"), region(dst).alias("currency_received"), "amount_paid", region(src).alias("currency_paid"), "payment_format", "is_laundering", "txn_id",
+    )
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.clean(raw_ledger(spark, sf_dir), S)
+
+
+def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "customer").filter("c_acctbal > 0").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    raw = joined.select(
+        F.col("n_name").alias("Bank Name"), F.pmod("c_custkey", F.lit(10)).alias("Bank ID"), F.col("c_custkey").cast("string").alias("Account Number"),
+        F.col("c_name").alias("Entity ID"), F.concat("c_mktsegment", F.lit(" #"), F.col("c_custkey").cast("string")).alias("Entity Name"),
+    )
+    return enrich.clean_accounts(raw, S)
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.merge_accounts(cleaned(spark, sf_dir), dimension(spark, sf_dir))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.build_features(ledger(spark, sf_dir), S)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(spark, sf_dir).withColumn("score", F.round("amt_pct_ccy", 6))
+
+
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(scored(spark, sf_dir), S)
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node_table(graph.with_day(ledger(spark, sf_dir)), S.widths)
+
+
+# -- cleaning and enrichment ------------------------------------------------------
+
+
+@query
+def clean_ledger(spark, sf_dir):
+    return cleaned(spark, sf_dir).select(
+        "txn_id", micros("timestamp").alias("us"), "src_account", "dst_account", "amount_paid", "amount_received", "amount_delta", "currency_paid", "currency_received",
+        "payment_format", "is_laundering", "is_self_loop", "is_cross_currency", "is_burn_in",
+    )
+
+
+@query
+def dataset_summary(spark, sf_dir):
+    return clean.summarise(ledger(spark, sf_dir))
+
+
+@query
+def clean_accounts(spark, sf_dir):
+    return dimension(spark, sf_dir)
+
+
+@query
+def merge_accounts(spark, sf_dir):
+    return merged(spark, sf_dir).select("txn_id", *[f"{s}_{a}" for s in ("src", "dst") for a in enrich.ATTRIBUTES])
+
+
+@query
+def merge_summary(spark, sf_dir):
+    return enrich.summarise_merge(merged(spark, sf_dir))
+
+
+@query
+def duplicate_keys(spark, sf_dir):
+    return enrich.duplicate_keys(table(spark, sf_dir, "lineitem").select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("account_key")))
+
+
+# -- history -------------------------------------------------------------------------
+
+
+def _account(spark, sf_dir, *columns):
+    return history.account_features(ledger(spark, sf_dir), S).select("txn_id", *columns)
+
+
+@query
+def prior_counts(spark, sf_dir):
+    return _account(spark, sf_dir, "src_txn_count_prior", "dst_txn_count_prior")
+
+
+@query
+def prior_gaps(spark, sf_dir):
+    return _account(spark, sf_dir, "src_secs_since_last", "dst_secs_since_last", "src_secs_since_last_log")
+
+
+@query
+def running_distinct(spark, sf_dir):
+    return _account(spark, sf_dir, "src_unique_dst_prior", "dst_unique_src_prior")
+
+
+@query
+def running_distinct_chunked(spark, sf_dir):
+    out = history.account_features_chunked(ledger(spark, sf_dir), S)
+    return out.select("txn_id", "src_txn_count_prior", "dst_txn_count_prior", "src_secs_since_last", "dst_secs_since_last", "src_unique_dst_prior", "dst_unique_src_prior")
+
+
+@query
+def fan_ratios(spark, sf_dir):
+    return _account(spark, sf_dir, "src_fanout_ratio", "dst_fanin_ratio")
+
+
+@query
+def amount_pct_rank(spark, sf_dir):
+    return features(spark, sf_dir).select("txn_id", "amt_pct_ccy")
+
+
+@query
+def log_deviation(spark, sf_dir):
+    return features(spark, sf_dir).select("txn_id", "src_log_dev")
+
+
+@query
+def time_features(spark, sf_dir):
+    return history.time_features(ledger(spark, sf_dir)).select("txn_id", "hour", "hour_sin", "hour_cos", "is_hour_zero")
+
+
+@query
+def threshold_flags(spark, sf_dir):
+    return features(spark, sf_dir).select("txn_id", "src_rapid_txn", "src_dormant_wake", "dst_high_fanin")
+
+
+@query
+def account_features_full(spark, sf_dir):
+    return features(spark, sf_dir).select(
+        "txn_id", "src_txn_count_prior", "dst_txn_count_prior", "src_secs_since_last", "dst_secs_since_last", "src_secs_since_last_log", "src_unique_dst_prior", "dst_unique_src_prior",
+        "src_fanout_ratio", "dst_fanin_ratio", "amt_pct_ccy", "src_log_dev", "hour", "hour_sin", "hour_cos", "is_hour_zero", "src_rapid_txn", "src_dormant_wake", "dst_high_fanin",
+    )
+
+
+@query
+def rejected_history(spark, sf_dir):
+    return profile.rejected_history(ledger(spark, sf_dir)).select("txn_id", "src_amt_mean_prior", "src_amt_vs_own", "src_log_ratio", "src_is_new")
+
+
+@query
+def first_rows(spark, sf_dir):
+    return profile.first_rows(ledger(spark, sf_dir)).select("src_account", "txn_id")
+
+
+# -- graph -----------------------------------------------------------------------------
+
+
+def _nodes(width):
+    def run(spark, sf_dir):
+        made = nodes(spark, sf_dir)
+        names = [f"{m}_{width}d" for m in graph.METRICS]
+        return made.filter(F.col(names[0]).isNotNull()).select("node", "day", *[F.col(n).alias(m) for n, m in zip(names, graph.METRICS, strict=True)])
+
+    run.__name__ = f"graph_nodes_{width}d"
+    return run
+
+
+for _width in S.widths:
+    query(_nodes(_width))
+
+
+@query
+def reciprocity_7d(spark, sf_dir):
+    return nodes(spark, sf_dir).filter("reciprocity_7d is not null").select("node", "day", "reciprocity_7d")
+
+
+@query
+def pair_features(spark, sf_dir):
+    return graph.pair_features(ledger(spark, sf_dir), S).select("txn_id", "pair_txn_count_prior", "is_first_interaction", "pair_amt_log_dev")
+
+
+@query
+def graph_join_sides(spark, sf_dir):
+    out = graph.build_graph_features(ledger(spark, sf_dir), S)
+    return out.select("txn_id", *[f"{s}_{m}_{w}d" for s in ("src", "dst") for m in (*MODEL_METRICS, "txn_count_in", "txn_count_out") for w in S.widths])
+
+
+@query
+def degree_accel(spark, sf_dir):
+    out = graph.build_graph_features(ledger(spark, sf_dir), S)
+    return out.select("txn_id", *[f"{s}_{m}_accel" for s in ("src", "dst") for m in ("in_degree", "out_degree")])
+
+
+# -- splits ------------------------------------------------------------------------------
+
+
+@query
+def split_boundaries(spark, sf_dir):
+    train, val = split.boundaries(ledger(spark, sf_dir), S)
+    return spark.createDataFrame([(train, val)], "train_us long, val_us long")
+
+
+@query
+def split_summary(spark, sf_dir):
+    return split.split_summary(split.with_split(ledger(spark, sf_dir), S), S)
+
+
+@query
+def training_rows(spark, sf_dir):
+    return split.build_splits(ledger(spark, sf_dir), S).select("txn_id", "split")
+
+
+@query
+def split_composition(spark, sf_dir):
+    return profile.composition(split.with_split(ledger(spark, sf_dir), S), "payment_format", "error", S)
+
+
+# -- rules ---------------------------------------------------------------------------------
+
+
+@query
+def rule_flags(spark, sf_dir):
+    return flagged(spark, sf_dir).select("txn_id", *rules.RULES)
+
+
+@query
+def rule_scores(spark, sf_dir):
+    return flagged(spark, sf_dir).select("txn_id", "rule_score", "any_rule")
+
+
+@query
+def rule_individual(spark, sf_dir):
+    return rules.individual_rules(flagged(spark, sf_dir), S)
+
+
+@query
+def rule_combined(spark, sf_dir):
+    return rules.combined_rules(flagged(spark, sf_dir), S)
+
+
+@query
+def rule_precision_at_k(spark, sf_dir):
+    return rules.precision_at_k(flagged(spark, sf_dir), settings=S)
+
+
+@query
+def rule_weak(spark, sf_dir):
+    return rules.individual_rules(flagged(spark, sf_dir), S).filter("lift < 1.2").select("rule", "lift")
+
+
+@query
+def rule_ablation(spark, sf_dir):
+    left = rules.without("business_hours")
+    return rules.combined_rules(rules.apply_rules(scored(spark, sf_dir), S, left), S, left)
+
+
+# -- ranking metrics -------------------------------------------------------------------------
+
+
+@query
+def ap_score(spark, sf_dir):
+    return metrics.average_precision(scored(spark, sf_dir), settings=S)
+
+
+@query
+def roc_auc(spark, sf_dir):
+    return metrics.roc_auc(scored(spark, sf_dir), settings=S)
+
+
+@query
+def pr_curve(spark, sf_dir):
+    return metrics.pr_curve(scored(spark, sf_dir), settings=S)
+
+
+@query
+def threshold_at_recall(spark, sf_dir):
+    return metrics.choose_threshold(scored(spark, sf_dir), settings=S)
+
+
+@query
+def operating_point(spark, sf_dir):
+    return metrics.operating_point(scored(spark, sf_dir), 0.5, settings=S)
+
+
+@query
+def recall_at_k(spark, sf_dir):
+    return metrics.recall_at_k(scored(spark, sf_dir), settings=S)
+
+
+@query
+def segment_recall(spark, sf_dir):
+    return metrics.segment_recall(scored(spark, sf_dir), "payment_format", 0.5, settings=S)
+
+
+@query
+def calibration_deciles(spark, sf_dir):
+    return metrics.calibration(scored(spark, sf_dir), settings=S)
+
+
+@query
+def brier(spark, sf_dir):
+    return metrics.brier(scored(spark, sf_dir), settings=S)
+
+
+@query
+def headline_metrics(spark, sf_dir):
+    return metrics.headline(scored(spark, sf_dir), 0.0126, settings=S)
+
+
+@query
+def model_vs_rules_at_k(spark, sf_dir):
+    return metrics.model_vs_rules(flagged(spark, sf_dir), settings=S)
+
+
+# -- exploration -------------------------------------------------------------------------------
+
+
+@query
+def cat_lift(spark, sf_dir):
+    return profile.categorical_lift(ledger(spark, sf_dir), "payment_format", S)
+
+
+@query
+def cat_lift_having(spark, sf_dir):
+    return profile.categorical_lift(ledger(spark, sf_dir), "dst_account", S, min_group=100)
+
+
+@query
+def bool_lift(spark, sf_dir):
+    return profile.boolean_lift(ledger(spark, sf_dir), "is_cross_currency", S)
+
+
+@query
+def zero_positive(spark, sf_dir):
+    return profile.zero_positive(profile.categorical_lift(ledger(spark, sf_dir), "src_account", S)).select("value", "n")
+
+
+@query
+def numeric_describe(spark, sf_dir):
+    return profile.numeric_describe(ledger(spark, sf_dir), "amount_paid", S)
+
+
+@query
+def decile_rates(spark, sf_dir):
+    return profile.decile_rates(ledger(spark, sf_dir), "amount_paid", S)
+
+
+@query
+def temporal_rollup(spark, sf_dir):
+    return profile.temporal_rollup(ledger(spark, sf_dir), S)
+
+
+@query
+def daily_rollup(spark, sf_dir):
+    return profile.daily_rollup(ledger(spark, sf_dir), S)
+
+
+@query
+def column_profile(spark, sf_dir):
+    return profile.column_profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]).drop("dtype")
+
+
+@query
+def target_balance(spark, sf_dir):
+    return profile.target_balance(ledger(spark, sf_dir), S)
+
+
+@query
+def currency_stats(spark, sf_dir):
+    return profile.group_stats(ledger(spark, sf_dir), "currency_paid", "amount_paid", "src_account")
+
+
+@query
+def threshold_sweep(spark, sf_dir):
+    return profile.threshold_sweep(features(spark, sf_dir), "src_secs_since_last", (40_000, 80_000, 200_000, 300_000), settings=S)
+
+
+@query
+def value_counts(spark, sf_dir):
+    return profile.value_counts(ledger(spark, sf_dir), "currency_received")
+
+
+@query
+def missingness(spark, sf_dir):
+    return profile.missingness(features(spark, sf_dir), "src_log_dev", S)
+
+
+@query
+def conditional_rates(spark, sf_dir):
+    parted = split.with_split(features(spark, sf_dir), S)
+    return profile.conditional_rates(parted, {"dormant": F.col("src_dormant_wake"), "error": F.col("payment_format") == "error"}, "split", S)
+
+
+@query
+def log_histogram(spark, sf_dir):
+    return profile.log_histogram(ledger(spark, sf_dir), "amount_paid", S)
+
+
+@query
+def logz_by_currency(spark, sf_dir):
+    return profile.log_zscore(ledger(spark, sf_dir)).select("txn_id", "amt_logz_ccy")
+
+
+@query
+def crosstab_2x2(spark, sf_dir):
+    return stats.crosstab(ledger(spark, sf_dir), "is_cross_currency", "is_laundering")
+
+
+@query
+def chi2_yates(spark, sf_dir):
+    found = stats.two_by_two(ledger(spark, sf_dir), "is_cross_currency", "is_laundering")
+    return spark.createDataFrame([(stats.chi2_yates(found)[0],)], "chi2 double")
+
+
+@query
+def fisher_exact(spark, sf_dir):
+    found = stats.two_by_two(ledger(spark, sf_dir), "is_cross_currency", "is_laundering")
+    return spark.createDataFrame([stats.fisher_exact(found)], "odds_ratio double, p_value double")
+
+
+@query
+def pearson_pairs(spark, sf_dir):
+    return stats.pearson(features(spark, sf_dir), ("amount_paid", "amt_pct_ccy", "src_log_dev", "src_secs_since_last"))
+
+
+@query
+def spearman_pairs(spark, sf_dir):
+    return stats.spearman(features(spark, sf_dir), ("amount_paid", "src_log_dev", "src_secs_since_last"))
+
+
+# -- models: no SQL says what they are, so they are only run --------------------------------------
+
+
+@query
+def logreg_scores(spark, sf_dir):
+    train = features(spark, sf_dir)
+    prepared, model = models.fit(models.ModelSpec("logreg", "logreg", {"C": 1.0, "max_iter": 20}), train, settings=S)
+    return models.score(model, prepared, train).select("txn_id", "score")
