@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import ratio
+from ..scratch import materialize
 from .rules import effects, top_k
 from .windows import prefix_sums, quantile_bucket
 
@@ -16,9 +17,9 @@ def score_steps(df: DataFrame, score: str = "score", settings: Settings = DEFAUL
     tp), with all rows and positives (total_n, total_p)."""
     y = F.col(settings.target).cast("long")
     steps = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("p")).withColumn("down", -F.col("score"))
-    steps = prefix_sums(prefix_sums(steps, [], "down", "n", "alerts"), [], "down", "p", "tp").drop("down")
+    steps = materialize(steps)
     totals = steps.agg(F.sum("n").alias("total_n"), F.sum("p").alias("total_p"))
-    return steps.crossJoin(F.broadcast(totals))
+    return prefix_sums(steps, [], "down", {"n": "alerts", "p": "tp"}).drop("down").crossJoin(F.broadcast(totals))
 
 
 def average_precision(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:

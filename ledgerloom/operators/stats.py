@@ -9,6 +9,7 @@ from math import erfc, exp, lgamma, sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .windows import prefix_sums
 
 
@@ -59,10 +60,10 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = None
     for a, b in combinations(columns, 2):
         pair = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).filter("x is not null and y is not null")
-        pair = pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+        pair = materialize(pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
         for c in ("x", "y"):
             counts = pair.groupBy(c).agg(F.sum("n").alias("__equal"))
-            ranks = prefix_sums(counts, [], c, "__equal", "__upto").select(c, (F.col("__upto") - (F.col("__equal") - 1) / 2).alias(f"r{c}"))
+            ranks = prefix_sums(counts, [], c, {"__equal": "__upto"}).select(c, (F.col("__upto") - (F.col("__equal") - 1) / 2).alias(f"r{c}"))
             pair = pair.join(ranks, c)
         n, x, y = F.col("n").cast("double"), F.col("rx"), F.col("ry")
         s = pair.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))

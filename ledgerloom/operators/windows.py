@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
+from ..scratch import materialize
 
 ORDER = ("timestamp", "txn_id")
 
@@ -47,22 +48,22 @@ def prior_mean(value: Column, *keys: str) -> Column:
     return F.avg(value).over(prior(*keys))
 
 
-def prefix_sums(df: DataFrame, by: Sequence[str], order: str, weight: str, out: str, buckets: int = 64) -> DataFrame:
-    """Running sum ``out`` of ``weight`` along ``order`` (distinct within ``by``), in two levels:
-    value ranges are summed on their own, then each range starts from the sum of those before it.
-    No task sorts a whole group, so a group may hold most rows, or there may be none at all."""
-    keys = [F.col(k) for k in by] or [F.lit(0).alias("__all")]
+def prefix_sums(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], buckets: int = 64) -> DataFrame:
+    """Running sums along ``order`` (distinct within ``by``): ``sums`` has the new column for each
+    weight. In two levels: value ranges are summed on their own, then each range starts from the
+    sum of those before it. No task sorts a whole group, so a group may hold most rows, or there
+    may be no groups at all. ``df`` is read three times, so it should be a table or cheap."""
     names = list(by) or ["__all"]
     df = df if by else df.withColumn("__all", F.lit(0))
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = df.groupBy(*keys).agg(F.percentile_approx(order, shares, F.lit(1000)).alias("__edges"))
+    edges = df.groupBy(*names).agg(F.percentile_approx(order, shares, F.lit(1000)).alias("__edges"))
     placed = df.join(edges, names).withColumn("__bucket", F.size(F.filter("__edges", lambda e: e < F.col(order)))).drop("__edges")
     before = Window.partitionBy(*names).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*names, "__bucket").agg(F.sum(weight).alias("__sum"))
-    starts = sums.select(*names, "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    totals = placed.groupBy(*names, "__bucket").agg(*[F.sum(w).alias(f"__sum_{w}") for w in sums])
+    starts = totals.select(*names, "__bucket", *[F.coalesce(F.sum(f"__sum_{w}").over(before), F.lit(0)).alias(f"__start_{w}") for w in sums])
     upto = Window.partitionBy(*names, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.join(starts, [*names, "__bucket"]).withColumn(out, F.col("__start") + F.sum(weight).over(upto))
-    return summed.drop("__bucket", "__start", *([] if by else ["__all"]))
+    summed = placed.join(starts, [*names, "__bucket"]).withColumns({out: F.col(f"__start_{w}") + F.sum(w).over(upto) for w, out in sums.items()})
+    return summed.drop("__bucket", *[f"__start_{w}" for w in sums], *([] if by else ["__all"]))
 
 
 def with_pct_rank(df: DataFrame, value: str, by: str, out: str) -> DataFrame:
@@ -71,7 +72,8 @@ def with_pct_rank(df: DataFrame, value: str, by: str, out: str) -> DataFrame:
     Ranks are taken over distinct values, which is far smaller than the rows where a group is
     large, and joined back; NULL groups or values have no rank."""
     counts = df.filter(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__equal"))
-    ranked = prefix_sums(counts, [by], value, "__equal", "__upto")
+    counts = materialize(counts)
+    ranked = prefix_sums(counts, [by], value, {"__equal": "__upto"})
     totals = counts.groupBy(by).agg(F.sum("__equal").alias("__all"))
     pct = ranked.join(totals, by).select(by, value, ((F.col("__upto") - F.col("__equal") + (F.col("__equal") + 1) / 2) / F.col("__all")).alias(out))
     return df.join(pct, [by, value], "left")
@@ -81,11 +83,12 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[
     """Quantiles with linear interpolation, as one value each: positions are looked up in the
     running counts of distinct values, so nothing is sorted in one place."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts)
     n = counts.agg(F.sum("__n")).first()[0]
     if not n:
         return [None] * len(shares)
     places = sorted({int(f(q * (n - 1))) for q in shares for f in (lambda x: x // 1, lambda x: -(-x // 1))})
-    upto = prefix_sums(counts, [], value, "__n", "__upto")
+    upto = prefix_sums(counts, [], value, {"__n": "__upto"})
     found = upto.agg(*[F.min(F.when(F.col("__upto") > p, F.col(value))).alias(f"p{p}") for p in places]).first()
     out = []
     for q in shares:

@@ -20,8 +20,8 @@ from ..operators.graph import as_float32
 
 log = logging.getLogger(__name__)
 
-_RAW_TYPES = ("string", "bigint", "string", "bigint", "string", "double", "string", "double", "string", "string", "tinyint")
-RAW_SCHEMA = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in zip(RAW_NAMES, _RAW_TYPES, strict=True)))
+_RAW_TYPES = (T.StringType(), T.LongType(), T.StringType(), T.LongType(), T.StringType(), T.DoubleType(), T.StringType(), T.DoubleType(), T.StringType(), T.StringType(), T.ByteType())
+RAW_SCHEMA = T.StructType([T.StructField(n, t) for n, t in zip(RAW_NAMES, _RAW_TYPES, strict=True)])
 ACCOUNT_SCHEMA = T.StructType([T.StructField(n, T.LongType() if n == "Bank ID" else T.StringType()) for n in RAW_ACCOUNT_NAMES])
 
 

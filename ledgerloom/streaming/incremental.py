@@ -8,7 +8,6 @@ from math import log1p
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def hopping_counts(stream: DataFrame, width_days: int, side: str = "dst", late: str = "1 day") -> DataFrame:
@@ -31,7 +30,7 @@ def prior_features(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """What the batch history says of each transfer, from state kept by sender: count, last moment,
     partners and the sum of log amounts. Rows within a batch are taken in order of time."""
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, last, total, partners = state.get if state.exists else (0, None, 0.0, [])
         known = set(partners)
         rows = pd.concat(frames).sort_values(["us", "txn_id"], kind="stable")
@@ -45,4 +44,4 @@ def prior_features(stream: DataFrame, late: str = "1 day") -> DataFrame:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
     rows = stream.withWatermark("timestamp", late).withColumn("us", F.unix_micros("timestamp"))
-    return rows.groupBy("src_account").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("src_account").applyInPandasWithState(update, _OUT, _STATE, "append", "NoTimeout")

@@ -3,6 +3,8 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
+from ledgerloom import scratch
+
 SF_DIR = os.environ.get("LEDGERLOOM_TEST_SF", "/root/testdata/sf0.001")
 
 
@@ -19,6 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    scratch.clear(session)
     session.stop()
 
 
