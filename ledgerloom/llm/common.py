@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..scratch import materialize  # noqa: F401
+
 #: Bytes that are part of a word are kept, A-Z become a-z, all others become a space.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
-#: Where tables go that cut a lineage, if the cluster names no shared folder.
-LOCAL_SHARED = "/tmp/checkpoints/ledgerloom"
-
 #: Rows in an Arrow batch.
 BATCH_ROWS = 1024
 
@@ -28,20 +26,6 @@ def words_of(data: bytes) -> list[bytes]:
     return data.translate(WORD_BYTES).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/ledgerloom" if named else LOCAL_SHARED
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: this cuts the
-    lineage, survives lost executors and computes costly columns once."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -149,7 +149,7 @@ class LicenseAutomaton:
             matches.sort()
             begin = 0
             for i in range(1, len(matches) + 1):
-                if i == len(matches) or matches[i][0] - max(m[1] for m in matches[i - 1 : i]) > max_gap:
+                if i == len(matches) or matches[i][0] - matches[i - 1][1] > max_gap:
                     found.append((t, *self._best_chain(matches[begin:i], self.sizes[t])))
                     begin = i
         return found
