@@ -95,11 +95,13 @@ class Element:
 class Template:
     """What the pages of a host share: ``skeleton`` has the tag tokens that stand once on every
     page, in order; ``classes`` the numbers of tokens of all valid classes, with the class each is
-    nested in (-1: none); ``texts`` the text tokens that are part of the template."""
+    nested in (-1: none); ``texts`` the text tokens that are part of the template; ``few`` says
+    that too few pages were seen to trust a template that takes most of a page's text."""
 
     skeleton: list[int] = attribute(default_factory=list)
     classes: list[tuple[int, int]] = attribute(default_factory=list)
     texts: frozenset[int] = frozenset()
+    few: bool = False
 
 
 def _is_aside(name: str, attributes: str, inside: bool) -> bool:
@@ -181,14 +183,16 @@ def deduce(rows: Iterable[tuple[int, int, int, int, int, int, float]], pages: in
     Tokens with one occurrence vector (same pages, same counts on each: same sums) are one
     equivalence class. A class is valid if it has at least two tokens, as an element has, on at
     least ``support`` of the pages. The class of tokens that stand once on every page is the
-    skeleton; a valid class is nested in the smallest other one whose places enclose it.
+    skeleton; a valid class is nested in the smallest other one whose places enclose it. A text
+    token, which has its path in it, is the template's if it is on ``support`` of the pages, however
+    often it stands on one; on a host of fewer than ``min_pages`` it has to be on all of them.
     """
     classes: dict[tuple[int, int, int, int], list[tuple[float, int]]] = {}
     texts = []
     for token, kind, seen, occurrences, high, low, place in rows:
         if kind == 0:
             classes.setdefault((seen, occurrences, high, low), []).append((place, token))
-        elif seen == pages and occurrences == pages and pages >= min_pages:
+        elif seen >= (support * pages if pages >= min_pages else pages):
             texts.append(token)
     valid = {k: sorted(v) for k, v in classes.items() if len(v) >= 2 and k[0] >= support * pages}
     skeleton = next(([t for _, t in v] for k, v in valid.items() if k[0] == k[1] == pages), [])
@@ -197,7 +201,7 @@ def deduce(rows: Iterable[tuple[int, int, int, int, int, int, float]], pages: in
     for i, (first, last, n) in enumerate(bounds):
         around = [(b - a, j) for j, (a, b, _) in enumerate(bounds) if j != i and a <= first and last <= b]
         nested.append((n, min(around)[1] if around else -1))
-    return Template(skeleton, nested, frozenset(texts))
+    return Template(skeleton, nested, frozenset(texts), pages < min_pages)
 
 
 def extract(page: str, template: Template | None = None) -> tuple[str, int, int]:
@@ -205,7 +209,8 @@ def extract(page: str, template: Template | None = None) -> tuple[str, int, int]
 
     What lies between template tokens are the slots. Those in an article or main element, if the
     page has one, and outside all asides are the main text; a template's text is left out of them
-    unless nothing would remain. Slots are parted where blocks begin and end.
+    unless nothing would remain, or less than half by a template of few pages, which may be copies
+    of one. Slots are parted where blocks begin and end.
     """
     template = template or Template()
     skeleton, at = template.skeleton, 0
@@ -244,7 +249,9 @@ def extract(page: str, template: Template | None = None) -> tuple[str, int, int]
     flush()
     rooted = rooted and any(r for r, _, _ in kept)
     blocks = [(full, part) for r, full, part in kept if r or not rooted]
-    left = [part for _, part in blocks if part] or [full for full, _ in blocks]
+    left = [part for _, part in blocks if part]
+    if not left or template.few and 2 * sum(map(len, left)) < sum(len(full) for full, _ in blocks):
+        left = [full for full, _ in blocks]
     return "\n\n".join(left), at, len(slots[True] if rooted else slots[True] | slots[False])
 
 
@@ -253,12 +260,12 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
-def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str, max_hosts: int = 20_000) -> DataFrame:
+def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str, max_hosts: int = 20_000, max_runs: int = 1 << 17) -> DataFrame:
     """(host, token, kind, pages, occurrences, high, low, place) summed over each task's pages.
 
-    Kind 0: tag tokens, 1: text tokens, 2: the host's number of pages. high and low sum two 32-bit
-    hashes of (page, count): equal sums stand for equal occurrence vectors. A text token can only
-    be on all pages of a host if it is on all that a task has, so a task drops the others itself.
+    Kind 0: tag tokens, 1: text tokens, 2: the host's number of pages, empty ones left out. high and
+    low sum two 32-bit hashes of (page, count): equal sums stand for equal occurrence vectors. All
+    text tokens are counted; a task hands on what it holds at ``max_runs`` of them and begins anew.
     """
     long = T.LongType()
     names = ("token", "kind", "pages", "occurrences", "high", "low")
@@ -270,24 +277,27 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
         def out() -> pa.RecordBatch:
             rows = [(host, 0, 2, n, n, 0, 0, 0.0) for host, (n, _, _) in hosts.items()]
             for host, (_, tags, texts) in hosts.items():
-                rows += [(host, t, 0, *v) for t, v in tags.items()] + [(host, t, 1, *v) for t, v in texts.items()]
+                rows += [(host, t, 0, *v) for t, v in tags.items()] + [(host, t, 1, *v, 0, 0, 0.0) for t, v in texts.items()]
             columns = list(zip(*rows)) or [()] * 8  # noqa: B905
             tokens = pa.array(np.array(columns[1], np.uint64).view(np.int64))
             ints = [pa.array(c, pa.int64()) for c in columns[2:7]]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), tokens, *ints, pa.array(columns[7], pa.float64())], names=schema.names)
 
+        held = 0
         for batch in batches:
             at = batch.schema.get_field_index
             for key, url, page in zip(batch.column(at(id_col)).to_pylist(), batch.column(at(url_col)).to_pylist(), batch.column(at(html_col)).to_pylist(), strict=True):
-                page = page or ""
+                if not page or page.isspace():
+                    continue
                 tags, texts = tokens_of(page)
                 number = xxhash.xxh64_intdigest(f"{key}\0{url}\0{page}")
-                known = hosts.get(host_of(url))
+                known = None if held >= max_runs else hosts.get(host_of(url))
                 if known is None:
-                    if len(hosts) >= max_hosts:
+                    if len(hosts) >= max_hosts or held >= max_runs:
                         yield out()
                         hosts.clear()
-                    known = hosts[host_of(url)] = [0, {}, None]
+                        held = 0
+                    known = hosts[host_of(url)] = [0, {}, {}]
                 known[0] += 1
                 places: dict[int, float] = {}
                 for i, t in enumerate(tags):
@@ -303,11 +313,14 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
                         v[2] += mark >> 32
                         v[3] += mark & 0xFFFFFFFF
                         v[4] += places[t]
-                counts = Counter(texts)
-                if known[2] is None:
-                    known[2] = {t: [1, n, 0, 0, 0.0] for t, n in counts.items()}
-                else:
-                    known[2] = {t: [v[0] + 1, v[1] + counts[t], 0, 0, 0.0] for t, v in known[2].items() if t in counts}
+                for t, n in Counter(texts).items():
+                    v = known[2].get(t)
+                    if v is None:
+                        known[2][t] = [1, n]
+                        held += 1
+                    else:
+                        v[0] += 1
+                        v[1] += n
         yield out()
 
     return map_arrow(plain(pages, id_col, url_col, html_col), run, schema)
@@ -320,7 +333,7 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     summed = materialize(summed)
     total = summed.filter((F.col("kind") == 2) & (F.col("pages") > 1)).select("host", F.col("pages").alias("n"))
     near = summed.filter("kind < 2").join(total, "host")
-    near = near.filter(((F.col("kind") == 0) & (F.col("pages") >= support * F.col("n"))) | ((F.col("pages") == F.col("n")) & (F.col("occurrences") == F.col("n")) & (F.col("n") >= min_pages)))
+    near = near.filter(F.col("pages") >= F.when((F.col("kind") == 0) | (F.col("n") >= min_pages), support * F.col("n")).otherwise(F.col("n")))
     row = F.struct("token", "kind", "pages", "occurrences", "high", "low", (F.col("place") / F.col("pages")).alias("place"))
     return near.groupBy("host").agg(F.max("n").alias("pages"), F.collect_list(row).alias("rows"))
 
@@ -334,8 +347,8 @@ def extract_pages(
     of the article that are not part of it are joined by two newlines, a block's white space
     turned into single spaces and character references decoded.
 
-    A null html is empty and has an empty text; a null url has the host "" ; null ids and repeated
-    rows stay (each counts as a page); an empty table gives none; other columns are not read. A
+    A null html is empty and has an empty text; empty pages are no pages of their host; a null url
+    has the host "" ; null ids and repeated rows stay (each counts as a page); an empty table gives none; other columns are not read. A
     host of one page has no template: then elements and their classes alone tell slots apart.
 
     Templates reach all tasks only if their rows measure less than ``max_bytes``; beyond that each

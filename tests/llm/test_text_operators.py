@@ -222,6 +222,27 @@ def test_html_template_text_and_asides(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_template_text_by_support(spark):
+    def page(i, more=""):
+        return f"<body><div><h1>T{i}</h1><p>Own text of page {i}, longer than what is shared<p>Sign up to our list{more}</div></body>"
+
+    rows = [(i, f"http://large.org/{i}", page(i, "<p>Sign up to our list" if i == 3 else "")) for i in range(20)]
+    rows += [(20, "http://large.org/e", None), (21, "http://large.org/e", " "), (22, "http://large.org/cut", "<body><div><h1>T22</h1>"), (23, "http://large.org/odd", "<p>Error")]
+    rows += [(30 + i, f"http://small.org/{i}", page(i)) for i in range(3)] + [(40, "http://small.org/", "")]
+    rows += [(50 + i, f"http://copies.org/{i}", f"<p>The same long article that was found twice<p>and goes on here<p>{i}") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in [*range(20), 30, 31, 32]:
+        assert got[i] == f"T{i % 30}\n\nOwn text of page {i % 30}, longer than what is shared"
+    assert [got[i] for i in (20, 21, 22, 23, 40)] == ["", "", "T22", "Error", ""]
+    assert [got[50 + i] for i in range(2)] == [f"The same long article that was found twice\n\nand goes on here\n\n{i}" for i in range(2)]
+
+
+def test_html_counts_survive_a_full_task(spark):
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<p>own {i}<p>shared") for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    rows = [html_extract.occurrence_rows(pages, "page_id", "url", "html", max_runs=n).groupBy("host", "token", "kind").agg(F.sum("pages").alias("p"), F.sum("occurrences").alias("o")).collect() for n in (3, 1 << 17)]
+    assert sorted(map(tuple, rows[0])) == sorted(map(tuple, rows[1])) and sum(r["kind"] == 1 for r in rows[0]) == 31
+
+
 @pytest.mark.parametrize("page", ["<" * 50_000, "<div>" * 20_000 + "</p>" * 20_000, "<a \"" * 20_000, "<!--" * 20_000, "<script>" * 20_000, "&amp;" * 20_000 + "<p"])
 def test_html_is_linear_on_broken_pages(page):
     assert isinstance(html_extract.extract(page)[0], str)
