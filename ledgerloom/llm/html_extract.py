@@ -32,6 +32,9 @@ ASIDE_WORDS = frozenset(
     " breadcrumb breadcrumbs pagination pager widget complementary contentinfo".split()
 )
 ROOTS = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements whose text is no page text.
+HARD = ASIDE - {"nav", "menu", "aside", "footer", "form", "dialog"}
 #: An open element in the first set ends when one in the second begins.
 CLOSED_BY = {
     "p": BLOCK - {"body", "html", "option", "optgroup"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
@@ -40,6 +43,7 @@ CLOSED_BY = {
 #: Elements beyond which an implied end tag doesn't reach.
 SCOPE = frozenset("table td th button article section div body html ul ol blockquote".split())
 
+_ALL = (1 << 64) - 1
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -89,18 +93,22 @@ class Element:
     path: int
     aside: bool
     root: bool
+    within: bool = False  # in the template's content element
+    hard: bool = False
 
 
 @dataclass
 class Template:
-    """What the pages of a host share: ``skeleton`` has the tag tokens that stand once on every
-    page, in order; ``classes`` the numbers of tokens of all valid classes, with the class each is
-    nested in (-1: none); ``texts`` the text tokens that are part of the template; ``few`` says
+    """What the pages of a host share: ``skeleton`` has the tag tokens of the valid classes that stand
+    once on a page, in order; ``content`` the open token of the innermost of them that holds the
+    varied text (0: none); ``texts`` the text tokens that are part of the template; ``repeated``
+    the slots, as paths, filled again and again from a small stock of texts; ``few`` says
     that too few pages were seen to trust a template that takes most of a page's text."""
 
     skeleton: list[int] = attribute(default_factory=list)
-    classes: list[tuple[int, int]] = attribute(default_factory=list)
+    content: int = 0
     texts: frozenset[int] = frozenset()
+    repeated: frozenset[int] = frozenset()
     few: bool = False
 
 
@@ -121,10 +129,11 @@ def _is_aside(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def walk(page: str) -> Iterator[tuple[str, int, str, Element | None]]:
+def walk(page: str, content: int = 0) -> Iterator[tuple[str, int, str, Element | None]]:
     """(kind, token, text, element) along a page. A token is a hash of what stands there and of the
     path of open elements, so equal tags in other roles are other tokens. Kinds: open, close, text,
-    and break where a block begins or ends."""
+    and break where a block begins or ends. What is around the element of the token ``content``
+    makes it no aside."""
     stack = [Element("", 0, False, False)]
     opened: Counter = Counter()
     digest = xxhash.xxh64_intdigest
@@ -159,100 +168,146 @@ def walk(page: str) -> Iterator[tuple[str, int, str, Element | None]]:
             elif name == "br":
                 yield "text", 0, " ", top
             if name not in VOID and not rest.endswith("/"):
-                stack.append(Element(name, path, top.aside or _is_aside(name, rest, top.root), top.root or name in ROOTS or "role=\"main\"" in rest))
+                hard = top.hard or name in HARD
+                aside = hard or path != content and (top.aside or _is_aside(name, rest, top.root))
+                stack.append(Element(name, path, aside, top.root or name in ROOTS or "role=\"main\"" in rest, top.within or path == content, hard))
                 opened[name] += 1
         elif opened[name] > 0:
             yield "close", digest("/", next(e.path for e in reversed(stack) if e.name == name)), name, None
             yield from pop_to(name)
 
 
-def tokens_of(page: str) -> tuple[list[int], list[int]]:
-    """Tag tokens and text tokens of a page, in order."""
-    tags, texts = [], []
-    for kind, token, text, _ in walk(page):
-        if kind in ("open", "close"):
+def tokens_of(page: str) -> tuple[list[int], list[tuple[int, int, int]], dict[int, int]]:
+    """Tag tokens of a page and (token, path, characters) of its texts, in order; and the path around
+    each element's."""
+    tags, texts, ups = [], [], {}
+    for kind, token, text, element in walk(page):
+        if kind == "open":
             tags.append(token)
-        elif kind == "text" and token and text.strip():
-            texts.append(token)
-    return tags, texts
+            ups[token] = element.path
+        elif kind == "close":
+            tags.append(token)
+        elif kind == "text" and token and not element.hard and (size := len(text.strip())):
+            texts.append((token, element.path, size))
+    return tags, texts, ups
 
 
-def deduce(rows: Iterable[tuple[int, int, int, int, int, int, float]], pages: int, support: float = 0.5, min_pages: int = 10) -> Template:
-    """A host's template from (token, kind, pages, occurrences, two sums of hashes, mean place).
+def deduce(rows: Iterable[tuple], pages: int, support: float = 0.5, min_pages: int = 10) -> Template:
+    """A host's template from (token, kind, pages, occurrences, two sums of hashes, mean place, path
+    around it, characters in it).
 
     Tokens with one occurrence vector (same pages, same counts on each: same sums) are one
     equivalence class. A class is valid if it has at least two tokens, as an element has, on at
-    least ``support`` of the pages. The class of tokens that stand once on every page is the
-    skeleton; a valid class is nested in the smallest other one whose places enclose it. A text
-    token, which has its path in it, is the template's if it is on ``support`` of the pages, however
-    often it stands on one; on a host of fewer than ``min_pages`` it has to be on all of them.
+    least ``support`` of the pages. The valid classes of tokens that stand once on a page are the
+    skeleton. A text token, which has its path in it, is the template's if it is on ``support`` of
+    the pages, however often it stands on one; on a host of fewer than ``min_pages`` it has to be
+    on all of them.
+
+    Slots are chosen by the text that varies, on hosts of ``min_pages`` or more. The content is
+    the innermost element of the skeleton reached from the page's root by going on to one that
+    holds half of the host's varied characters, up to an article or main element, and not where
+    that would leave a varied first heading behind. A slot is repeated if each of its characters
+    stands on the host twice as often at least as in the slot with the most distinct text.
     """
     classes: dict[tuple[int, int, int, int], list[tuple[float, int]]] = {}
-    texts = []
-    for token, kind, seen, occurrences, high, low, place in rows:
+    texts, slots = [], []
+    up: dict[int, int] = {}
+    varied: dict[int, int] = {}
+    fixed: dict[int, int] = {}
+    for token, kind, seen, occurrences, high, low, place, around, chars in rows:
         if kind == 0:
             classes.setdefault((seen, occurrences, high, low), []).append((place, token))
+            if around is not None:
+                up[token], varied[token] = around, chars
+        elif kind == 3:
+            slots.append((token, chars, high))
         elif seen >= (support * pages if pages >= min_pages else pages):
             texts.append(token)
-    valid = {k: sorted(v) for k, v in classes.items() if len(v) >= 2 and k[0] >= support * pages}
-    skeleton = next(([t for _, t in v] for k, v in valid.items() if k[0] == k[1] == pages), [])
-    bounds = [(v[0][0], v[-1][0], len(v)) for v in valid.values()]
-    nested = []
-    for i, (first, last, n) in enumerate(bounds):
-        around = [(b - a, j) for j, (a, b, _) in enumerate(bounds) if j != i and a <= first and last <= b]
-        nested.append((n, min(around)[1] if around else -1))
-    return Template(skeleton, nested, frozenset(texts), pages < min_pages)
+            fixed[around] = fixed.get(around, 0) + chars
+    for path, chars in fixed.items():
+        while path in up:
+            varied[path] -= chars
+            path = up[path]
+    valid = {k: v for k, v in classes.items() if len(v) >= 2 and k[0] >= support * pages}
+    skeleton = [t for _, t in sorted(x for k, v in valid.items() if k[0] == k[1] for x in v)]
+    if pages < min_pages:
+        return Template(skeleton, 0, frozenset(texts), frozenset(), True)
+
+    below: dict[int, list[int]] = {}
+    for token in skeleton:
+        if token in up:
+            below.setdefault(up[token], []).append(token)
+    digest = xxhash.xxh64_intdigest
+    total = sum(n for path, n in varied.items() if up[path] == 0)
+    content, at = 0, 0
+    while total > 0:
+        held, best = max(((varied[t], t) for t in below.get(at, ())), default=(0, 0))
+        titles = [digest("h1", p) for p in (at, digest("header", at))]
+        if 2 * held < total or any(varied.get(t, 0) > 0 and t != best for t in titles):
+            break
+        content, around, at = best, at, best
+        if best in [digest(name, around) for name in ROOTS]:
+            break
+    _, often = max(((fresh, chars / fresh) for _, chars, fresh in slots if fresh), default=(0, 1.0))
+    repeated = frozenset(path for path, chars, fresh in slots if path in up and chars >= 2 * often * fresh)
+    return Template(skeleton, content, frozenset(texts), repeated)
 
 
 def extract(page: str, template: Template | None = None) -> tuple[str, int, int]:
     """(main text, template tokens found in order, text slots that hold the main text).
 
-    What lies between template tokens are the slots. Those in an article or main element, if the
-    page has one, and outside all asides are the main text; a template's text is left out of them
+    What lies between template tokens are the slots. Those in the template's content element, if
+    the page has it with text, are the main text; of them, or without it of all, those in an
+    article or main element, if there is one, and outside all asides. A template's text and that of
+    repeated slots, headings not counted, are left out of blocks that consist half or more of them,
     unless nothing would remain, or less than half by a template of few pages, which may be copies
     of one. Slots are parted where blocks begin and end.
     """
     template = template or Template()
     skeleton, at = template.skeleton, 0
     place = {t: i for i, t in enumerate(skeleton)}
-    kept: list[tuple[bool, str, str]] = []  # in a root, whole block, block without template text
+    kept: list[tuple[tuple[bool, bool], str, str]] = []  # where (content, root), whole block, block without template text
     whole: list[str] = []
     own: list[str] = []
-    root = rooted = False
+    where = (False, False)
+    rooted = False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(whole)).split())
         if text:
-            kept.append((root, text, " ".join(html.unescape("".join(own)).split())))
+            part = " ".join(html.unescape("".join(own)).split())
+            kept.append((where, text, text if 2 * len(part) > len(text) else part))
         whole.clear()
         own.clear()
 
-    slots: dict[bool, set[int]] = {True: set(), False: set()}
-    for kind, token, text, element in walk(page):
+    slots: dict[tuple[bool, bool], set[int]] = {}
+    for kind, token, text, element in walk(page, template.content):
         if kind == "break":
             flush()
         elif kind == "text":
             if element.aside:
                 continue
-            if element.root != root:
+            if (element.within, element.root) != where:
                 flush()
-                root = element.root
+                where = (element.within, element.root)
             whole.append(text)
-            if token not in template.texts:
+            if token not in template.texts and (element.path not in template.repeated or element.name in HEADINGS):
                 own.append(text)
                 if text.strip():
-                    slots[root].add(at)
+                    slots.setdefault(where, set()).add(at)
         else:
             rooted = rooted or (kind == "open" and element is not None and not element.aside and text in ROOTS)
             if place.get(token, -1) >= at:
                 at = place[token] + 1
     flush()
-    rooted = rooted and any(r for r, _, _ in kept)
-    blocks = [(full, part) for r, full, part in kept if r or not rooted]
+    inner = any(w[0] and part for w, _, part in kept)
+    rooted = rooted and any(w[1] and w[0] >= inner for w, _, _ in kept)
+    chosen = [w for w in [(False, False), (False, True), (True, False), (True, True)] if w[0] >= inner and w[1] >= rooted]
+    blocks = [(full, part) for w, full, part in kept if w in chosen]
     left = [part for _, part in blocks if part]
     if not left or template.few and 2 * sum(map(len, left)) < sum(len(full) for full, _ in blocks):
         left = [full for full, _ in blocks]
-    return "\n\n".join(left), at, len(slots[True] if rooted else slots[True] | slots[False])
+    return "\n\n".join(left), at, len(set().union(*[slots.get(w, ()) for w in chosen]))
 
 
 def host_of(url: str | None) -> str:
@@ -261,7 +316,8 @@ def host_of(url: str | None) -> str:
 
 
 def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str, max_hosts: int = 20_000, max_runs: int = 1 << 17) -> DataFrame:
-    """(host, token, kind, pages, occurrences, high, low, place) summed over each task's pages.
+    """(host, token, kind, pages, occurrences, high, low, place, up, chars) summed over each task's
+    pages. up is the path around an element or text, null for end tags; chars the characters in it.
 
     Kind 0: tag tokens, 1: text tokens, 2: the host's number of pages, empty ones left out. high and
     low sum two 32-bit hashes of (page, count): equal sums stand for equal occurrence vectors. All
@@ -269,19 +325,28 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
     """
     long = T.LongType()
     names = ("token", "kind", "pages", "occurrences", "high", "low")
-    schema = T.StructType([field("host", T.StringType()), *[field(n, long) for n in names], field("place", T.DoubleType())])
+    schema = T.StructType([field("host", T.StringType()), *[field(n, long) for n in names], field("place", T.DoubleType()), field("up", long), field("chars", long)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts: dict[str, list] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(host, 0, 2, n, n, 0, 0, 0.0) for host, (n, _, _) in hosts.items()]
-            for host, (_, tags, texts) in hosts.items():
-                rows += [(host, t, 0, *v) for t, v in tags.items()] + [(host, t, 1, *v, 0, 0, 0.0) for t, v in texts.items()]
-            columns = list(zip(*rows)) or [()] * 8  # noqa: B905
+            rows = [(host, 0, 2, n, n, 0, 0, 0.0, None, 0) for host, (n, *_) in hosts.items()]
+            for host, (_, tags, texts, ups) in hosts.items():
+                inside = dict.fromkeys(ups, 0)
+                for _, _, path, size in texts.values():
+                    if path in inside:
+                        inside[path] += size
+                for path in reversed(ups):  # an element is met before those in it
+                    if ups[path] in inside:
+                        inside[ups[path]] += inside[path]
+                rows += [(host, t, 0, *v, ups.get(t), inside.get(t, 0)) for t, v in tags.items()]
+                rows += [(host, t, 1, n, all_, 0, 0, 0.0, path, size) for t, (n, all_, path, size) in texts.items()]
+            columns = list(zip(*rows)) or [()] * 10  # noqa: B905
             tokens = pa.array(np.array(columns[1], np.uint64).view(np.int64))
+            ups = pa.array([None if u is None else u - (u >> 63 << 64) for u in columns[8]], pa.int64())
             ints = [pa.array(c, pa.int64()) for c in columns[2:7]]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), tokens, *ints, pa.array(columns[7], pa.float64())], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), tokens, *ints, pa.array(columns[7], pa.float64()), ups, pa.array(columns[9], pa.int64())], names=schema.names)
 
         held = 0
         for batch in batches:
@@ -289,7 +354,7 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
             for key, url, page in zip(batch.column(at(id_col)).to_pylist(), batch.column(at(url_col)).to_pylist(), batch.column(at(html_col)).to_pylist(), strict=True):
                 if not page or page.isspace():
                     continue
-                tags, texts = tokens_of(page)
+                tags, texts, ups = tokens_of(page)
                 number = xxhash.xxh64_intdigest(f"{key}\0{url}\0{page}")
                 known = None if held >= max_runs else hosts.get(host_of(url))
                 if known is None:
@@ -297,8 +362,10 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
                         yield out()
                         hosts.clear()
                         held = 0
-                    known = hosts[host_of(url)] = [0, {}, {}]
+                    known = hosts[host_of(url)] = [0, {}, {}, {}]
                 known[0] += 1
+                for path, up in ups.items():
+                    known[3].setdefault(path, up)
                 places: dict[int, float] = {}
                 for i, t in enumerate(tags):
                     places.setdefault(t, i / len(tags))
@@ -313,14 +380,15 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
                         v[2] += mark >> 32
                         v[3] += mark & 0xFFFFFFFF
                         v[4] += places[t]
-                for t, n in Counter(texts).items():
+                for (t, path, size), n in Counter(texts).items():
                     v = known[2].get(t)
                     if v is None:
-                        known[2][t] = [1, n]
+                        known[2][t] = [1, n, path, n * size]
                         held += 1
                     else:
                         v[0] += 1
                         v[1] += n
+                        v[3] += n * size
         yield out()
 
     return map_arrow(plain(pages, id_col, url_col, html_col), run, schema)
@@ -329,12 +397,18 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5, min_pages: int = 10) -> DataFrame:
     """(host, pages, rows) with the rows that ``deduce`` needs, for hosts of two pages or more.
     Sums are pre-aggregated in each task, so a host with a third of all pages is no hot key."""
-    summed = occurrence_rows(pages, id_col, url_col, html_col).groupBy("host", "token", "kind").agg(*[F.sum(c).alias(c) for c in ("pages", "occurrences", "high", "low", "place")])
+    sums = [F.sum(c).alias(c) for c in ("pages", "occurrences", "high", "low", "place")]
+    summed = occurrence_rows(pages, id_col, url_col, html_col).groupBy("host", "token", "kind").agg(*sums, F.max("up").alias("up"), F.sum("chars").alias("chars"))
     summed = materialize(summed)
     total = summed.filter((F.col("kind") == 2) & (F.col("pages") > 1)).select("host", F.col("pages").alias("n"))
-    near = summed.filter("kind < 2").join(total, "host")
-    near = near.filter(F.col("pages") >= F.when((F.col("kind") == 0) | (F.col("n") >= min_pages), support * F.col("n")).otherwise(F.col("n")))
-    row = F.struct("token", "kind", "pages", "occurrences", "high", "low", (F.col("place") / F.col("pages")).alias("place"))
+    least = min(2.0, support * min_pages)  # no template text is on fewer pages
+    some = summed.filter((F.col("kind") == 0) | (F.col("kind") == 1) & (F.col("pages") >= least))
+    fresh = F.sum((F.col("chars") / F.col("occurrences")).cast("long")).alias("high")
+    slots = summed.filter("kind = 1").groupBy("host", F.col("up").alias("token")).agg(F.lit(3).cast("long").alias("kind"), F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), fresh, F.sum("chars").alias("chars"))
+    some = some.unionByName(slots.withColumns({"low": F.lit(0).cast("long"), "place": F.lit(0.0), "up": F.lit(None).cast("long")}))
+    near = some.join(total, "host")
+    near = near.filter(F.col("pages") >= F.when((F.col("kind") != 1) | (F.col("n") >= min_pages), support * F.col("n")).otherwise(F.col("n")))
+    row = F.struct("token", "kind", "pages", "occurrences", "high", "low", (F.col("place") / F.col("pages")).alias("place"), "up", "chars")
     return near.groupBy("host").agg(F.max("n").alias("pages"), F.collect_list(row).alias("rows"))
 
 
@@ -355,13 +429,14 @@ def extract_pages(
     page meets its host's template in a join.
     """
     made = materialize(templates(pages, id_col, url_col, html_col, support, min_pages))
-    size = 80 * (made.agg(F.sum(F.size("rows"))).first()[0] or 0)
+    size = 96 * (made.agg(F.sum(F.size("rows"))).first()[0] or 0)
     source = plain(pages, id_col, url_col, html_col)
     text, long = T.StringType(), T.LongType()
     added = [field("text", text), field("n_template", long), field("n_slots", long)]
 
     def of(row) -> Template:
-        return deduce([(r["token"] & 0xFFFFFFFFFFFFFFFF, r["kind"], r["pages"], r["occurrences"], r["high"], r["low"], r["place"]) for r in row["rows"]], row["pages"], support, min_pages)
+        rows = [(r["token"] & _ALL, r["kind"], r["pages"], r["occurrences"], r["high"], r["low"], r["place"], None if r["up"] is None else r["up"] & _ALL, r["chars"]) for r in row["rows"]]
+        return deduce(rows, row["pages"], support, min_pages)
 
     def arrays(found: list[tuple[str, int, int]]) -> list[pa.Array]:
         return [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]

@@ -237,6 +237,17 @@ def test_html_template_text_by_support(spark):
     assert [got[50 + i] for i in range(2)] == [f"The same long article that was found twice\n\nand goes on here\n\n{i}" for i in range(2)]
 
 
+def test_html_template_chooses_slots(spark):
+    def page(i):
+        menu = "".join(f"<a href=/{i + k}>Topic {i + k} of the day</a>" for k in range(3))
+        teasers = "".join(f"<div><span>Teaser {(i + k) % 4} that many pages show</span></div>" for k in range(2))
+        return f"<body><section>{menu}</section><div class='with sidebar'><h1>T{i}</h1><p>Own {'text of page %d ' % i * 9}</p>{teasers}</div><section><p>Reader {i} says</p></section></body>"
+
+    rows = [(i, f"http://h.org/{i}", page(i)) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\n\nOwn {('text of page %d ' % i * 9).strip()}" for i in range(40)), got[7]
+
+
 def test_html_counts_survive_a_full_task(spark):
     pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<p>own {i}<p>shared") for i in range(30)], "page_id long, url string, html string").coalesce(1)
     rows = [html_extract.occurrence_rows(pages, "page_id", "url", "html", max_runs=n).groupBy("host", "token", "kind").agg(F.sum("pages").alias("p"), F.sum("occurrences").alias("o")).collect() for n in (3, 1 << 17)]
