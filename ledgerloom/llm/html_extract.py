@@ -31,6 +31,13 @@ ASIDE_WORDS = frozenset(
     " reply replies disqus newsletter subscribe subscription cookie cookies consent gdpr notice popup modal overlay share sharing social related"
     " breadcrumb breadcrumbs pagination pager widget complementary contentinfo".split()
 )
+#: Words beside them in one name that change nothing: "main-nav" is a menu, "social-policy" isn't.
+FILLERS = frozenset(
+    "area bar block bottom box col column container content fixed form global group header inner item items js left link links list main mobile outer page post posts"
+    " primary right row secondary section signup site slot sticky top unit widget wrap wrapper".split()
+)
+#: Parts of an article that are no asides whatever they are called.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure".split())
 ROOTS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose text is no page text.
@@ -95,6 +102,17 @@ class Element:
     root: bool
     within: bool = False  # in the template's content element
     hard: bool = False
+    mark: Mark | None = None
+    article: bool = False
+
+
+class Mark:
+    """An element that a word or ``form`` makes an aside, the one around it, and what it holds: text
+    in articles, in roots, and all."""
+
+    def __init__(self, outer: Mark | None):
+        self.outer = outer
+        self.held = [0, 0, 0]
 
 
 @dataclass
@@ -112,20 +130,22 @@ class Template:
     few: bool = False
 
 
-def _is_aside(name: str, attributes: str, inside: bool) -> bool:
-    if name in ASIDE or name == "header" and not inside:
+def _hidden(attributes: str) -> bool:
+    return any(m[1].lower() == "hidden" and m[2] is None and m[3] is None and m[4] is None for m in _ATTRIBUTE.finditer(attributes))
+
+
+def _is_marked(name: str, attributes: str, inside: bool) -> bool:
+    """Whether a name in class, id or role says aside: one of ASIDE_WORDS, alone or with FILLERS."""
+    if name == "form":
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "article", "main") or inside and name in PROSE:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        key = m[1].lower()
-        if key == "hidden":
-            if m[2] is None and m[3] is None and m[4] is None:
-                return True
-            continue
-        words = set(_PARTS.split((m[2] or m[3] or m[4] or "").lower()))
-        if words & ASIDE_WORDS or "header" in words and not inside:
-            return True
+        if m[1].lower() != "hidden":
+            for one in (m[2] or m[3] or m[4] or "").lower().split():
+                words = set(filter(None, _PARTS.split(re.sub(r"[0-9]+", "", one))))
+                if words <= ASIDE_WORDS | FILLERS and (words & ASIDE_WORDS or "header" in words and not inside):
+                    return True
     return False
 
 
@@ -168,9 +188,12 @@ def walk(page: str, content: int = 0) -> Iterator[tuple[str, int, str, Element |
             elif name == "br":
                 yield "text", 0, " ", top
             if name not in VOID and not rest.endswith("/"):
-                hard = top.hard or name in HARD
-                aside = hard or path != content and (top.aside or _is_aside(name, rest, top.root))
-                stack.append(Element(name, path, aside, top.root or name in ROOTS or "role=\"main\"" in rest, top.within or path == content, hard))
+                hard = top.hard or name in HARD or "hidden" in rest.lower() and _hidden(rest)
+                aside, mark = hard, None
+                if path != content:
+                    aside = hard or top.aside or name in ASIDE and name != "form" or name == "header" and not top.root
+                    mark = Mark(top.mark) if _is_marked(name, rest, top.root) else top.mark
+                stack.append(Element(name, path, aside, top.root or name in ROOTS or "role=\"main\"" in rest, top.within or path == content, hard, mark, top.article or name == "article"))
                 opened[name] += 1
         elif opened[name] > 0:
             yield "close", digest("/", next(e.path for e in reversed(stack) if e.name == name)), name, None
@@ -253,12 +276,34 @@ def deduce(rows: Iterable[tuple], pages: int, support: float = 0.5, min_pages: i
     return Template(skeleton, content, frozenset(texts), repeated)
 
 
+def _standing(marks: Iterable[Mark], held: list[int]):
+    """Tells whether a mark, or one around it, makes an aside. What marks hold is summed outwards."""
+    every: dict[Mark, None] = {}
+    for mark in marks:
+        chain = []
+        while mark is not None and mark not in every:
+            chain.append(mark)
+            mark = mark.outer
+        every.update(dict.fromkeys(reversed(chain)))
+    for mark in reversed(every):
+        if mark.outer is not None:
+            mark.outer.held = [a + b for a, b in zip(mark.outer.held, mark.held, strict=True)]
+    ground = next((i for i in range(3) if held[i]), 2)
+    asides: set[Mark] = set()
+    for mark in every:  # outer ones first
+        if mark.outer in asides or 2 * mark.held[ground] <= held[ground]:
+            asides.add(mark)
+    return lambda mark: mark in asides
+
+
 def extract(page: str, template: Template | None = None) -> tuple[str, int, int]:
     """(main text, template tokens found in order, text slots that hold the main text).
 
     What lies between template tokens are the slots. Those in the template's content element, if
     the page has it with text, are the main text; of them, or without it of all, those in an
-    article or main element, if there is one, and outside all asides. A template's text and that of
+    article or main element, if there is one, and outside all asides, unless nothing but asides has
+    text. An element that its class, id or role (or being a form) marks as aside is none if it holds
+    more than half of the text in articles; without such, in roots; without such, of all. A template's text and that of
     repeated slots, headings not counted, are left out of blocks that consist half or more of them,
     unless nothing would remain, or less than half by a template of few pages, which may be copies
     of one. Slots are parted where blocks begin and end.
@@ -266,48 +311,61 @@ def extract(page: str, template: Template | None = None) -> tuple[str, int, int]
     template = template or Template()
     skeleton, at = template.skeleton, 0
     place = {t: i for i, t in enumerate(skeleton)}
-    kept: list[tuple[tuple[bool, bool], str, str]] = []  # where (content, root), whole block, block without template text
+    # where (content, root), whether in an aside by tag, mark; whole block, block without template text, its gaps
+    kept: list[tuple[tuple, str, str, list[int]]] = []
     whole: list[str] = []
     own: list[str] = []
-    where = (False, False)
-    rooted = False
+    gaps: list[int] = []
+    where: tuple = (False, False, False, None)
+    roots: list[tuple[bool, Mark | None]] = []
+    held = [0, 0, 0]
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(whole)).split())
         if text:
             part = " ".join(html.unescape("".join(own)).split())
-            kept.append((where, text, text if 2 * len(part) > len(text) else part))
+            kept.append((where, text, text if 2 * len(part) > len(text) else part, gaps.copy()))
         whole.clear()
         own.clear()
+        gaps.clear()
 
-    slots: dict[tuple[bool, bool], set[int]] = {}
     for kind, token, text, element in walk(page, template.content):
         if kind == "break":
             flush()
         elif kind == "text":
-            if element.aside:
+            if element.hard:
                 continue
-            if (element.within, element.root) != where:
+            now = (element.within, element.root, element.aside, element.mark)
+            if now != where:
                 flush()
-                where = (element.within, element.root)
+                where = now
             whole.append(text)
+            if not element.aside:
+                size = len(text.strip())
+                for sums in (held, *([element.mark.held] if element.mark else ())):
+                    sums[0] += size * element.article
+                    sums[1] += size * element.root
+                    sums[2] += size
             if token not in template.texts and (element.path not in template.repeated or element.name in HEADINGS):
                 own.append(text)
                 if text.strip():
-                    slots.setdefault(where, set()).add(at)
+                    gaps.append(at)
         else:
-            rooted = rooted or (kind == "open" and element is not None and not element.aside and text in ROOTS)
+            if kind == "open" and element is not None and not element.aside and text in ROOTS:
+                roots.append((element.within, element.mark))
             if place.get(token, -1) >= at:
                 at = place[token] + 1
     flush()
-    inner = any(w[0] and part for w, _, part in kept)
-    rooted = rooted and any(w[1] and w[0] >= inner for w, _, _ in kept)
-    chosen = [w for w in [(False, False), (False, True), (True, False), (True, True)] if w[0] >= inner and w[1] >= rooted]
-    blocks = [(full, part) for w, full, part in kept if w in chosen]
+    stands = _standing({id(w[3]): w[3] for w, *_ in kept if w[3]}.values(), held)
+    free = [k for k in kept if not k[0][2] and not stands(k[0][3])]
+    inner = any(w[0] and part for w, _, part, _ in free)
+    rooted = any(not stands(mark) for _, mark in roots) and any(w[1] and w[0] >= inner for w, *_ in free)
+    chosen = [k for k in free if k[0][0] >= inner and k[0][1] >= rooted] or kept
+    blocks = [(full, part) for _, full, part, _ in chosen]
     left = [part for _, part in blocks if part]
     if not left or template.few and 2 * sum(map(len, left)) < sum(len(full) for full, _ in blocks):
         left = [full for full, _ in blocks]
-    return "\n\n".join(left), at, len(set().union(*[slots.get(w, ()) for w in chosen]))
+    return "\n\n".join(left), at, len({g for *_, own_gaps in chosen for g in own_gaps})
 
 
 def host_of(url: str | None) -> str:

@@ -248,6 +248,20 @@ def test_html_template_chooses_slots(spark):
     assert all(got[i] == f"T{i}\n\nOwn {('text of page %d ' % i * 9).strip()}" for i in range(40)), got[7]
 
 
+@pytest.mark.parametrize("wrapper", ["class='with-sidebar'", "class='no-ads x'", "id='has-banner'", "class='page-overlay'", "class='sidebar'", "role=complementary"])
+def test_html_wrappers_are_no_asides(wrapper):
+    inner = "<article><h1>T</h1><p class='notice'>Mind this.<section id='related-work'><p>Others did.</section><div class='social-policy'>Be kind.</div><div class='share'>Tweet</div></article>"
+    want = "T\n\nMind this.\n\nOthers did.\n\nBe kind."
+    assert html_extract.extract(f"<body><div {wrapper}><nav>Home</nav>{inner}</div><div class='main-nav'>Menu</div></body>")[0] == want
+    assert html_extract.extract(f"<body><div {wrapper}><p>A long text that makes up the page</p><div class='comments'>c</div></div><p>out</body>")[0].startswith("A long text that makes up the page")
+
+
+def test_html_falls_back_to_asides():
+    assert html_extract.extract("<body><nav>Only</nav><footer>this</footer><script>no</script><p hidden>no</p></body>")[0] == "Only\n\nthis"
+    assert html_extract.extract("<body><nav>Menu</nav><div class='ad'>only this</div></body>")[0] == "only this"
+    assert html_extract.extract("<form><article>Text of the page</article><input></form>")[0] == "Text of the page"
+
+
 def test_html_counts_survive_a_full_task(spark):
     pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<p>own {i}<p>shared") for i in range(30)], "page_id long, url string, html string").coalesce(1)
     rows = [html_extract.occurrence_rows(pages, "page_id", "url", "html", max_runs=n).groupBy("host", "token", "kind").agg(F.sum("pages").alias("p"), F.sum("occurrences").alias("o")).collect() for n in (3, 1 << 17)]
