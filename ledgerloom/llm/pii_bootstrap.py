@@ -21,6 +21,7 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9])+")
+_QUAD = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _DIGIT = re.compile(r"[0-9]")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]*$")
 
@@ -84,11 +85,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape_of(text: str) -> str:
-    """Lengths of digit groups, and which marks stand between them; a handle has its own shape."""
-    if "@" in text:
-        return "h@d"
-    return re.sub(r"[0-9]+", lambda m: str(len(m[0])), re.sub(r"\s", " ", text))
+def class_of(text: str) -> str:
+    """Handle, dotted quad, or any other number."""
+    return "handle" if "@" in text else "quad" if _QUAD.fullmatch(text) else "number"
+
+
+def fits_of(text: str) -> int:
+    """The kinds a candidate can be of, as bits."""
+    kind = class_of(text)
+    if kind != "number":
+        return 1 << KINDS.index("email" if kind == "handle" else "ip")
+    n = len(digits_of(text))
+    return (12 <= n <= 19) << KINDS.index("card") | (7 <= n <= 15) << KINDS.index("phone")
 
 
 def candidate_spans(text: str) -> list[tuple[int, int]]:
@@ -103,12 +111,14 @@ def candidate_spans(text: str) -> list[tuple[int, int]]:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a place: the word before and the shape, alone and with what follows."""
+    """Lexical patterns of a place: the word before and the class, alone and with the word that
+    follows. Without a word before there is none."""
     m = _WORD_BEFORE.search(text, max(0, start - 40), start)
-    left = m[1].lower() if m else ""
-    shape = shape_of(text[start:end])
+    if m is None:
+        return []
+    left = f"{m[1].lower()}|{class_of(text[start:end])}"
     after = re.match(r"\W*([^\W\d_]+)", text[end : end + 40])
-    return [f"{left}|{shape}"] + ([f"{left}|{shape}|{after[1].lower()}"] if after else [])
+    return [left] + ([f"{left}|{after[1].lower()}"] if after else [])
 
 
 def _number(text: str) -> int:
@@ -116,8 +126,8 @@ def _number(text: str) -> int:
 
 
 def examine(text: bytes) -> tuple:
-    """Counts of the base kinds, their spans, and (start, end, kind or -1, instance, pattern) of
-    every context of seeds and candidates."""
+    """Counts of the base kinds, their spans, and (start, end, kind or -1, fitting kinds, instance,
+    pattern) of every context of seeds and candidates."""
     whole = text.decode("utf-8", "replace")
     base = base_spans(whole)
     mentions = []
@@ -132,47 +142,63 @@ def examine(text: bytes) -> tuple:
                 found.append((a, b, -1))
         for a, b, k in found:
             instance = _number(whole[a:b])
-            mentions += [{"start": a, "end": b, "kind": k, "instance": instance, "pattern": _number(p)} for p in contexts(whole, a, b)]
+            fits = 1 << k if k >= 0 else fits_of(whole[a:b])
+            mentions += [{"start": a, "end": b, "kind": k, "fits": fits, "instance": instance, "pattern": _number(p)} for p in contexts(whole, a, b)]
     counts = [sum(1 for _, k, _ in base if k == kind) for kind in range(4)]
     return (*counts, [{"start": a, "kind": k, "end": b} for a, k, b in base], mentions)
 
 
-def confident_patterns(mentions: DataFrame, rounds: int = 2, min_support: int = 5, min_score: float = 0.9) -> DataFrame:
-    """(pattern, kind, score) after scoring the graph of patterns and instances ``rounds`` times.
+def confident_patterns(mentions: DataFrame, rounds: int | None = None, min_support: int = 5, min_score: float = 0.9) -> DataFrame:
+    """(pattern, kind, score) after scoring the graph of patterns and instances until no new pattern
+    turns confident, or ``rounds`` times.
 
-    ``mentions``: distinct (pattern, instance, kind), where kind is null for a candidate. Seeds
-    are sure of their kind. A pattern's score for a kind is its instances' mean confidence in the
-    kind; with ``min_support`` distinct instances and ``min_score`` it is confident. A candidate's
-    confidence is that of at least one of its confident patterns being right.
+    ``mentions``: distinct (pattern, instance, kind, fits), where kind is null for a candidate and
+    fits has the bits of the kinds it can be of. Seeds are sure of their kind. A pattern's score for
+    a kind is its instances' confidence in the kind over that in any kind and the number of its
+    candidates that can't be of the kind; candidates nothing is known of don't count. With
+    ``min_support`` instances' confidence and ``min_score`` it is confident, and stays so. A
+    candidate's confidence is that of at least one of its confident patterns being right.
     """
     names = [f"c{k}" for k in range(len(KINDS))]
+    bad = [f"b{k}" for k in range(len(KINDS))]
     seeds = mentions.filter("kind is not null")
-    unseen = mentions.filter("kind is null").select("pattern", "instance")
-    sure = seeds.select("pattern", *[(F.col("kind") == k).cast("double").alias(n) for k, n in enumerate(names)])
-    confidence = unseen.select("pattern", *[F.lit(0.0).alias(n) for n in names])
-    best = None
-    for i in range(rounds):
-        scored = sure.union(confidence).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.avg(n).alias(n) for n in names])
-        top = F.greatest(*names)
-        kind = F.coalesce(*[F.when(F.col(n) == top, F.lit(k)) for k, n in enumerate(names)])
-        best = scored.filter((F.col("n") >= min_support) & (top >= min_score)).select("pattern", kind.alias("kind"), top.alias("score"))
-        best = materialize(best)
-        if i + 1 < rounds:
-            by = unseen.join(best, "pattern").groupBy("instance").agg(
-                *[(1 - F.exp(F.sum(F.when(F.col("kind") == k, F.log(F.lit(1.000001) - 0.99 * F.col("score"))).otherwise(0.0)))).alias(n) for k, n in enumerate(names)]
-            )
-            confidence = unseen.join(by, "instance", "left").select("pattern", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
-    return best
+    unseen = mentions.filter("kind is null").select("pattern", "instance", "fits")
+
+    def fit(k):
+        return F.col("fits").bitwiseAND(F.lit(1 << k)) != 0
+
+    sure = seeds.select("pattern", *[(F.col("kind") == k).cast("double").alias(n) for k, n in enumerate(names)], *[F.lit(0.0).alias(n) for n in bad])
+    against = [(~fit(k)).cast("double").alias(n) for k, n in enumerate(bad)]
+    confidence = unseen.select("pattern", *[F.lit(0.0).alias(n) for n in names], *against)
+    best, known, done = None, 0, 0
+    while True:
+        scored = sure.union(confidence).groupBy("pattern").agg(*[F.sum(n).alias(n) for n in (*names, *bad)])
+        whole = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+        tried = [F.when(F.col(n) >= min_support, F.col(n) / (whole + F.col(f"b{k}"))).otherwise(0.0) for k, n in enumerate(names)]
+        top = F.greatest(*tried)
+        kind = F.coalesce(*[F.when(t == top, F.lit(k)) for k, t in enumerate(tried)])
+        found = scored.select("pattern", kind.alias("kind"), top.alias("score")).filter(F.col("score") >= min_score)
+        if best is not None:
+            found = best.union(found.join(best.select("pattern"), "pattern", "left_anti"))
+        best = materialize(found)
+        done, before, known = done + 1, known, best.count()
+        if known == before or done == rounds:
+            return best
+        by = unseen.join(best, "pattern").groupBy("instance").agg(
+            *[(1 - F.exp(F.sum(F.when((F.col("kind") == k) & fit(k), F.log(F.lit(1.000001) - 0.99 * F.col("score"))).otherwise(0.0)))).alias(n) for k, n in enumerate(names)]
+        )
+        confidence = unseen.join(by, "instance", "left").select("pattern", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names], *against)
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, min_support: int = 5, min_score: float = 0.9
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None, min_support: int = 5, min_score: float = 0.9
 ) -> DataFrame:
     """The id, n_email, n_ip, n_card, n_phone, base_spans and spans of every row.
 
     base_spans and spans are ``kind:start:end`` by start, then kind as listed, comma-joined;
     offsets are code points, ends exclusive. base_spans has the fixed patterns' matches and the
-    counts count them; spans also has candidates that a confident pattern of their kind finds.
+    counts count them; spans also has candidates that a confident pattern finds, of the kind of the
+    best one among the kinds they fit.
 
     Null and empty texts have no spans; null ids and repeated rows stay; an empty table gives
     none; other columns are not read. Texts are read once: what is found in them, which is small,
@@ -181,7 +207,7 @@ def find_personal_data(
     """
     long, integer = T.LongType(), T.IntegerType()
     base = T.ArrayType(T.StructType([field("start", long), field("kind", integer), field("end", long)]))
-    mention = T.ArrayType(T.StructType([field("start", long), field("end", long), field("kind", integer), field("instance", long), field("pattern", long)]))
+    mention = T.ArrayType(T.StructType([field("start", long), field("end", long), field("kind", integer), field("fits", integer), field("instance", long), field("pattern", long)]))
     added = [*[field(f"n_{k}", long) for k in KINDS], field("__base", base), field("__mentions", mention), field("__row", T.BinaryType())]
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -189,15 +215,16 @@ def find_personal_data(
         ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
         rows = [examine(t) for t in texts]
         spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        seen = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("instance", pa.int64()), ("pattern", pa.int64())]))
+        seen = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("fits", pa.int32()), ("instance", pa.int64()), ("pattern", pa.int64())]))
         kinds = [*[pa.int64()] * 4, spans, seen]
         return [*[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], pa.array([xxhash.xxh3_128_digest(f"{i}:".encode() + t) for i, t in zip(ids, texts, strict=True)], pa.binary())]
 
     found = materialize(map_batches(plain(docs, id_col, text_col), added, lambda: run, [id_col]))
     every = found.select("__row", F.explode("__mentions").alias("m")).select("__row", "m.*")
-    graph = every.select("pattern", "instance", F.when(F.col("kind") >= 0, F.col("kind")).alias("kind")).distinct()
+    graph = every.select("pattern", "instance", F.when(F.col("kind") >= 0, F.col("kind")).alias("kind"), "fits").distinct()
     patterns = confident_patterns(graph, rounds, min_support, min_score)
-    new = every.filter("kind < 0").select("__row", "start", "end", "pattern").join(patterns.select("pattern", "kind"), "pattern")
+    new = every.filter("kind < 0").select("__row", "start", "end", "fits", "pattern").join(patterns, "pattern")
+    new = new.filter(F.col("fits").bitwiseAND(F.expr("shiftleft(1, kind)")) != 0).groupBy("__row", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     new = new.groupBy("__row").agg(F.collect_set(F.struct(F.col("start"), F.col("kind").cast("int").alias("kind"), F.col("end"))).alias("__new"))
     joined = found.drop("__mentions").join(new, "__row", "left")
 

@@ -114,6 +114,23 @@ def test_personal_data(spark):
     assert pii_bootstrap.find_personal_data(docs_of(spark, [])).count() == 0
 
 
+def test_personal_data_of_other_shapes(spark):
+    texts = [f"please call +1 555-{100 + i}-4567 today" for i in range(12)] + [f"please call 555-{200 + i}-4567 at once" for i in range(6)]
+    texts += [f"at once dial call 44{i} 20 7946 0958 now" for i in range(2)] + ["code call 123456789012345678901 x", "room 555-123-4567"]
+    texts += [f"mixed +1 555-{300 + i}-4567" for i in range(6)] + [f"mixed 1.2.3.{i} or mixed 4111 1111 1111 1111" for i in range(6)] + ["mixed 555-999-4567"]
+    got = [r["spans"] for r in sorted(pii_bootstrap.find_personal_data(docs_of(spark, texts)).collect(), key=lambda r: r["doc_id"])]
+    assert got[12:18] == ["phone:12:24"] * 6 and all(g.startswith("phone:") for g in got[18:20])
+    assert got[20:22] == ["", ""] and got[-1] == ""
+
+
+def test_patterns_are_scored_until_they_settle(spark):
+    seeds = [("a", f"s{i}", 3, 8) for i in range(6)]
+    unseen = [(p, f"{p}{q}{i}", None, 12) for p, q in ("ab", "bc", "cd") for i in range(6)] + [(q, f"{p}{q}{i}", None, 12) for p, q in ("ab", "bc", "cd") for i in range(6)]
+    other = [("x", f"s{i}", 3, 8) for i in range(6)] + [("x", f"t{i}", 2, 4) for i in range(6)] + [("y", f"s{i}", 3, 8) for i in range(6)] + [("y", f"u{i}", None, 4) for i in range(6)]
+    graph = spark.createDataFrame(seeds + unseen + other, "pattern string, instance string, kind int, fits int")
+    assert {(r["pattern"], r["kind"]) for r in pii_bootstrap.confident_patterns(graph).collect()} == {(p, 3) for p in "abcd"}
+
+
 def test_language_held_out_accuracy(spark):
     docs = queries.read(spark, "/root/testdata/sf0.01", "documents")
     got = queries.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
