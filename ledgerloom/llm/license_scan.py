@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -136,10 +137,11 @@ class LicenseAutomaton:
             long.append((before, matched, state))
         return places, long
 
-    def chains(self, long: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, int, int]]:
+    def chains(self, long: list[tuple[int, int, int]], max_gap: int, min_cover: float = 0.6) -> list[tuple[int, int, int, int]]:
         """(template, first word, last word, template words covered) of the best chain in each
-        cluster of matches that lie at most ``max_gap`` words apart. A chain goes forward in the
-        text and in the template at once; a Fenwick tree over the template finds what it prolongs."""
+        cluster of matches that lie at most ``max_gap`` words apart, and of all that lie beside it and
+        cover ``min_cover`` of the template too. A chain goes forward in the text and in the template
+        at once; a Fenwick tree over the template finds what it prolongs."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, size, state in long:
             for t, at in self.ends[state]:
@@ -150,10 +152,36 @@ class LicenseAutomaton:
             begin = 0
             for i in range(1, len(matches) + 1):
                 if i == len(matches) or matches[i][0] - matches[i - 1][1] > max_gap:
-                    found.append((t, *self._best_chain(matches[begin:i], self.sizes[t])))
+                    found += [(t, *chain) for chain in self._chains_in(matches[begin:i], self.sizes[t], min_cover)]
                     begin = i
         return found
 
+    @classmethod
+    def _chains_in(cls, matches: list[tuple[int, int, int]], size: int, min_cover: float) -> Iterator[tuple[int, int, int]]:
+        """The best chain of a cluster, then those before and after it. To stay near linear in the
+        number of copies, these are looked for in a window that doubles until its best chain stays."""
+        best = cls._best_chain(matches, size)
+        yield best
+        if best[2] / size < min_cover:
+            return
+        waiting = [[m for m in matches if m[1] < best[0]], [m for m in matches if m[0] > best[1]]]
+        while waiting:
+            part, at = waiting.pop(), 0
+            while at < len(part):
+                width = 64
+                best = cls._best_chain(part[at : at + width], size)
+                while at + width < len(part):
+                    width *= 2
+                    wider = cls._best_chain(part[at : at + width], size)
+                    if wider == best and best[2] / size >= min_cover:
+                        break
+                    best = wider
+                if best[2] / size < min_cover:
+                    break
+                yield best
+                waiting.append([m for m in part[at : at + width] if m[1] < best[0]])
+                at = bisect_right(part, best[1], at, key=lambda m: m[0])
+
     @staticmethod
     def _best_chain(matches: list[tuple[int, int, int]], size: int) -> tuple[int, int, int]:
         tree: list[tuple[int, int]] = [(0, -1)] * (size + 1)  # most words covered up to a place, where that chain began
@@ -188,7 +216,7 @@ def scan_text(automaton: LicenseAutomaton, text: bytes, min_match: int = 4, min_
     labels = set(base)
     cover = 0.0
     spans = []
-    for t, first, last, covered in automaton.chains(long, max_gap) if long else ():
+    for t, first, last, covered in automaton.chains(long, max_gap, min_cover) if long else ():
         share = min(1.0, covered / automaton.sizes[t])
         cover = max(cover, share)
         if share >= min_cover:

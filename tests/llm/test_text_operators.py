@@ -51,6 +51,16 @@ def test_license_chain_skips_a_gap():
     assert got[5] == "x" and got[6] == pytest.approx(0.9) and got[7] == "x:1:12"
 
 
+def test_license_repeated_notices_have_a_span_each():
+    automaton = license_scan.LicenseAutomaton((("x", "one two three four five six seven eight nine ten"),), {})
+    whole, parted = "one two three four five six seven eight nine ten", "one two three four five and seven eight nine ten"
+    copies = [whole if i % 3 else parted for i in range(500)]
+    got = license_scan.scan_text(automaton, " zero ".join(copies).encode(), 4, 0.8)
+    assert got[6] == 1.0 and got[7] == ",".join(f"x:{11 * i}:{11 * i + 10}" for i in range(500))
+    got = license_scan.scan_text(automaton, b" ".join([b"one two three four", *[parted.encode()] * 2]), 4, 1.0)
+    assert got[6] == pytest.approx(0.9) and got[7] == ""
+
+
 def test_suffix_automaton_matches_all_substrings():
     rng = np.random.default_rng(3)
     templates = tuple((f"t{i}", " ".join(rng.choice(list("abc"), 8))) for i in range(5))
