@@ -472,5 +472,5 @@ def spearman_pairs(spark, sf_dir):
 @query
 def logreg_scores(spark, sf_dir):
     train = features(spark, sf_dir)
-    prepared, model = models.fit(models.ModelSpec("logreg", "logreg", {"C": 1.0, "max_iter": 20}), train, settings=S)
+    prepared, model = models.fit(models.default_specs()[0], train, settings=S)
     return models.score(model, prepared, train).select("txn_id", "score")

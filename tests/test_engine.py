@@ -265,3 +265,18 @@ def test_settings_and_files(spark, tmp_path):
         files.verify_checksum(str(tmp_path / "m/x.json"), md5, size + 1)
     files.write_report(scores(spark), str(tmp_path / "r"))
     assert files.read_report(spark, str(tmp_path / "r")).count() == 6
+
+
+def test_logreg_scores_are_the_production_model(spark, sf_dir, monkeypatch):
+    from ledgerloom.plans import registry
+
+    seen, real = [], models.fit
+
+    def fit(spec, *rest, **more):
+        prepared, model = real(spec, *rest, **more)
+        seen.append((spec, model.stages[-1].getMaxIter()))
+        return prepared, model
+
+    monkeypatch.setattr(models, "fit", fit)
+    registry.QUERIES["logreg_scores"](spark, sf_dir)
+    assert seen == [(models.default_specs()[0], 1000)]
