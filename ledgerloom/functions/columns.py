@@ -60,5 +60,12 @@ def clipped(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def tie_break(key: Column, seed: int) -> Column:
-    """A fixed pseudo-random order of rows, the same on every run and for every partitioning."""
-    return F.pmod(key * F.lit(2_654_435_761 + seed - 42), F.lit(1_000_003))
+    """A fixed pseudo-random order of rows, the same on every run and for every partitioning.
+    The key is reduced before the product, so no key is too large for it."""
+    prime = F.lit(1_000_003)
+    return F.pmod(F.pmod(key, prime) * F.lit(2_654_435_761 + seed - 42), prime)
+
+
+def number_after(value: Column, mark: str = "#") -> Column:
+    """The digits that follow the first ``mark`` as a double; NULL where none do."""
+    return F.nullif(F.regexp_extract(value, f"{mark}(\\d+)", 1), F.lit("")).cast("double")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.columns import namespaced, require_columns
+from ..functions.columns import namespaced, ratio, require_columns
 
 #: Raw header positions and the names their columns get.
 RAW_NAMES = (
@@ -30,6 +30,14 @@ def drop_tail(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return df.filter(F.col("timestamp") < F.lit(settings.simulation_end).cast("timestamp"))
 
 
+def tail_summary(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """What ``drop_tail`` takes from parsed rows: rows, dropped, dropped_positives, dropped_rate."""
+    gone, y = F.col("timestamp") >= F.lit(settings.simulation_end).cast("timestamp"), F.col(settings.target).cast("long")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    found = df.agg(F.count(F.lit(1)).alias("rows"), count(gone.cast("long")).alias("dropped"), count(F.when(gone, y)).alias("dropped_positives"))
+    return found.withColumn("dropped_rate", ratio(F.col("dropped_positives"), F.col("dropped")))
+
+
 def namespace_accounts(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{s}_account": namespaced(f"{s}_bank", f"{s}_account") for s in ("src", "dst")})
 
@@ -54,8 +62,14 @@ def flag_burn_in(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def add_txn_id(df: DataFrame) -> DataFrame:
-    """A tie-breaker for equal timestamps, if the ledger has none: ingest order."""
-    return df if "txn_id" in df.columns else df.withColumn("txn_id", F.monotonically_increasing_id())
+    """A tie-breaker for equal timestamps, if the ledger has none (the CSV scan gives one: the place
+    in the file): a hash of the row, counted on for rows that repeat. It is the same on every run
+    and for every partitioning; rows that are equal in all columns may swap theirs."""
+    if "txn_id" in df.columns:
+        return df
+    same = Window.partitionBy("__hash").orderBy(*[F.col(f"`{c}`") for c in df.columns])
+    hashed = df.withColumn("__hash", F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 1))
+    return hashed.withColumn("txn_id", F.col("__hash") + F.row_number().over(same) - 1).drop("__hash")
 
 
 def clean(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Settings
+from ..config import DEFAULT, MODEL_METRICS, Settings
 from ..functions.columns import clipped, micros, ratio, require_columns
 from .windows import prior_count, prior_mean
 
@@ -100,6 +103,17 @@ def join_side(df: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
     return df.join(own, [f"{side}_account", "day"], "left")
 
 
+#: What ``pair_features`` adds to a transfer.
+PAIR_COLUMNS = ("pair_txn_count_prior", "is_first_interaction", "pair_amt_log_dev")
+
+
+def model_inputs(columns: Iterable[str]) -> list[str]:
+    """Those of a table's columns that are graph features for models, in the table's order: what
+    ``join_side`` and ``accelerations`` made of a model metric, and the pair's history."""
+    own = re.compile(rf"(?:src|dst)_(?:{'|'.join(MODEL_METRICS)})_(?:\d+d|accel)")
+    return [c for c in columns if c in PAIR_COLUMNS or own.fullmatch(c)]
+
+
 def accelerations(df: DataFrame, short: int = 1, long: int = 7) -> DataFrame:
     """Degree over the short window by that over the long one, after counts are zero-filled."""
     return df.withColumns({f"{s}_{m}_accel": ratio(F.col(f"{s}_{m}_{short}d"), F.col(f"{s}_{m}_{long}d")) for s in ("src", "dst") for m in ("in_degree", "out_degree")})

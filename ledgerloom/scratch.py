@@ -6,14 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where they go if the cluster names no shared folder.
+#: Where they go if no shared folder is named and driver and executors are one machine.
 LOCAL_SHARED = "/tmp/checkpoints/ledgerloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local one if the master is
+    local; on a cluster this is an error, as executors couldn't read each other's parts."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/ledgerloom" if named else LOCAL_SHARED
+    if named:
+        return f"{named.rstrip('/')}/ledgerloom"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return LOCAL_SHARED
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -22,14 +27,25 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def _own(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+def release(df: DataFrame) -> None:
+    """Remove the table behind a frame that ``materialize`` gave, once nothing reads it any more."""
+    _delete(df.sparkSession, df._scratch_path)
 
 
 def clear(spark: SparkSession) -> None:
     """Remove what this application has written; results that still read it must be done."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own(spark))
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

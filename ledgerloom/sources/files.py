@@ -38,9 +38,27 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType, missing: type[Exc
     return df if rows is None else df.limit(rows)
 
 
+def with_place(df: DataFrame, name: str = "txn_id") -> DataFrame:
+    """``df``, as scanned, with a number that follows the order of files (by path) and of the rows in
+    each. A row fills a byte at least, so where its split begins, plus how many rows of the
+    partition were before it, grows along a file: 40 bits for that, 23 for the file."""
+    spark = df.sparkSession
+    to_path = lambda f: spark._jvm.org.apache.hadoop.fs.Path(f).toString()
+    paths = sorted(to_path(f) for f in df.inputFiles())
+    at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    if len(paths) < 2:
+        return df.withColumn(name, at)
+    known = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "__path string, __file long")
+    placed = df.select("*", at.alias(name), F.col("_metadata.file_path").alias("__path")).join(known, "__path", "left")
+    number = F.coalesce(F.col("__file"), F.raise_error(F.lit("a scanned file isn't in the listing")).cast("long"))
+    return placed.withColumn(name, F.shiftleft(number, 40) + F.col(name)).drop("__path", "__file")
+
+
 def read_transactions(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """The raw ledger; columns are bound by position, as its header repeats a name."""
-    return _csv(spark, path, RAW_SCHEMA, LedgerNotFoundError, LedgerSchemaError, rows)
+    """The raw ledger, with ``txn_id``, its rows' place in the files; columns are bound by position,
+    as its header repeats a name."""
+    found = with_place(_csv(spark, path, RAW_SCHEMA, LedgerNotFoundError, LedgerSchemaError, None))
+    return found if rows is None else found.limit(rows)
 
 
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import config, errors
+from ledgerloom import errors
 from ledgerloom.cli import ORDER, Stages, run_stages
 from ledgerloom.ml import experiments, models
 from ledgerloom.operators import clean, enrich, graph, history, metrics, profile, rules, split, stats, windows
@@ -116,7 +116,8 @@ def test_node_table_equals_brute_force(spark):
 
 def test_graph_sees_no_future(spark):
     rows = noisy(120, 5)
-    columns = ["txn_id", *config.graph_feature_columns()]
+    columns = ["txn_id", *graph.model_inputs(graph.build_graph_features(ledger(spark, rows[:1])).columns)]
+    assert len(columns) == 44
     early = [r for r in rows if r[1] < 5 * 1440]
     whole = {r["txn_id"]: r for r in graph.build_graph_features(ledger(spark, rows)).select(*columns).collect()}
     part = graph.build_graph_features(ledger(spark, early)).select(*columns).collect()
@@ -247,7 +248,7 @@ def test_stages_run_once(spark, tmp_path):
     names = list(ORDER)[:6]
     assert run_stages(stages, names) == names and run_stages(stages, names) == []
     assert files.read_report(spark, stages.at("reports", "baseline_individual")).count() == 7
-    assert stages.part("train").columns[-1] == "split" and set(config.graph_feature_columns()) <= set(stages.part("val").columns)
+    assert stages.part("train").columns[-1] == "split" and len(graph.model_inputs(stages.part("val").columns)) == 43
 
 
 def test_settings_and_files(spark, tmp_path):
