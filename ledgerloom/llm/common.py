@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..scratch import materialize  # noqa: F401
+from ..scratch import materialize, release  # noqa: F401
 
 #: Bytes that are part of a word are kept, A-Z become a-z, all others become a space.
 WORD_BYTES = bytes(

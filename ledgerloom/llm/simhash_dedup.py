@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, field, map_arrow, map_batches, materialize, plain
+from .common import as_bytes, field, map_arrow, map_batches, materialize, plain, release
 
 SEED = 42
 _CHUNK = 1 << 15
@@ -40,14 +39,14 @@ def fingerprint(text: bytes, size: int = 4) -> int:
     return int(sum(1 << b for b in np.flatnonzero(counts * 2 > n).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """The id and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, out: str = "fp", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The id, the columns ``keep`` and ``out`` (the fingerprint's bits as a signed long) of every row."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
         return [pa.array(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))]
 
-    return map_batches(plain(docs, id_col, text_col), [field("fp", T.LongType())], lambda: run, [id_col])
+    return map_batches(plain(docs, id_col, *keep, text_col), [field(out, T.LongType())], lambda: run, [id_col, *keep])
 
 
 # -- the trie join ------------------------------------------------------------
@@ -135,56 +134,84 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _rotated(fp: np.ndarray, shift: int) -> np.ndarray:
-    fp = fp.view(np.uint64)
-    return fp if shift == 0 else (fp << np.uint64(shift)) | (fp >> np.uint64(64 - shift))
+def _fields(value: Column, width: int, chosen: Sequence[int], parts: int) -> Column:
+    """The bits of the ``chosen`` of ``parts`` blocks of the lowest ``width`` bits, side by side."""
+    bounds = [width * k // parts for k in range(parts + 1)]
+    out = F.lit(0).cast("long")
+    for k in chosen:
+        size = bounds[k + 1] - bounds[k]
+        block = F.shiftrightunsigned(value, width - bounds[k + 1]).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+        out = F.shiftleft(out, size).bitwiseOR(block)
+    return out
+
+
+def blocks_for(rows: int, errors: int, slice_rows: int) -> int:
+    """Into how many blocks fingerprints are cut: as few as give buckets of about ``slice_rows`` or
+    less on average. More blocks mean wider keys, and more of them."""
+    parts = errors + 1
+    while parts < errors + 4 and rows >> (64 * (parts - errors) // parts) > slice_rows:
+        parts += 1
+    return parts
+
+
+def cells(distinct: DataFrame, errors: int = 4, slice_rows: int = 1024) -> DataFrame:
+    """(fp, bucket, cell, side): what has to be compared. Two fingerprints that differ in at most
+    ``errors`` bits meet in a cell at least once; see ``trie_self_join`` for side.
+
+    Cut into ``parts`` blocks of bits, they agree in ``parts - errors`` of these; each choice of so
+    many blocks is a key. The number of blocks follows that of the fingerprints, so the mean
+    bucket stays small. In a bucket that is crowded all the same, the bits outside its key are cut
+    again, into ``errors + 2`` blocks of which two agree, so its rows go on to narrower buckets, a
+    fixed number each. Only what is crowded then too is cut into slices by hash, and each pair of
+    slices is a cell of its own: no task holds a whole hot bucket and no pair is lost.
+    """
+    parts = blocks_for(distinct.count(), errors, slice_rows)
+    keys = list(combinations(range(parts), parts - errors))
+    value = [_fields(F.col("fp"), 64, k, parts) * len(keys) + i for i, k in enumerate(keys)]
+    placed = distinct.select("fp", F.explode(F.array(*value)).alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = placed.join(sizes, "bucket").select("fp", "bucket", "n")
+    none = F.lit(0).cast("long")
+    calm = shared.filter(F.col("n") <= slice_rows).select("fp", "bucket", none.alias("cell"), F.lit(0).alias("side"))
+
+    which = F.pmod("bucket", F.lit(len(keys)))
+    rest = F.lit(None).cast("long")
+    for i, k in enumerate(keys):
+        rest = F.when(which == i, _fields(F.col("fp"), 64, [b for b in range(parts) if b not in k], parts)).otherwise(rest)
+    width = 64 - min(sum(64 * (b + 1) // parts - 64 * b // parts for b in k) for k in keys)
+    narrow = [F.xxhash64("bucket", F.lit(i), _fields(F.col("rest"), width, k, errors + 2)) for i, k in enumerate(combinations(range(errors + 2), 2))]
+    again = shared.filter(F.col("n") > slice_rows).withColumn("rest", rest).select("fp", F.explode(F.array(*narrow)).alias("bucket"))
+    again = again.distinct()
+    sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cut = F.ceil(F.col("n") / slice_rows).cast("long")
+    sliced = again.join(sizes, "bucket").select("fp", "bucket", cut.alias("n")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
+    other = F.explode(F.sequence(none, F.col("n") - 1))
+    pairs = sliced.withColumn("other", other).select("fp", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+    side = F.when(F.col("lo") == F.col("hi"), 0).when(F.col("own") == F.col("lo"), 1).otherwise(2)
+    return calm.union(pairs.select("fp", "bucket", F.xxhash64("lo", "hi").alias("cell"), side.alias("side")))
 
 
 def linked(distinct: DataFrame, errors: int = 4, slice_rows: int = 1024, chunk_pairs: int = 1 << 20) -> DataFrame:
     """(a, b): fingerprints in one component; the links of every pair within ``errors`` bits are kept.
 
-    Fingerprints that differ in at most ``errors`` bits agree in one of ``errors + 1`` blocks of
-    bits, so each goes once to a bucket for each of its blocks. A bucket with more than
-    ``slice_rows`` fingerprints is cut into slices by hash, and each pair of slices is a cell of
-    its own: no task holds a whole hot bucket and no pair is lost. Within a cell the tries are
-    joined; of its links a star for each component goes on, at most one row a fingerprint.
+    Within each of the ``cells`` the tries are joined; of its links a star for each component goes
+    on, at most one row a fingerprint.
     """
-    parts = errors + 1
-    bounds = [64 * k // parts for k in range(parts + 1)]
-    blocks = []
-    for k in range(parts):
-        width = bounds[k + 1] - bounds[k]
-        value = F.shiftrightunsigned("fp", 64 - bounds[k + 1]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        blocks.append(value * parts + k)
-    placed = distinct.select("fp", F.explode(F.array(*blocks)).alias("bucket"))
-    sizes = placed.groupBy("bucket").count().filter(F.col("count") > 1)
-    cut = F.ceil(F.col("count") / slice_rows).cast("long")
-    sliced = placed.join(sizes, "bucket").select("fp", "bucket", cut.alias("n")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    cells = sliced.withColumn("other", other).select(
-        "fp", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own")
-    )
-    cells = cells.select("fp", "bucket", F.xxhash64("bucket", "lo", "hi").alias("cell"), F.when(F.col("lo") == F.col("hi"), 0).when(F.col("own") == F.col("lo"), 1).otherwise(2).cast("int").alias("side"))
-    dealt = cells.repartition(F.col("cell")).sortWithinPartitions("cell", "bucket")
+    dealt = cells(distinct, errors, slice_rows).select("fp", "bucket", "cell", F.col("side").cast("int").alias("side"))
+    dealt = dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: list[np.ndarray]) -> pa.RecordBatch:
             fp, bucket, cell, side = table
-            shift = np.array(bounds)[bucket % parts]
-            turned = np.empty(len(fp), np.uint64)
-            for k in range(parts):
-                own = shift == bounds[k]
-                turned[own] = _rotated(fp[own], bounds[k])
-            # a cell is told apart by its bucket too, should two cells share a hash
-            _, whole = np.unique(np.stack([cell, bucket]), axis=1, return_inverse=True)
-            i, j = trie_self_join(turned, whole.reshape(-1), side, errors)
+            _, whole = np.unique(np.stack([bucket, cell]), axis=1, return_inverse=True)
+            i, j = trie_self_join(fp.view(np.uint64), whole.reshape(-1), side, errors)
             label = forest(len(fp), i, j)
             far = np.flatnonzero(label != np.arange(len(fp)))
             return pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.array(fp[label[far]])], names=["a", "b"])
 
         def cut(table: list[np.ndarray], last: bool) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
             """(cells to join, what is left), a bounded number of pairs at a time; the last cell may go on."""
-            edges = np.append(0, np.flatnonzero(table[2][1:] != table[2][:-1]) + 1)
+            edges = np.append(0, np.flatnonzero((table[1][1:] != table[1][:-1]) | (table[2][1:] != table[2][:-1])) + 1)
             if last:
                 edges = np.append(edges, len(table[2]))
             work = np.cumsum(np.diff(edges).astype(np.int64) ** 2)
@@ -211,10 +238,10 @@ def linked(distinct: DataFrame, errors: int = 4, slice_rows: int = 1024, chunk_p
     return map_arrow(dealt, run, schema)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link: large-star and small-star rounds until nothing
-    changes. Each round is written to the shared folder; a node's links are never gathered,
-    only their minimum is."""
+    changes. Each round is written to the shared folder and takes the place of the one before; a
+    node's links are never gathered, only their minimum is."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     edges = materialize(edges)
 
@@ -222,25 +249,41 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
     before = mark(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).union(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.filter("y > x").join(low, "x").filter("y <> m").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(low, "v")
         small = joined.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u")))
-        edges = materialize(small.distinct())
+        old, edges = edges, materialize(small.distinct())
+        release(old)
         now = mark(edges)
         if now == before:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            break
         before = now
-    if before[0]:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def _by_fingerprint(table: DataFrame, own: DataFrame, fp: str, rows: int, hot_keys: int = 1000) -> DataFrame:
+    """``table`` joined with ``own``, which has a row and a count ``__n`` for each fingerprint. Those
+    of more than ``rows / hot_keys`` rows, fewer than ``hot_keys`` by their definition, are
+    broadcast, so copies of one text, or empty texts, are no hot group."""
+    least = max(100_000, rows // hot_keys)
+    hot, cold = own.filter(F.col("__n") > least).drop("__n"), own.filter(F.col("__n") <= least).drop("__n")
+    rest = table.join(F.broadcast(hot.select(fp)), fp, "left_anti")
+    return rest.join(cold, fp).unionByName(table.join(F.broadcast(hot), fp))
+
+
+def _grouped(table: DataFrame, fp: str, least: Column, errors: int) -> DataFrame:
+    """(fp, __n, __first) of each fingerprint: its rows, and the least ``least`` of its component."""
+    nodes = materialize(table.groupBy(fp).agg(F.count(F.lit(1)).alias("__n"), F.min(least).alias("__least")))
+    roots = components(linked(nodes.select(F.col(fp).alias("fp")), errors))
+    rooted = nodes.join(roots, nodes[fp] == roots["node"], "left").select(fp, "__n", "__least", F.coalesce("root", fp).alias("__root"))
+    firsts = rooted.groupBy("__root").agg(F.min("__least").alias("__first"))
+    return rooted.join(firsts, "__root").select(fp, "__n", "__first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, errors: int = 4) -> DataFrame:
     """The id, fingerprint (16 lowercase hex digits) and component_id of every row of ``docs``.
 
@@ -251,21 +294,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id has a component, but its id is nobody's component_id (null if no other has one).
     Rows that repeat an id or a text give repeated results. An empty table gives none; other
     columns are not read. Equal fingerprints are one node from the start, so groups of copies
-    cost one row; ``linked`` cuts hot buckets; components never leave the executors.
+    cost one row; ``cells`` says how crowded buckets are cut; components never leave the executors.
     """
-    table = materialize(fingerprints(docs, id_col, text_col, size))
-    nodes = table.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least"))
-    nodes = materialize(nodes)
-    roots = components(linked(nodes.select("fp"), errors))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return table.join(named, "fp").select(F.col(f"`{id_col}`"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fp = "__fp"
+    table = materialize(fingerprints(docs, id_col, text_col, size, fp))
+    own = materialize(_grouped(table, fp, F.col(f"`{id_col}`"), errors))
+    named = _by_fingerprint(table, own, fp, table.count())
+    return named.select(F.col(f"`{id_col}`"), F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), F.col("__first").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, errors: int = 4) -> DataFrame:
-    """``docs`` without the documents that have a near copy with a smaller id. All columns pass
-    through; rows that repeat the id of a kept document, or have none, stay."""
-    found = near_duplicates(docs, id_col, text_col, size, errors)
-    gone = found.filter(F.col(f"`{id_col}`") != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with one row of each group of near copies: that of the smallest id, null ids last;
+    of several with that id the one with the smallest hash over all columns, and one of rows that
+    are equal throughout. All columns pass through; an empty table stays empty."""
+    fp, row = "__fp", "__row"
+    keyed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    table = materialize(fingerprints(keyed, id_col, text_col, size, fp, (row,)))
+    place = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"))
+    own = _grouped(table, fp, place, errors)
+    first = materialize(own.select(F.col("__first.id").alias("__id"), F.col("__first.row").alias("__first_row")).distinct())
+    is_first = keyed[id_col].eqNullSafe(first["__id"]) & (keyed[row] == first["__first_row"])
+    repeated = table.groupBy(id_col, row).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").withColumnsRenamed({id_col: "__again_id", row: "__again"}).drop("__n")
+    kept = keyed.join(first, is_first, "left_semi")
+    if not repeated.isEmpty():  # only such rows have to meet to leave one of them
+        again = kept[id_col].eqNullSafe(repeated["__again_id"]) & (kept[row] == repeated["__again"])
+        kept = kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([id_col, row]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

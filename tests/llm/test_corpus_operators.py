@@ -131,7 +131,11 @@ def test_near_duplicates(spark, sf_dir):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_components(fps)))
 
 
-@pytest.mark.parametrize("slice_rows", [4, 1024])
+def signed(fps):
+    return sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+
+
+@pytest.mark.parametrize("slice_rows", [1, 4, 40, 1024])
 def test_trie_join_loses_no_link(spark, slice_rows):
     rng = np.random.default_rng(2)
     fps = set(rng.integers(0, 1 << 63, 300).tolist())
@@ -139,7 +143,7 @@ def test_trie_join_loses_no_link(spark, slice_rows):
         for _ in range(25):
             f ^= sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 6)), replace=False))
             fps.add(f)
-    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    fps = signed(fps)
     links = simhash_dedup.linked(spark.createDataFrame([(f,) for f in fps], "fp long"), slice_rows=slice_rows)
     roots = {r["node"]: r["root"] for r in simhash_dedup.components(links).collect()}
     want = brute_components([f & (1 << 64) - 1 for f in fps])
@@ -147,6 +151,24 @@ def test_trie_join_loses_no_link(spark, slice_rows):
     assert [got.index(g) for g in got] == want
 
 
+def test_a_crowded_bucket_costs_a_bounded_number_of_rows(spark):
+    rng = np.random.default_rng(3)
+    fps = signed({int(x) >> 13 for x in rng.integers(0, 1 << 63, 4000)})  # all agree in their first bits
+    for some in (fps, fps[:2000]):
+        rows = simhash_dedup.cells(spark.createDataFrame([(f,) for f in some], "fp long"), slice_rows=16).groupBy("fp").count()
+        assert rows.agg(F.max("count")).first()[0] <= 90  # by slices alone: 250 and 125 in the crowded bucket
+    assert [simhash_dedup.blocks_for(n, 4, 1024) for n in (1000, 10**6, 10**9, 10**12)] == [5, 5, 6, 8]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "other words stand in this one"), (9, "other words stand in this one"), (9, "other words stand in this one"), (7, "a third text of its own"), (7, "a third text of its own"), (None, "a third text of its own"), (None, "nobody has this one"), (None, "nobody has this one")]
+    got = simhash_dedup.drop_near_duplicates(frame(spark, rows))
+    assert order((r["doc_id"], r["text"]) for r in got.collect()) == order([(3, "a b c d e f"), (5, "other words stand in this one"), (7, "a third text of its own"), (None, "nobody has this one")])
+    renamed = frame(spark, rows[:2]).withColumnsRenamed({"doc_id": "fp", "lang": "component_id", "source": "fingerprint"})
+    assert [r["fp"] for r in simhash_dedup.drop_near_duplicates(renamed, "fp").collect()] == [3]
+    assert sorted((r["fp"], r["component_id"]) for r in simhash_dedup.near_duplicates(renamed, "fp").collect()) == [(3, 3), (5, 3)]
+
+
 def test_trie_join_pairs():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(0, 64, 40).astype(np.uint64) << np.uint64(20) | rng.integers(0, 8, 40).astype(np.uint64))
