@@ -40,6 +40,16 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def join_counted(table: DataFrame, own: DataFrame, key: str, rows: int, hot_keys: int = 1000) -> DataFrame:
+    """``table``, of ``rows`` rows, joined with ``own``, which has a row for each key and in ``__n`` how
+    many rows of the table have it. Keys of more than ``rows / hot_keys`` rows, fewer than
+    ``hot_keys`` by that, are broadcast, so that no task gathers the rows of one."""
+    least = max(100_000, rows // hot_keys)
+    hot, cold = own.filter(F.col("__n") > least).drop("__n"), own.filter(F.col("__n") <= least).drop("__n")
+    rest = table.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rest.join(cold, key).unionByName(table.join(F.broadcast(hot), key))
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``df.mapInArrow`` over batches of at most ``BATCH_ROWS`` rows: Spark's default of 10,000
     whole texts a batch, once in the JVM and again in Python, is too much for a small executor."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, field, map_arrow, map_batches, materialize, plain, release
+from .common import as_bytes, field, join_counted, map_arrow, map_batches, materialize, plain, release
 
 SEED = 42
 _CHUNK = 1 << 15
@@ -265,16 +265,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def _by_fingerprint(table: DataFrame, own: DataFrame, fp: str, rows: int, hot_keys: int = 1000) -> DataFrame:
-    """``table`` joined with ``own``, which has a row and a count ``__n`` for each fingerprint. Those
-    of more than ``rows / hot_keys`` rows, fewer than ``hot_keys`` by their definition, are
-    broadcast, so copies of one text, or empty texts, are no hot group."""
-    least = max(100_000, rows // hot_keys)
-    hot, cold = own.filter(F.col("__n") > least).drop("__n"), own.filter(F.col("__n") <= least).drop("__n")
-    rest = table.join(F.broadcast(hot.select(fp)), fp, "left_anti")
-    return rest.join(cold, fp).unionByName(table.join(F.broadcast(hot), fp))
-
-
 def _grouped(table: DataFrame, fp: str, least: Column, errors: int) -> DataFrame:
     """(fp, __n, __first) of each fingerprint: its rows, and the least ``least`` of its component."""
     nodes = materialize(table.groupBy(fp).agg(F.count(F.lit(1)).alias("__n"), F.min(least).alias("__least")))
@@ -299,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fp = "__fp"
     table = materialize(fingerprints(docs, id_col, text_col, size, fp))
     own = materialize(_grouped(table, fp, F.col(f"`{id_col}`"), errors))
-    named = _by_fingerprint(table, own, fp, table.count())
+    named = join_counted(table, own, fp, table.count())
     return named.select(F.col(f"`{id_col}`"), F.lpad(F.lower(F.hex(fp)), 16, "0").alias("fingerprint"), F.col("__first").alias("component_id"))
 
 

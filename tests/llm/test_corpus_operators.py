@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import decontaminate, line_dedup, queries, simhash_dedup, vp_search
+from ledgerloom.llm.common import join_counted
 from ledgerloom.llm.line_dedup import CuckooFilter, LineIndex
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,28 +56,59 @@ def test_line_dedup(spark, sf_dir):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
-def test_line_dedup_without_filters(spark):
-    index = LineIndex.build(frame(spark, DOCS))
-    assert index.filters(max_bytes=0) is None
-    some = {r[0]: set(map(bytes, r[1])) for r in index.dropped(frame(spark, DOCS)).collect()}
-    rest = {r[0]: set(map(bytes, r[1])) for r in index.dropped(frame(spark, DOCS), max_bytes=0).collect()}
-    assert some == rest and some
+def filter_keys(index):
+    """What the filters of an index say of all keys that it ever had, and how many they hold."""
+    return {r["shard"]: CuckooFilter.from_row(r["capacity"], r["size"], bytes(r["tags"]), bytes(r["extra"])) for r in index.filters().collect()}
 
 
-def test_line_index_is_reversible(spark):
+def test_line_filters_of_many_shards(spark, sf_dir):
+    docs = queries.read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = LineIndex.build(docs, keys_per_shard=3)
+    assert index.filters().count() > 5
+    hits = index.table.distinct()
+    for salt_rows in (1 << 22, 2):
+        possible = index.possible(hits, salt_rows)
+        assert possible.join(index.counts(), "__line_key", "left_semi").count() == hits.join(index.counts(), "__line_key", "left_semi").count()
+        assert possible.count() < 0.5 * hits.count()  # the filters keep most keys away from the exact table
+    whole = line_dedup.dedup_lines(docs)
+    assert order(map(tuple, line_dedup.dedup_lines(docs, index=index).collect())) == order(map(tuple, whole.collect()))
+
+
+def test_hot_keys_are_joined_aside(spark):
+    table = spark.range(300_000).select(F.when(F.col("id") < 250_000, 0).otherwise(F.col("id")).alias("k"), "id")
+    own = table.groupBy("k").agg(F.count("*").alias("__n"), F.min("id").alias("least")).filter("k % 7 = 0")
+    assert join_counted(table, own, "k", 300_000).agg(F.count("*"), F.sum("least")).first() == table.join(own, "k").agg(F.count("*"), F.sum("least")).first()
+
+
+@pytest.mark.parametrize("keys_per_shard", [1, 1 << 18])
+def test_line_index_is_reversible(spark, keys_per_shard):
     first, more = frame(spark, [r for r in DOCS if r[0] in (0, 1, 5, 6)]), frame(spark, [r for r in DOCS if r[0] in (2, 7, 8, 9)])
-    index = LineIndex.build(first)
-    assert index.counts().count() == 0
-    filters = index.filters()
+    third = frame(spark, [(20 + i, f"{j} is a line of many documents") for i in range(3) for j in range(9)])
+    index = LineIndex.build(first.union(third), keys_per_shard=keys_per_shard)
+    assert index.counts().count() == 9
+    before = filter_keys(index)
     grown = index.insert(more)
-    assert {(r["n_docs"], r["keeper"]) for r in grown.counts().collect()} == {(4, 9), (3, 8)}
-    keys = [bytes(r[0]) for r in grown.counts().select("__line_key").collect()]
-    filters = grown.refresh(filters, index)
-    assert all(filters[int(s)].contains([k])[0] for k, s in zip(keys, line_dedup.shard_of(keys, len(filters))))
+    assert {(r["n_docs"], r["keeper"]) for r in grown.counts().collect()} == {(4, 9), (3, 8), (3, 22)}
+    grown.refresh(index)
+    keys = grown.counts().select(F.pmod(F.xxhash64("__line_key"), F.lit(grown.filters().first()["shards"])).alias("s"), "__line_key").collect()
+    held = filter_keys(grown)
+    assert sum(f.size for f in held.values()) == len(keys) == 11 and all(held[r["s"]].contains([bytes(r[1])])[0] for r in keys)
     back = grown.delete(more)
-    assert back.counts().count() == 0
-    filters = back.refresh(filters, grown)
-    assert all(f.table.sum() == 0 and not f.overflow for f in filters)
+    back.refresh(grown)
+    assert order(map(tuple, back.counts().collect())) == order(map(tuple, index.counts().collect()))
+    after = filter_keys(back)
+    assert sum(f.size for f in after.values()) == sum(f.size for f in before.values()) == 9
+    assert all((after[s].table > 0).sum() + sum(after[s].overflow.values()) == f.size for s, f in before.items() if s in after)
+    assert back.insert(frame(spark, [])).counts().count() == 9 and back.delete(frame(spark, [])).counts().count() == 9
+
+
+def test_a_full_filter_grows(spark):
+    rows = lambda n: frame(spark, [(i, "\n".join(f"{j} is a line of many documents" for j in range(n))) for i in range(3)])
+    index = LineIndex.build(rows(5))
+    capacity = index.filters().first()["capacity"]
+    grown = index.insert(rows(300))
+    found = grown.refresh(index).first()
+    assert found["size"] == 300 and found["capacity"] >= 300 > capacity
 
 
 def test_cuckoo_filter():
