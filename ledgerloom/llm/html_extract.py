@@ -7,15 +7,18 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field as attribute
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import field, map_arrow, map_batches, materialize, plain
+from .url_filter import split_url
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -39,6 +42,8 @@ FILLERS = frozenset(
 #: Parts of an article that are no asides whatever they are called.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure".split())
 ROOTS = frozenset(("article", "main"))
+#: Elements that can be the one that holds an article.
+HOLDERS = frozenset("html body div section article main center table tbody tr td form dialog details".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements whose text is no page text.
 HARD = ASIDE - {"nav", "menu", "aside", "footer", "form", "dialog"}
@@ -120,14 +125,20 @@ class Template:
     """What the pages of a host share: ``skeleton`` has the tag tokens of the valid classes that stand
     once on a page, in order; ``content`` the open token of the innermost of them that holds the
     varied text (0: none); ``texts`` the text tokens that are part of the template; ``repeated``
-    the slots, as paths, filled again and again from a small stock of texts; ``few`` says
-    that too few pages were seen to trust a template that takes most of a page's text."""
+    the slots, as paths, filled again and again from a small stock of texts; ``pages`` how many
+    pages say so."""
 
     skeleton: list[int] = attribute(default_factory=list)
     content: int = 0
     texts: frozenset[int] = frozenset()
     repeated: frozenset[int] = frozenset()
-    few: bool = False
+    pages: int = 0
+
+    def allows(self, left: int, whole: int) -> bool:
+        """Whether a template of so many pages may leave ``left`` of ``whole`` characters of a page.
+        Two pages that share most of their text may be copies of one another, a hundred hardly:
+        the share that must stay falls as 2 / (pages + 2)."""
+        return left > 0 and left * (self.pages + 2) >= 2 * whole
 
 
 def _hidden(attributes: str) -> bool:
@@ -215,22 +226,21 @@ def tokens_of(page: str) -> tuple[list[int], list[tuple[int, int, int]], dict[in
     return tags, texts, ups
 
 
-def deduce(rows: Iterable[tuple], pages: int, support: float = 0.5, min_pages: int = 10) -> Template:
+def deduce(rows: Iterable[tuple], pages: int, support: float = 0.5) -> Template:
     """A host's template from (token, kind, pages, occurrences, two sums of hashes, mean place, path
     around it, characters in it).
 
     Tokens with one occurrence vector (same pages, same counts on each: same sums) are one
     equivalence class. A class is valid if it has at least two tokens, as an element has, on at
     least ``support`` of the pages. The valid classes of tokens that stand once on a page are the
-    skeleton. A text token, which has its path in it, is the template's if it is on ``support`` of
-    the pages, however often it stands on one; on a host of fewer than ``min_pages`` it has to be
-    on all of them.
-
-    Slots are chosen by the text that varies, on hosts of ``min_pages`` or more. The content is
-    the innermost element of the skeleton reached from the page's root by going on to one that
-    holds half of the host's varied characters, up to an article or main element, and not where
-    that would leave a varied first heading behind. A slot is repeated if each of its characters
-    stands on the host twice as often at least as in the slot with the most distinct text.
+    skeleton. A text token, which has its path in it, is the template's if it is on more than
+    ``support`` of the pages and one page besides, however often it stands on one.
+
+    Slots are chosen by the text that varies. The content is the innermost element of the skeleton
+    that can hold an article, reached from the page's root by going on to one that holds half of
+    the host's varied characters, up to an article or main element, and not where that would leave
+    a varied first heading behind. A slot is repeated if each of its characters stands on the host
+    twice as often at least as in the slot with the most distinct text.
     """
     classes: dict[tuple[int, int, int, int], list[tuple[float, int]]] = {}
     texts, slots = [], []
@@ -244,7 +254,7 @@ def deduce(rows: Iterable[tuple], pages: int, support: float = 0.5, min_pages: i
                 up[token], varied[token] = around, chars
         elif kind == 3:
             slots.append((token, chars, high))
-        elif seen >= (support * pages if pages >= min_pages else pages):
+        elif seen > support * (pages + 1):
             texts.append(token)
             fixed[around] = fixed.get(around, 0) + chars
     for path, chars in fixed.items():
@@ -253,8 +263,6 @@ def deduce(rows: Iterable[tuple], pages: int, support: float = 0.5, min_pages: i
             path = up[path]
     valid = {k: v for k, v in classes.items() if len(v) >= 2 and k[0] >= support * pages}
     skeleton = [t for _, t in sorted(x for k, v in valid.items() if k[0] == k[1] for x in v)]
-    if pages < min_pages:
-        return Template(skeleton, 0, frozenset(texts), frozenset(), True)
 
     below: dict[int, list[int]] = {}
     for token in skeleton:
@@ -264,7 +272,8 @@ def deduce(rows: Iterable[tuple], pages: int, support: float = 0.5, min_pages: i
     total = sum(n for path, n in varied.items() if up[path] == 0)
     content, at = 0, 0
     while total > 0:
-        held, best = max(((varied[t], t) for t in below.get(at, ())), default=(0, 0))
+        holders = {digest(name, at) for name in HOLDERS}
+        held, best = max(((varied[t], t) for t in below.get(at, ()) if t in holders), default=(0, 0))
         titles = [digest("h1", p) for p in (at, digest("header", at))]
         if 2 * held < total or any(varied.get(t, 0) > 0 and t != best for t in titles):
             break
@@ -273,7 +282,7 @@ def deduce(rows: Iterable[tuple], pages: int, support: float = 0.5, min_pages: i
             break
     _, often = max(((fresh, chars / fresh) for _, chars, fresh in slots if fresh), default=(0, 1.0))
     repeated = frozenset(path for path, chars, fresh in slots if path in up and chars >= 2 * often * fresh)
-    return Template(skeleton, content, frozenset(texts), repeated)
+    return Template(skeleton, content, frozenset(texts), repeated, pages)
 
 
 def _standing(marks: Iterable[Mark], held: list[int]):
@@ -303,10 +312,11 @@ def extract(page: str, template: Template | None = None) -> tuple[str, int, int]
     the page has it with text, are the main text; of them, or without it of all, those in an
     article or main element, if there is one, and outside all asides, unless nothing but asides has
     text. An element that its class, id or role (or being a form) marks as aside is none if it holds
-    more than half of the text in articles; without such, in roots; without such, of all. A template's text and that of
-    repeated slots, headings not counted, are left out of blocks that consist half or more of them,
-    unless nothing would remain, or less than half by a template of few pages, which may be copies
-    of one. Slots are parted where blocks begin and end.
+    more than half of the text in articles; without such, in roots; without such, of all. A
+    template's text and that of repeated slots, headings not counted, are left out of blocks that
+    consist half or more of them. Where that leaves less than ``Template.allows``, the content
+    element is not relied on, and then not the template's texts. Slots are parted where blocks
+    begin and end.
     """
     template = template or Template()
     skeleton, at = template.skeleton, 0
@@ -358,19 +368,32 @@ def extract(page: str, template: Template | None = None) -> tuple[str, int, int]
     flush()
     stands = _standing({id(w[3]): w[3] for w, *_ in kept if w[3]}.values(), held)
     free = [k for k in kept if not k[0][2] and not stands(k[0][3])]
-    inner = any(w[0] and part for w, _, part, _ in free)
-    rooted = any(not stands(mark) for _, mark in roots) and any(w[1] and w[0] >= inner for w, *_ in free)
-    chosen = [k for k in free if k[0][0] >= inner and k[0][1] >= rooted] or kept
-    blocks = [(full, part) for _, full, part, _ in chosen]
-    left = [part for _, part in blocks if part]
-    if not left or template.few and 2 * sum(map(len, left)) < sum(len(full) for full, _ in blocks):
-        left = [full for full, _ in blocks]
-    return "\n\n".join(left), at, len({g for *_, own_gaps in chosen for g in own_gaps})
+    any_root = any(not stands(mark) for _, mark in roots)
+
+    def chosen(inner: bool) -> list[tuple[tuple, str, str, list[int]]]:
+        rooted = any_root and any(w[1] and w[0] >= inner for w, *_ in free)
+        return [k for k in free if k[0][0] >= inner and k[0][1] >= rooted] or kept
+
+    every = chosen(False)
+    whole_size = sum(len(full) for _, full, *_ in every)
+    within = any(w[0] and part for w, _, part, _ in free)
+    for blocks, column in ([(chosen(True), 2)] if within else []) + [(every, 2), (every, 1)]:
+        left = [b[column] for b in blocks if b[column]]
+        if column == 1 or template.allows(sum(map(len, left)), whole_size):
+            break
+    return "\n\n".join(left), at, len({g for *_, own_gaps in blocks for g in own_gaps})
 
 
 def host_of(url: str | None) -> str:
-    _, _, rest = (url or "").partition("://")
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
+    """What stands between the first ``://`` and the next ``/``, ``?`` or ``#``, A-Z lower-cased."""
+    return split_url(url)[0]
+
+
+def _host(url_col: str) -> Column:
+    """``host_of`` as an expression."""
+    url = F.col(f"`{url_col}`")
+    rest = F.when(F.contains(url, F.lit("://")), F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
+    return F.translate(F.coalesce(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit("")), ascii_uppercase, ascii_lowercase)
 
 
 def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str, max_hosts: int = 20_000, max_runs: int = 1 << 17) -> DataFrame:
@@ -452,26 +475,50 @@ def occurrence_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str,
     return map_arrow(plain(pages, id_col, url_col, html_col), run, schema)
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5, min_pages: int = 10) -> DataFrame:
-    """(host, pages, rows) with the rows that ``deduce`` needs, for hosts of two pages or more.
-    Sums are pre-aggregated in each task, so a host with a third of all pages is no hot key."""
+_TEMPLATE = T.StructType(
+    [field("host", T.StringType()), field("pages", T.LongType()), field("skeleton", T.ArrayType(T.LongType())), field("content", T.LongType())]
+    + [field(n, T.ArrayType(T.LongType())) for n in ("texts", "repeated")]
+)
+
+
+def _signed(token: int) -> int:
+    return token - (token >> 63 << 64)
+
+
+def _template(pages: int, skeleton: list[int], content: int, texts: list[int], repeated: list[int]) -> Template:
+    return Template([t & _ALL for t in skeleton], content & _ALL, frozenset(t & _ALL for t in texts), frozenset(t & _ALL for t in repeated), pages)
+
+
+def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5) -> DataFrame:
+    """(host, pages, skeleton, content, texts, repeated) as ``deduce`` finds them, for hosts of two
+    pages or more; of one page nothing repeats. Sums are pre-aggregated in each task, so a host with
+    a third of all pages is no hot key; what meets for a host is what is on ``support`` of its pages."""
     sums = [F.sum(c).alias(c) for c in ("pages", "occurrences", "high", "low", "place")]
     summed = occurrence_rows(pages, id_col, url_col, html_col).groupBy("host", "token", "kind").agg(*sums, F.max("up").alias("up"), F.sum("chars").alias("chars"))
     summed = materialize(summed)
     total = summed.filter((F.col("kind") == 2) & (F.col("pages") > 1)).select("host", F.col("pages").alias("n"))
-    least = min(2.0, support * min_pages)  # no template text is on fewer pages
-    some = summed.filter((F.col("kind") == 0) | (F.col("kind") == 1) & (F.col("pages") >= least))
+    some = summed.filter((F.col("kind") == 0) | (F.col("kind") == 1) & (F.col("pages") >= 2))  # no template text is on fewer
     fresh = F.sum((F.col("chars") / F.col("occurrences")).cast("long")).alias("high")
     slots = summed.filter("kind = 1").groupBy("host", F.col("up").alias("token")).agg(F.lit(3).cast("long").alias("kind"), F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), fresh, F.sum("chars").alias("chars"))
     some = some.unionByName(slots.withColumns({"low": F.lit(0).cast("long"), "place": F.lit(0.0), "up": F.lit(None).cast("long")}))
-    near = some.join(total, "host")
-    near = near.filter(F.col("pages") >= F.when((F.col("kind") != 1) | (F.col("n") >= min_pages), support * F.col("n")).otherwise(F.col("n")))
+    near = some.join(total, "host").filter(F.col("pages") >= support * F.col("n"))
     row = F.struct("token", "kind", "pages", "occurrences", "high", "low", (F.col("place") / F.col("pages")).alias("place"), "up", "chars")
-    return near.groupBy("host").agg(F.max("n").alias("pages"), F.collect_list(row).alias("rows"))
+    gathered = near.groupBy("host").agg(F.max("n").alias("pages"), F.collect_list(row).alias("rows"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(_TEMPLATE)
+        for batch in batches:
+            out = []
+            for host, n, rows in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                made = deduce([(r["token"] & _ALL, r["kind"], r["pages"], r["occurrences"], r["high"], r["low"], r["place"], None if r["up"] is None else r["up"] & _ALL, r["chars"]) for r in rows], n, support)
+                out.append({"host": host, "pages": n, "skeleton": [_signed(t) for t in made.skeleton], "content": _signed(made.content), "texts": [_signed(t) for t in sorted(made.texts)], "repeated": [_signed(t) for t in sorted(made.repeated)]})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return map_arrow(gathered, run, _TEMPLATE)
 
 
 def extract_pages(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5, min_pages: int = 10, max_bytes: int = 32 << 20
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", support: float = 0.5, max_bytes: int = 32 << 20
 ) -> DataFrame:
     """page_id, url, text (main text; empty if none), n_template and n_slots of every row.
 
@@ -483,27 +530,24 @@ def extract_pages(
     has the host "" ; null ids and repeated rows stay (each counts as a page); an empty table gives none; other columns are not read. A
     host of one page has no template: then elements and their classes alone tell slots apart.
 
-    Templates reach all tasks only if their rows measure less than ``max_bytes``; beyond that each
+    Templates reach all tasks only if they measure less than ``max_bytes``; beyond that each
     page meets its host's template in a join.
     """
-    made = materialize(templates(pages, id_col, url_col, html_col, support, min_pages))
-    size = 96 * (made.agg(F.sum(F.size("rows"))).first()[0] or 0)
+    made = materialize(templates(pages, id_col, url_col, html_col, support))
+    size = 8 * (made.agg(F.sum(F.size("skeleton") + F.size("texts") + F.size("repeated") + 8)).first()[0] or 0)
     source = plain(pages, id_col, url_col, html_col)
     text, long = T.StringType(), T.LongType()
     added = [field("text", text), field("n_template", long), field("n_slots", long)]
-
-    def of(row) -> Template:
-        rows = [(r["token"] & _ALL, r["kind"], r["pages"], r["occurrences"], r["high"], r["low"], r["place"], None if r["up"] is None else r["up"] & _ALL, r["chars"]) for r in row["rows"]]
-        return deduce(rows, row["pages"], support, min_pages)
+    parts = [f.name for f in _TEMPLATE.fields[1:]]
 
     def arrays(found: list[tuple[str, int, int]]) -> list[pa.Array]:
         return [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
 
     if size <= max_bytes:
-        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: of(r) for r in made.collect()})
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: tuple(r[p] for p in parts) for r in made.collect()})
 
         def make():
-            known = sent.value
+            known = {host: _template(*t) for host, t in sent.value.items()}
 
             def run(batch: pa.RecordBatch) -> list[pa.Array]:
                 at = batch.schema.get_field_index
@@ -514,12 +558,22 @@ def extract_pages(
 
         return map_batches(source, added, make, [id_col, url_col])
 
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"^.*?://([^/?#]*)", 1))
-    joined = source.withColumn("__host", host).join(made.withColumnsRenamed({"host": "__host", "pages": "__pages", "rows": "__rows"}), "__host", "left")
+    own = made.withColumnsRenamed({f.name: f"__{f.name}" for f in _TEMPLATE.fields})
+    joined = source.join(own, _host(url_col) == F.col("__host"), "left")
+
+    def make_joined():
+        last: tuple[str | None, Template | None] = (None, None)
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            nonlocal last
+            at = batch.schema.get_field_index
+            hosts, found = batch.column(at("__host")).to_pylist(), []
+            for i, (host, page) in enumerate(zip(hosts, batch.column(at(html_col)).to_pylist(), strict=True)):
+                if host != last[0]:
+                    last = (host, None if host is None else _template(*[batch.column(at(f"__{p}"))[i].as_py() for p in parts]))
+                found.append(extract(page or "", last[1]))
+            return arrays(found)
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        at = batch.schema.get_field_index
-        columns = [batch.column(at(c)).to_pylist() for c in (html_col, "__pages", "__rows")]
-        return arrays([extract(page or "", of({"rows": rows, "pages": n}) if rows else None) for page, n, rows in zip(*columns, strict=True)])
+        return run
 
-    return map_batches(joined, added, lambda: run, [id_col, url_col])
+    return map_batches(joined, added, make_joined, [id_col, url_col])

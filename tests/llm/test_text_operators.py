@@ -2,7 +2,9 @@
 
 import hashlib
 import html
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -264,6 +266,71 @@ def test_html_template_text_by_support(spark):
     assert [got[50 + i] for i in range(2)] == [f"The same long article that was found twice\n\nand goes on here\n\n{i}" for i in range(2)]
 
 
+def test_html_hosts_of_any_size_are_treated_alike(spark):
+    rows = [(1000 * n + i, f"http://h{n}.org/{i}", f"<body><div><h1>T{i}</h1><p>Own {'words of the page ' * 3}{i}<p>Same block everywhere</div></body>") for n in (2, 3, 9, 10, 11, 100) for i in range(n)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == f"T{k % 1000}\n\nOwn {'words of the page ' * 3}{k % 1000}" for k, *_ in rows)
+
+
+def test_html_paths_agree_on_odd_urls(spark):
+    urls = ["http://h.org/1", "HTTP://H.ORG?x", "line\nend://h.org", "a://b://c", "://", "h.org/no", None, "x://É.org/", "x://é.org", "x://h.org\n/p", "  x://h.org#f", "x:/h", "x://İ.org"]
+    page = "<body><div><h1>T{0}</h1><p>Own text of page {0}, long enough to stay</p><p>Shared words</p></div></body>"
+    rows = [(i, u, page.format(i)) for i, u in enumerate(urls * 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    both = [{r["page_id"]: tuple(r) for r in html_extract.extract_pages(pages, max_bytes=m).collect()} for m in (32 << 20, 0)]
+    assert both[0] == both[1] and all("Shared" not in r[2] for r in both[0].values())
+    hosts = pages.select("url", html_extract._host("url").alias("h")).collect()
+    assert all(r["h"] == html_extract.host_of(r["url"]) for r in hosts)
+
+
+def brute_template(pages, support=0.5):
+    """The skeleton, with whole occurrence vectors for classes, and the template's texts."""
+    vectors, places, texts = {}, {}, {}
+    for i, page in enumerate(pages):
+        tags, runs, _ = html_extract.tokens_of(page)
+        for k, t in enumerate(tags):
+            vectors.setdefault(t, Counter())[i] += 1
+            places.setdefault(t, {}).setdefault(i, k / len(tags))
+        for t, *_ in runs:
+            texts.setdefault(t, set()).add(i)
+    classes = {}
+    for t, v in vectors.items():
+        classes.setdefault(tuple(sorted(v.items())), []).append(t)
+    valid = {t for v, c in classes.items() if len(c) >= 2 and len(v) >= support * len(pages) and all(n == 1 for _, n in v) for t in c}
+    return {t: sum(places[t].values()) / len(places[t]) for t in valid}, {t for t, seen in texts.items() if len(seen) > support * (len(pages) + 1)}
+
+
+def test_html_classes_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows, by_host = [], {}
+    for host in range(12):
+        for i in range(rng.randrange(2, 15)):
+            blocks = "".join(rng.choice(["<p>a</p>", "<ul><li>b</ul>", "<div><h2>c</h2></div>", f"<p>own {i}</p>", "<section><p>d</section>"]) for _ in range(6))
+            page = f"<body><header><b>H{host}</b></header><main><h1>{i}</h1>{blocks}</main>{'<aside>x</aside>' if rng.random() < 0.7 else ''}</body>"
+            rows.append((len(rows), f"http://h{host}.org/{i}", page))
+            by_host.setdefault(f"h{host}.org", []).append(page)
+    found = html_extract.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["host"]: r["pages"] for r in found} == {h: len(p) for h, p in by_host.items()}
+    for r in found:
+        skeleton, texts = brute_template(by_host[r["host"]])
+        got = [t & (1 << 64) - 1 for t in r["skeleton"]]
+        assert set(got) == set(skeleton) and {t & (1 << 64) - 1 for t in r["texts"]} == texts
+        assert all(skeleton[a] <= skeleton[b] + 1e-12 for a, b in zip(got, got[1:]))
+
+
+def test_html_template_alone_finds_the_article(spark, monkeypatch):
+    """Without any list of elements or class words, the templates of the hosts choose the text."""
+    pages = queries.read(spark, "/root/testdata/sf0.1", "pages")
+    parts = [f.name for f in html_extract._TEMPLATE.fields[1:]]
+    made = {r["host"]: html_extract._template(*[r[p] for p in parts]) for r in html_extract.templates(pages).collect()}
+    rows = pages.select("url", "html").limit(300).collect()
+    monkeypatch.setattr(html_extract, "ASIDE", html_extract.HARD)
+    monkeypatch.setattr(html_extract, "ASIDE_WORDS", frozenset())
+    monkeypatch.setattr(html_extract, "ROOTS", frozenset())
+    for url, page in rows:
+        assert html_extract.extract(page, made[html_extract.host_of(url)])[0] == article_of(page) != html_extract.extract(page)[0]
+
+
 def test_html_template_chooses_slots(spark):
     def page(i):
         menu = "".join(f"<a href=/{i + k}>Topic {i + k} of the day</a>" for k in range(3))
