@@ -135,6 +135,71 @@ def test_personal_data_of_other_shapes(spark):
     assert got[20:22] == ["", ""] and got[-1] == ""
 
 
+def brute_confident(rows, min_support=5, min_score=0.9):
+    """``confident_patterns`` on plain lists."""
+    kinds = range(len(pii_bootstrap.ALL_KINDS))
+    best, confidence = {}, {}
+    while True:
+        sure, against = {}, {}
+        for pattern, instance, kind, fits in rows:
+            for k in kinds:
+                own = float(kind == k) if kind is not None else confidence.get(instance, [0.0] * len(kinds))[k]
+                sure[pattern, k] = sure.get((pattern, k), 0.0) + own
+                against[pattern, k] = against.get((pattern, k), 0.0) + float(kind is None and not fits >> k & 1)
+        found = {}
+        for p in {r[0] for r in rows}:
+            whole = sum(sure[p, k] for k in kinds)
+            scores = [sure[p, k] / (whole + against[p, k]) if sure[p, k] >= min_support else 0.0 for k in kinds]
+            if max(scores) >= min_score:
+                found[p] = (scores.index(max(scores)), max(scores))
+        known = len(best)
+        best = found | best
+        if len(best) == known:
+            return {p: k for p, (k, _) in best.items()}
+        wrong = {}
+        for pattern, instance, kind, fits in rows:
+            if kind is None and pattern in best:
+                k, score = best[pattern]
+                if fits >> k & 1:
+                    wrong.setdefault(instance, [1.0] * len(kinds))[k] *= 1.000001 - 0.99 * score
+        confidence = {i: [1 - w for w in ws] for i, ws in wrong.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pattern_scores_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = set()
+    for i in range(400):
+        kind = rng.choice([0, 1, 2, 3, 4, None, None, None])
+        fits = 1 << kind if kind is not None else rng.choice([1, 2, 12, 4, 8, 16])
+        for p in rng.sample(range(12), 3):
+            if fits >> p % 5 & 1 or rng.random() < 0.02:
+                rows.add((f"p{p}", f"i{i}", kind, fits))
+    got = {r["pattern"]: r["kind"] for r in pii_bootstrap.confident_patterns(spark.createDataFrame(sorted(rows, key=repr), "pattern string, instance string, kind int, fits int")).collect()}
+    assert got == brute_confident(rows) and got
+
+
+def test_planted_identifiers_are_discovered(spark):
+    """Keys seeded by assignments stand in other words too, and there lead to keys that are assigned
+    nowhere; numbers, checksums and words beside them stay alone. Precision and recall are 1."""
+    rng = random.Random(4)
+    key = lambda n=32: "".join(rng.choice("abcdef") + rng.choice("0123456789") for _ in range(n // 2))
+    seeds = [key() for _ in range(8)]
+    planted = [f"deploy with {key(24)} at night" for _ in range(10)]
+    decoys = [f"checksum {key(40)} of the file" for _ in range(10)] + [f"deploy without {key(24)}" for _ in range(3)] + ["internationalization1234 with responsibilities at night", f"token = {'x' * 30}"]
+    texts = [f"API_KEY: '{s}' is set" for s in seeds[:4]] + [f'TOKEN = "{s}"!!' for s in seeds[4:]] + [f"deploy with {s} at once" for s in seeds] + planted + decoys
+    got = [r["spans"] for r in sorted(pii_bootstrap.find_personal_data(docs_of(spark, texts)).collect(), key=lambda r: r["doc_id"])]
+    assert got[:4] == ["secret:10:42"] * 4 and got[4:8] == ["secret:9:41"] * 4 and got[8:16] == ["secret:12:44"] * 8
+    assert got[16:26] == ["secret:12:36"] * 10 and got[26:] == [""] * len(decoys)
+
+
+def test_the_method_adds_to_the_base_on_the_tables(spark):
+    found = queries.op7_pii(spark, "/root/testdata/sf0.01").collect()
+    docs = {r["doc_id"]: r["text"] for r in queries.read(spark, "/root/testdata/sf0.01", "documents").collect()}
+    assert sum(r["n_secret"] for r in found) == sum(len(re.findall(r"(?i)token = \"[0-9a-f]{40}", docs[r["doc_id"]] or "")) for r in found) > 0
+    assert all(r["n_spans"] == len(list(filter(None, r["spans"].split(",")))) for r in found)
+
+
 def test_patterns_are_scored_until_they_settle(spark):
     seeds = [("a", f"s{i}", 3, 8) for i in range(6)]
     unseen = [(p, f"{p}{q}{i}", None, 12) for p, q in ("ab", "bc", "cd") for i in range(6)] + [(q, f"{p}{q}{i}", None, 12) for p, q in ("ab", "bc", "cd") for i in range(6)]
