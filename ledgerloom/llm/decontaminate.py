@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from .common import WORD_BYTES, as_bytes, field, map_arrow, plain, words_of
+from .common import WORD_BYTES, as_bytes, field, map_arrow, map_batches, materialize, plain, words_of
 
 
 def suffix_array(symbols: np.ndarray, bits: int) -> np.ndarray:
@@ -173,6 +174,10 @@ class Phrases:
         return cls(vocabulary, {s: np.array(p, np.int64) for s, p in kept.items()}, {s: [sorted(found[x]) for x in p] for s, p in kept.items()}, list(names))
 
 
+_SPAN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])
+_FOUND = [field("__words", T.LongType()), field("__spans", T.ArrayType(_SPAN)), field("__items", T.ArrayType(T.StringType()))]
+
+
 def search_shard(texts: list[list[int]], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
     """For each text (as word numbers, 0 for words no phrase has): how many words are hit, the
     merged spans [first, end) of hit words, and the items found.
@@ -237,40 +242,53 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join(out)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list[Phrases]:
-    """The phrases, in blocks of about ``block_bytes`` of benchmark text each."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> tuple[int, Iterator[Phrases]]:
+    """How many blocks of about ``block_bytes`` of benchmark text there are, and their phrases, one
+    block at a time on the driver."""
     source = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("t is not null").distinct()
     size = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     block = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [Phrases.of([(r["i"], r["t"]) for r in source.filter(block == k).orderBy("i", "t").toLocalIterator()], window) for k in range(n)]
+    return n, (Phrases.of([(r["i"], r["t"]) for r in source.filter(block == k).orderBy("i", "t").toLocalIterator()], window) for k in range(n))
 
 
 def _search(docs: DataFrame, phrases: Phrases, text_col: str, keep: list[str], shard_words: int) -> DataFrame:
     """``keep`` and __words, __spans and __items for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
-    span = T.ArrayType(T.StructType([field("first", T.IntegerType()), field("end", T.IntegerType())]))
-    schema = T.StructType([docs.schema[c] for c in keep] + [field("__words", T.LongType()), field("__spans", span), field("__items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([docs.schema[c] for c in keep] + _FOUND)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         arrow, known = to_arrow_schema(schema), sent.value
         number = known.vocabulary.get
+        waiting: list[pa.RecordBatch] = []  # a shard goes on over batches until it has enough words
+        shard: list[list[int]] = []
+        sizes: list[int] = []
+        found: list[tuple[int, list[tuple[int, int]], list[int]]] = []
+        held = 0
+
+        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            own, counts = found[:n], sizes[:n]
+            del found[:n], sizes[:n]
+            spans = pa.array([[{"first": a, "end": b} for a, b in f[1]] for f in own], arrow.field("__spans").type)
+            items = pa.array([[known.names[k] for k in f[2] if known.names[k] is not None] for f in own], pa.list_(pa.string()))
+            old = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            return pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip([*old, pa.array(counts, pa.int64()), spans, items], arrow, strict=True)], schema=arrow)
+
         for batch in batches:
-            texts, shard, found = as_bytes(batch.column(batch.schema.get_field_index(text_col))), [], []
-            held, sizes = 0, []
-            for i, text in enumerate(texts):
+            waiting.append(batch)
+            for text in as_bytes(batch.column(batch.schema.get_field_index(text_col))):
                 shard.append([number(w, 0) for w in words_of(text)])
                 sizes.append(len(shard[-1]))
                 held += sizes[-1]
-                if held >= shard_words or i == len(texts) - 1:
+                if held >= shard_words:
                     found += search_shard(shard, known)
                     shard, held = [], 0
-            spans = pa.array([[{"first": a, "end": b} for a, b in f[1]] for f in found], arrow.field("__spans").type)
-            items = pa.array([[known.names[k] for k in f[2] if known.names[k] is not None] for f in found], pa.list_(pa.string()))
-            old = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip([*old, pa.array(sizes, pa.int64()), spans, items], arrow, strict=True)], schema=arrow)
+            while waiting and len(found) >= waiting[0].num_rows:
+                yield out(waiting.pop(0))
+        found += search_shard(shard, known)
+        for batch in waiting:
+            yield out(batch)
 
     return map_arrow(plain(docs, *dict.fromkeys([*keep, text_col])), run, schema)
 
@@ -300,33 +318,30 @@ def find_contamination(
     Null texts and items have no words; a null item id marks words but is no item; an item's
     repeated rows count once. Null ids and repeated documents stay; an empty benchmark hits
     nothing; an empty table gives none. The benchmark reaches executors in blocks of about
-    ``block_bytes`` of text; what the blocks find in a document is merged.
+    ``block_bytes`` of text, one after another; what they find in a text, only for texts with a
+    hit, is merged by a hash of the text.
     """
     keep = [id_col] if keep is None else keep
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    if len(blocks) == 1:
-        found = _search(docs, blocks[0], text_col, keep, shard_words)
+    n, blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    if n == 1:
+        found = _search(docs, next(blocks), text_col, keep, shard_words)
     else:
-        row = "__row"
-        numbered = docs.select("*", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])), 256).alias(row))
-        parts = [_search(numbered, b, text_col, [*keep, row], shard_words) for b in blocks]
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.union(p)
-        whole = both.groupBy(row).agg(
-            *[F.first(f"`{c}`").alias(c) for c in keep], F.max("__words").alias("__words"), F.flatten(F.collect_list("__spans")).alias("__spans"),
-            F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("__times"),
-        )
-        found = whole.withColumn("__times", F.explode(F.sequence(F.lit(1), "__times"))).drop("__times", row)
-        schema = found.schema
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index("__spans")
-                merged = [[{"first": a, "end": b} for a, b in merge_spans([(s["first"], s["end"]) for s in x])] for x in batch.column(at).to_pylist()]
-                yield batch.set_column(at, batch.schema.field(at), pa.array(merged, batch.column(at).type))
-
-        found = map_arrow(found, run, schema)
+        key = "__text_key"
+        keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+        hits: DataFrame | None = None
+        for block in blocks:  # what a block finds waits in the shared folder; most texts have no hit
+            part = materialize(_search(keyed, block, text_col, [key], shard_words).filter(F.size("__spans") > 0).drop("__words"))
+            hits = part if hits is None else hits.union(part)
+        once = hits.distinct().groupBy(key).agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+        joined = keyed.join(once, key, "left")
+
+        def merged(batch: pa.RecordBatch) -> list[pa.Array]:
+            at = batch.schema.get_field_index
+            spans = [merge_spans([(s["first"], s["end"]) for s in x or ()]) for x in batch.column(at("__spans")).to_pylist()]
+            words = pa.array([len(words_of(t)) for t in as_bytes(batch.column(at(text_col)))], pa.int64())
+            return [words, pa.array([[{"first": a, "end": b} for a, b in x] for x in spans], to_arrow_type(_FOUND[1].dataType)), pa.array([x or [] for x in batch.column(at("__items")).to_pylist()], pa.list_(pa.string()))]
+
+        found = map_batches(joined, _FOUND, lambda: merged, keep)
     hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return found.select(*[F.col(f"`{c}`") for c in keep], F.col("__words").alias("n_words"), hit.alias("n_hit"), F.col("__spans").alias("spans"), F.array_sort("__items").alias("items"))
 
@@ -335,7 +350,8 @@ def remove_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10
 ) -> DataFrame:
     """``docs`` with the merged spans of benchmark windows cut out of the texts. A document of
-    which no word is left goes; one without a hit stays as it is, with or without words."""
+    which no word is left goes; one without a hit stays as it is, with or without words, so null and
+    empty texts stay. Rows that repeat are treated alike; an empty table stays empty."""
     clash = {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "n_hit", "spans", "items")}
     aside = docs.withColumnsRenamed(clash)
     found = find_contamination(aside, benchmark, id_col, text_col, item_col, item_text_col, window, keep=aside.columns)

@@ -114,20 +114,22 @@ def remainder(id_col: str, folds: int = 3) -> Column:
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 1, per_language: int = 3000) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 1, per_language: int = 3000, max_languages: int = 256) -> LanguageModel:
     """Learn from rows with a text, a language and an id whose crc32 modulo 3 isn't ``held_out``.
 
-    The sample is bounded: of each language about ``per_language`` rows, chosen by a hash of the
-    id, with whole texts. Executors count features by language; the driver gets only the counts.
+    The sample is bounded: of each of the ``max_languages`` languages with most rows (of equal ones
+    the first by name) about ``per_language`` rows, chosen by a hash of the id, with whole texts.
+    Executors count features by language; the driver gets only the counts. Rows that repeat count
+    each; without a usable row the model knows no language.
     """
     usable = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`").cast("string").alias("__lang"))
     usable = usable.filter(F.col(f"`{text_col}`").isNotNull() & F.col("__lang").isNotNull() & (remainder(id_col) != held_out))
-    sizes = {r["__lang"]: r["count"] for r in usable.groupBy("__lang").count().collect()}
+    sizes = {r["__lang"]: r["count"] for r in usable.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(max_languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel.fit([], np.zeros((0, FEATURES)))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))])
-    drawn = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1_000_000)) < share[F.col("__lang")] * 1_000_000
+    drawn = F.col("__lang").isin(languages) & (F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1_000_000)) < share[F.col("__lang")] * 1_000_000)
     sample = usable.filter(drawn).select(F.col(f"`{text_col}`").alias("__text"), "__lang")
     place = {lang: i for i, lang in enumerate(languages)}
     schema = T.StructType([field("lang", T.IntegerType()), field("feature", T.IntegerType()), field("times", T.LongType())])

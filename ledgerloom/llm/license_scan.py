@@ -14,27 +14,88 @@ from .common import field, map_batches, per_text, plain, words_of
 #: The phrases whose places are always reported, with their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices by which works name their licence, with the labels they earn.
+#: Notices by which works name their licence, and texts of short licences, with the
+#: labels they earn.
 NOTICES: tuple[tuple[str, str], ...] = (
     ("mit", "released under the MIT license"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software"
+        " without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit"
+        " persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies"
+        " or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF"
+        " MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,"
+        " WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("apache-2.0", "licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License"),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+        " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,"
+        " WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
     ("gpl-3.0", "this work is licensed under the GNU General Public License, version 3"),
     ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either"
+        " version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the"
+        " implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General"
+        " Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
     ("lgpl", "licensed under the GNU Lesser General Public License"),
     ("agpl", "licensed under the GNU Affero General Public License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    (
+        "bsd-2-clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code"
+        " must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this"
+        " list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND"
+        " CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+        " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT"
+        " LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN"
+        " CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "bsd-3-clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written"
+        " permission.",
+    ),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this"
+        " permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF"
+        " MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF"
+        " USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+        " Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following"
+        " restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an"
+        " acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as"
+        " being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
     ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0"),
     ("cc-by-4.0", "licensed under CC BY 4.0"),
     ("cc-by-nc-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source"
+        " code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 )
 
+#: What a base phrase alone is worth: it names a licence, but may also say that it isn't this one.
+PHRASE_SCORE = 0.5
+
 
 class LicenseAutomaton:
     """Suffix automaton of several token sequences.
@@ -225,10 +286,21 @@ def scan_text(automaton: LicenseAutomaton, text: bytes, min_match: int = 4, min_
     starts = [s for _, s in places]
     return (
         len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
-        1.0 if places else cover, ",".join(f"{label}:{a}:{b}" for a, b, label in sorted(set(spans))),
+        max(cover, PHRASE_SCORE if places else 0.0), ",".join(f"{label}:{a}:{b}" for a, b, label in outermost(spans)),
     )
 
 
+def outermost(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Sorted and distinct, without those that lie in another span of their label."""
+    out: list[tuple[int, int, str]] = []
+    reach: dict[str, int] = {}
+    for a, b, label in sorted(set(spans), key=lambda s: (s[0], -s[1], s[2])):
+        if reach.get(label, -1) < b:
+            out.append((a, b, label))
+            reach[label] = b
+    return sorted(out)
+
+
 def scan_licenses(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = NOTICES,
     phrases: Mapping[str, str] = BASE_PHRASES, min_match: int = 4, min_cover: float = 0.6, max_gap: int = 40,
@@ -237,9 +309,10 @@ def scan_licenses(
 
     Columns: the id, n_words, n_base (places of base phrases), first_word and last_word (their
     smallest and largest start, null without one), base_labels, labels, score and spans
-    (``label:first:end`` in words, of chained matches that cover ``min_cover`` of a template).
-    The score is 1 where a base phrase stands, else the largest share of a template that a
-    chain covers. A match shorter than ``min_match`` words is no evidence.
+    (``label:first:end`` in words, of chained matches that cover ``min_cover`` of a template; one
+    that lies in another of its label is left out). The score is the largest share of a template
+    that a chain covers, and ``PHRASE_SCORE`` at least where a base phrase stands. A match shorter
+    than ``min_match`` words is no evidence.
 
     Null and empty texts have no words, empty labels and score 0; a null id stays null;
     repeated rows give repeated results; an empty table gives none; other columns are not read.

@@ -247,6 +247,16 @@ def test_contamination(spark, sf_dir, block_bytes):
     assert order((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got.collect()) == order(brute_hits(rows, ITEMS))
 
 
+def test_shards_go_on_over_batches(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(3000)]
+    some = frame(spark, rows).coalesce(1)
+    want = order(brute_hits(rows, ITEMS))
+    for shard_words in (1, 50_000, 1 << 20):
+        got = decontaminate.find_contamination(some, items, shard_words=shard_words)
+        assert order((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got.collect()) == want
+
+
 def test_contamination_of_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r["doc_id"], r["text"]) for r in queries.read(spark, sf, "documents").collect()]

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 from collections import Counter
@@ -63,6 +64,22 @@ def test_license_repeated_notices_have_a_span_each():
     assert got[6] == pytest.approx(0.9) and got[7] == ""
 
 
+def test_license_texts_are_whole_spans():
+    automaton = license_scan.LicenseAutomaton()
+    longest = {label: max((t for x, t in license_scan.NOTICES if x == label), key=len) for label in ("mit", "apache-2.0", "gpl", "bsd-2-clause", "isc", "zlib", "unlicense")}
+    text = " -- ".join(["some code here", *longest.values(), "more code"])
+    got = license_scan.scan_text(automaton, text.encode())
+    spans = [s.split(":") for s in got[7].split(",")]
+    at = 3
+    for label, notice in longest.items():
+        size = len(words_of(notice.encode()))
+        assert [label, str(at), str(at + size)] in spans
+        at += size
+    assert got[6] == 1.0 and sum(s[0] == "mit" for s in spans) == 1
+    assert license_scan.scan_text(automaton, b"this is not the MIT license")[5:8] == ("mit", 0.5, "")
+    assert license_scan.outermost([(0, 9, "x"), (0, 9, "x"), (2, 5, "x"), (2, 5, "y"), (8, 12, "x")]) == [(0, 9, "x"), (2, 5, "y"), (8, 12, "x")]
+
+
 def test_suffix_automaton_matches_all_substrings():
     rng = np.random.default_rng(3)
     templates = tuple((f"t{i}", " ".join(rng.choice(list("abc"), 8))) for i in range(5))
@@ -229,6 +246,54 @@ def test_language_odd_texts(spark):
     assert kept.columns == ["doc_id", "text", "lang", "n_words", "score"] and [r["doc_id"] for r in kept.collect()] == [2]
 
 
+def brute_language(samples, texts, steep=4.0, sharp=8.0, smooth=0.5):
+    """The codes, bit classifiers and loss-weighted decoding, on dictionaries and in plain loops."""
+    languages = sorted({lang for _, lang in samples})
+    count = {lang: Counter() for lang in languages}
+    for text, lang in samples:
+        count[lang].update(language_id.features(text.encode()).tolist())
+    code = language_id.codebook(len(languages)).tolist()
+    sums = {lang: sum(c.values()) for lang, c in count.items()}
+    freq = lambda lang, f: (count[lang][f] + smooth) / (sums[lang] + smooth * language_id.FEATURES)
+
+    def weight(bit, f):
+        sides = [[freq(lang, f) for lang, row in zip(languages, code) if row[bit] == side] for side in (1, -1)]
+        return math.log(sum(sides[0]) / len(sides[0])) - math.log(sum(sides[1]) / len(sides[1]))
+
+    bits = range(len(code[0]))
+    trust = [[max(1e-6, row[b] * sum(n / sums[lang] * weight(b, f) for f, n in count[lang].items())) for b in bits] for lang, row in zip(languages, code)]
+    out = []
+    for text in texts:
+        found = language_id.features(text.encode()).tolist()
+        margins = [sum(weight(b, f) for f in found) / len(found) for b in bits]
+        distance = [sum(t * math.log1p(math.exp(-steep * row[b] * margins[b])) for b, t in enumerate(ts)) / sum(ts) for row, ts in zip(code, trust)]
+        share = [math.exp(-sharp * (d - min(distance))) for d in distance]
+        out.append((languages[distance.index(min(distance))], max(share) / sum(share)))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    rows = queries.read(spark, "/root/testdata/sf0.001", "documents").limit(120).collect()
+    docs = spark.createDataFrame([(r["doc_id"], (r["text"] or "")[:600], r["lang"]) for r in rows], "doc_id long, text string, lang string")
+    usable = docs.filter(language_id.remainder("doc_id") != 1).collect()
+    samples = [(r["text"], r["lang"]) for r in usable if r["text"] and r["lang"]]
+    some = [r for r in docs.collect() if len(language_id.features(r["text"].encode()))][:25]
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    for r, (lang, score) in zip(some, brute_language(samples, [r["text"] for r in some])):
+        assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_languages_are_bounded_ties_and_empty(spark):
+    docs = spark.createDataFrame([(i, f"text {lang} {i} " * 5, lang) for i, lang in enumerate("aaaabbbccd" * 20)], "doc_id long, text string, lang string")
+    assert language_id.train(docs, max_languages=3).languages == ["a", "b", "c"]
+    none = docs.limit(0)
+    model = language_id.train(none)
+    assert model.languages == [] and language_id.identify(none, model).count() == 0 and language_id.keep_identified(none, model).count() == 0
+    same = language_id.train(spark.createDataFrame([(i, "one text for all", lang) for i, lang in enumerate("ab" * 40)], "doc_id long, text string, lang string"))
+    lang, score, ambiguous = same.predict(b"one text for all")
+    assert lang in "ab" and score == pytest.approx(0.5, abs=0.05) and ambiguous
+
+
 @pytest.mark.parametrize("classes", [2, 4, 7, 12])
 def test_codewords_differ(classes):
     code = language_id.codebook(classes)
@@ -289,6 +354,18 @@ def test_url_filter(spark, sf_dir):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_prefixes_and_ties():
+    trie = url_filter.UrlTrie([("allow", "h.org", "/a"), ("block", "h.org", "/a"), ("block", "org", "/a/b"), ("allow", "h.org", ""), ("block", "x.h.org", "/abc"), ("allow", "h.org", "/ab/")])
+    assert trie.match("h.org", "/abc") == ("allow", "h.org/a")  # the first given of one host and path
+    assert trie.match("h.org", "/a/b") == ("allow", "h.org/a") and trie.match("x.h.org", "/abcd") == ("block", "x.h.org/abc")
+    assert trie.match("h.org", "/ab/c") == ("allow", "h.org/ab/") and trie.match("h.org", "") == ("allow", "h.org") and trie.match("org", "/x") is None
+    rules = [("block", "h.org", f"/p{i}") for i in range(20_000)]
+    many = url_filter.UrlTrie(rules)
+    assert many.match("h.org", "/p19999x") == ("block", "h.org/p19999") and many.match("h.org", "/q") is None
+    node = many.root["hosts"]["org"]["hosts"]["h"]["paths"]["segments"][""]
+    assert len(node["lengths"]) == 5  # looked up by length, not one by one
+
+
 def article_of(page):
     inner = re.search("<article>(.*?)</article>", page, re.S)[1]
     blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("<p>|</p>|</h1>", inner)]
