@@ -252,19 +252,21 @@ class LineIndex:
         self._made["filters"] = materialize(updated.union(grown))
         return self._made["filters"]
 
-    def possible(self, hits: DataFrame, salt_rows: int = 1 << 22) -> DataFrame:
-        """The (key, document) rows of ``hits`` whose key its shard's filter may have.
+    def possible(self, hits: DataFrame, salt_rows: int = 1 << 20) -> DataFrame:
+        """The (key, document) rows of ``hits``, a table, whose key its shard's filter may have.
 
         Rows meet their filter shard by shard: the filter comes first in a partition, its rows
-        stream by. A shard whose keys stand for more than ``salt_rows`` rows, as a line does that a
-        third of all documents hold, is spread over several copies of its filter. What is broadcast
-        is a number for each shard: 16 bytes for ``keys_per_shard`` keys.
+        stream by. A shard of more than ``salt_rows`` rows, for its even part of all rows and for
+        those of its repeated keys, as of a line that a third of all documents hold, is spread over
+        several copies of its filter. What is broadcast is a number for each shard: 16 bytes for
+        ``keys_per_shard`` keys.
         """
         filters = self.filters()
         shards = filters.agg(F.max("shards")).first()[0]
         if shards is None:
             return hits.limit(0)
-        load = self.counts().groupBy(_shard(shards).alias("shard")).agg((F.floor(F.sum("n_docs") / salt_rows) + 1).alias("copies"))
+        even = hits.count() / shards
+        load = self.counts().groupBy(_shard(shards).alias("shard")).agg((F.floor((F.sum("n_docs") + even) / salt_rows) + 1).alias("copies"))
         empty = lambda kind: F.lit(None).cast(kind)
         doc = hits.schema[DOC].dataType
         asked = hits.withColumn("shard", _shard(shards)).join(F.broadcast(load), "shard")
@@ -293,9 +295,9 @@ class LineIndex:
     def dropped(self, docs: DataFrame | None = None) -> DataFrame:
         """(document, set of the keys it loses), of ``docs`` or of the documents of this index. The
         filters keep keys that nothing drops away from the exact table."""
-        hits = self.table if docs is None else postings(docs, self.id_col, self.text_col, self.min_chars)
+        hits = self.table if docs is None else materialize(postings(docs, self.id_col, self.text_col, self.min_chars))
         exact = self.counts().select(KEY, F.col("n_docs").alias("__n"), "keeper")
-        found = join_counted(self.possible(hits), exact, KEY, self.table.count()).filter(F.col(DOC) != F.col("keeper"))
+        found = join_counted(self.possible(hits), exact, KEY, hits.count()).filter(F.col(DOC) != F.col("keeper"))
         return found.groupBy(DOC).agg(F.collect_set(KEY).alias("__line_drops"))
 
 
