@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import ratio
 from ..scratch import materialize
-from .rules import effects, top_k
+from .rules import effects, label_totals, ranking, top_k
 from .windows import prefix_sums, quantile_bucket
 
 
-def score_steps(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
-    """For each distinct score: rows and positives at that score (n, p) and at it or above (alerts,
-    tp), with all rows and positives (total_n, total_p)."""
-    y = F.col(settings.target).cast("long")
-    steps = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("p")).withColumn("down", -F.col("score"))
-    steps = materialize(steps)
-    totals = steps.agg(F.sum("n").alias("total_n"), F.sum("p").alias("total_p"))
-    return prefix_sums(steps, [], "down", {"n": "alerts", "p": "tp"}).drop("down").crossJoin(F.broadcast(totals))
+def score_counts(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
+    """A table of each distinct score, the rows (n) and positives (p) that have it; what is said of a
+    ranking below needs no more of its rows."""
+    known = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("score"))
+    return materialize(known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(settings.target).cast("long")).alias("p")))
+
+
+def score_steps(counts: DataFrame) -> DataFrame:
+    """``score_counts`` with the rows and positives at a score or above (alerts, tp), and all of them
+    (total_n, total_p)."""
+    totals = counts.agg(F.sum("n").alias("total_n"), F.sum("p").alias("total_p"))
+    upto = prefix_sums(counts, [], "score", {"n": "__n", "p": "__p"}).crossJoin(F.broadcast(totals))
+    above = {"alerts": F.col("total_n") - F.col("__n") + F.col("n"), "tp": F.col("total_p") - F.col("__p") + F.col("p")}
+    return upto.withColumns(above).drop("__n", "__p")
+
+
+def _ap() -> Column:
+    return F.sum(ratio(F.col("p"), F.col("total_p")) * F.col("tp") / F.col("alerts")).alias("pr_auc")
+
+
+def _auc() -> Column:
+    negatives, above = F.col("n") - F.col("p"), F.col("tp") - F.col("p")
+    wins = F.sum(negatives.cast("double") * (above + F.col("p") / 2))
+    pairs = F.max(F.col("total_p").cast("double") * (F.col("total_n") - F.col("total_p")))
+    return ratio(wins, pairs).alias("roc_auc")
 
 
 def average_precision(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
     """pr_auc: the sum over scores of recall gained times precision there (no interpolation)."""
-    steps = score_steps(df, score, settings)
-    return steps.agg(F.sum(ratio(F.col("p"), F.col("total_p")) * F.col("tp") / F.col("alerts")).alias("pr_auc"))
+    return score_steps(score_counts(df, score, settings)).agg(_ap())
 
 
 def roc_auc(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
     """roc_auc: how often a positive outranks a negative, ties by half."""
-    steps = score_steps(df, score, settings)
-    negatives, above = F.col("n") - F.col("p"), F.col("tp") - F.col("p")
-    wins = F.sum(negatives.cast("double") * (above + F.col("p") / 2))
-    pairs = F.max(F.col("total_p").cast("double") * (F.col("total_n") - F.col("total_p")))
-    return steps.agg(ratio(wins, pairs).alias("roc_auc"))
+    return score_steps(score_counts(df, score, settings)).agg(_auc())
 
 
 def pr_curve(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
-    steps = score_steps(df, score, settings)
+    steps = score_steps(score_counts(df, score, settings))
     return steps.select(F.col("score").alias("threshold"), "alerts", ratio(F.col("tp"), F.col("alerts")).alias("precision"), ratio(F.col("tp"), F.col("total_p")).alias("recall"))
 
 
@@ -63,10 +75,10 @@ def operating_point(df: DataFrame, threshold: float, score: str = "score", setti
 
 
 def recall_at_k(df: DataFrame, score: str = "score", ks=None, settings: Settings = DEFAULT) -> DataFrame:
-    found = top_k(df, score, ks or settings.k_values, settings)
-    totals = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(settings.target).cast("long")).alias("pos"))
+    own = ranking(df, score, settings=settings)
+    found = top_k(own, score, ks or settings.k_values, settings)
     out = effects(F.col("n"), F.col("k"), F.col("caught"), F.col("pos"))
-    return found.crossJoin(F.broadcast(totals)).select("k", "caught", *[c.alias(k) for k, c in out.items()])
+    return found.crossJoin(F.broadcast(label_totals(own, settings))).select("k", "caught", *[c.alias(k) for k, c in out.items()])
 
 
 def segment_recall(df: DataFrame, column: str, threshold: float, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
@@ -78,9 +90,9 @@ def segment_recall(df: DataFrame, column: str, threshold: float, score: str = "s
 
 
 def calibration(df: DataFrame, score: str = "score", bins: int = 10, settings: Settings = DEFAULT) -> DataFrame:
-    df = df.filter(F.col(score).isNotNull())
-    by = df.withColumn("bin", quantile_bucket(df, score, bins)).groupBy("bin")
-    found = by.agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_predicted"), F.avg(F.col(settings.target).cast("double")).alias("observed_rate"))
+    counts = score_counts(df, score, settings)
+    by = counts.withColumn("bin", quantile_bucket(counts, "score", "n", bins)).groupBy("bin")
+    found = by.agg(F.sum("n").alias("n"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean_predicted"), (F.sum("p") / F.sum("n")).alias("observed_rate"))
     return found.withColumn("gap", F.col("mean_predicted") - F.col("observed_rate"))
 
 
@@ -89,13 +101,16 @@ def brier(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) ->
 
 
 def headline(df: DataFrame, baseline: float, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
-    """pr_auc, roc_auc, base_rate, and pr_auc as a multiple of a baseline's and of chance."""
-    both = average_precision(df, score, settings).crossJoin(roc_auc(df, score, settings)).crossJoin(df.agg(F.avg(F.col(settings.target).cast("double")).alias("base_rate")))
+    """pr_auc, roc_auc, base_rate, and pr_auc as a multiple of a baseline's and of chance; rows
+    without a score count for the base rate alone."""
+    own = ranking(df, score, settings=settings)
+    both = score_steps(score_counts(own, score, settings)).agg(_ap(), _auc()).crossJoin(own.agg(F.avg(F.col(settings.target).cast("double")).alias("base_rate")))
     return both.withColumns({"vs_baseline": F.col("pr_auc") / F.lit(baseline), "vs_random": ratio(F.col("pr_auc"), F.col("base_rate"))})
 
 
 def model_vs_rules(df: DataFrame, score: str = "score", rule_score: str = "rule_score", settings: Settings = DEFAULT) -> DataFrame:
-    model = top_k(df, score, settings.k_values, settings).withColumnRenamed("caught", "model_caught")
-    rules = top_k(df, rule_score, settings.k_values, settings).withColumnRenamed("caught", "rules_caught")
+    own = ranking(df, score, rule_score, settings=settings)
+    model = top_k(own, score, settings.k_values, settings).withColumnRenamed("caught", "model_caught")
+    rules = top_k(own, rule_score, settings.k_values, settings).withColumnRenamed("caught", "rules_caught")
     m, r, k = F.col("model_caught"), F.col("rules_caught"), F.col("k")
     return model.join(F.broadcast(rules), "k").withColumns({"model_precision": ratio(m, k), "rules_precision": ratio(r, k), "improvement": ratio(m, r)})

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import flag, ratio
-from .windows import quantile_bucket
+from ..scratch import materialize
+from .windows import prefix_sums, quantile_bucket
 
 
 def _totals(df: DataFrame, settings: Settings) -> DataFrame:
@@ -52,14 +53,29 @@ def boolean_lift(df: DataFrame, column: str, settings: Settings = DEFAULT) -> Da
     return categorical_lift(df, column, settings).drop("share")
 
 
+def _quantiles_by(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and the quantiles of ``value`` in each group, read off running counts of its distinct
+    values: no task holds those of a whole group."""
+    counts = materialize(df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n")))
+    totals = counts.groupBy(by).agg(F.sum("__n").alias("__all"))
+    upto = prefix_sums(counts, [by], value, {"__n": "__upto"}).join(totals, by)
+    cells = []
+    for name, q in shares.items():
+        at = F.lit(q) * (F.col("__all") - 1)
+        cells += [F.min(F.when(F.col("__upto") > f(at), F.col(value))).alias(f"{name}{end}") for f, end in ((F.floor, "_low"), (F.ceil, "_high"))]
+    found = upto.groupBy(by).agg(F.max("__all").alias("__all"), *cells)
+    place = lambda q: F.lit(q) * (F.col("__all") - 1)
+    return found.select(by, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (place(q) - F.floor(place(q)))).alias(n) for n, q in shares.items()])
+
+
 def numeric_describe(df: DataFrame, column: str, settings: Settings = DEFAULT, by: str | None = None) -> DataFrame:
     """count, mean, std, min, quartiles, p95, p99 and max by class."""
-    x = F.col(column).cast("double")
+    own = df.select(F.col(by or settings.target).cast("long").alias("class"), F.col(column).cast("double").alias("x"))
     shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    found = df.groupBy(F.col(by or settings.target).cast("long").alias("class")).agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, F.array(*map(F.lit, shares.values()))).alias("__q"), F.max(x).alias("max")
-    )
-    return found.select("class", "count", "mean", "std", "min", *[F.col("__q")[i].alias(n) for i, n in enumerate(shares)], "max")
+    found = own.groupBy("class").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quantiles = _quantiles_by(own, "class", "x", shares).withColumnRenamed("class", "__class")
+    both = found.join(quantiles, F.col("class").eqNullSafe(F.col("__class")), "left")
+    return both.select("class", "count", "mean", "std", "min", *shares, "max")
 
 
 def transposed(described: DataFrame, key: str = "class") -> DataFrame:
@@ -68,9 +84,11 @@ def transposed(described: DataFrame, key: str = "class") -> DataFrame:
 
 
 def decile_rates(df: DataFrame, column: str, settings: Settings = DEFAULT, bins: int = 10) -> DataFrame:
-    df = df.filter(F.col(column).isNotNull())
-    y = F.col(settings.target)
-    return df.withColumn("bin", quantile_bucket(df, column, bins)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(y.cast("double")).alias("rate"))
+    """bin, n and the target's rate in bins of equal size; ``df`` is read once, for its distinct values."""
+    known = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v"))
+    counts = materialize(known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(settings.target).cast("double")).alias("p")))
+    by = counts.withColumn("bin", quantile_bucket(counts, "v", "n", bins)).groupBy("bin")
+    return by.agg(F.sum("n").alias("n"), (F.sum("p") / F.sum("n")).alias("rate"))
 
 
 def temporal_rollup(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -87,7 +105,10 @@ def daily_rollup(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def group_stats(df: DataFrame, by: str, value: str, distinct: str) -> DataFrame:
     """n, median, p95 of a value and distinct others, for each group."""
-    return df.groupBy(F.col(by).alias("group")).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"), F.count_distinct(distinct).alias("distinct"))
+    own = df.select(F.col(by).alias("group"), F.col(value).cast("double").alias("x"), F.col(distinct).alias("d"))
+    found = own.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("d").alias("distinct"))
+    quantiles = _quantiles_by(own, "group", "x", {"median": 0.5, "p95": 0.95}).withColumnRenamed("group", "__group")
+    return found.join(quantiles, F.col("group").eqNullSafe(F.col("__group")), "left").select("group", "n", "median", "p95", "distinct")
 
 
 def threshold_sweep(df: DataFrame, column: str, thresholds: Sequence[float], above: bool = True, settings: Settings = DEFAULT) -> DataFrame:
@@ -131,11 +152,13 @@ def log_histogram(df: DataFrame, column: str, settings: Settings = DEFAULT, bins
     return df.filter(F.col(column) >= 0).groupBy(F.col(settings.target).cast("long").alias("class"), bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def sample_for_plots(df: DataFrame, n: int = 200_000, settings: Settings = DEFAULT) -> DataFrame:
-    """All positives, and a seeded sample of about n of the others."""
-    total = df.count()
-    share = min(1.0, n / total) if total else 1.0
-    return df.filter((F.col(settings.target) == 1) | (F.rand(settings.random_state) < share))
+def sample_for_plots(df: DataFrame, n: int = 200_000, settings: Settings = DEFAULT, key: str = "txn_id") -> DataFrame:
+    """All positives, and exactly ``n`` of the others (all, if fewer): those of the smallest hash of
+    the key, so the sample is the same on every run."""
+    positives = df.filter(F.col(settings.target) == 1)
+    others = df.filter(F.coalesce(F.col(settings.target) != 1, F.lit(True)))
+    drawn = others.select(F.xxhash64(F.col(key), F.lit(settings.random_state)).alias("__h"), F.col(key).alias("__key")).orderBy("__h", "__key").limit(n)
+    return positives.unionByName(others.join(drawn.select("__key"), others[key] == F.col("__key"), "left_semi"))
 
 
 def log_zscore(df: DataFrame, value: str = "amount_paid", by: str = "currency_paid", out: str = "amt_logz_ccy") -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import flag, known, ratio, tie_break
+from ..scratch import materialize
 
+log = logging.getLogger(__name__)
 Rule = Callable[[Settings], Column]
 
 RULES: dict[str, Rule] = {
@@ -70,15 +73,22 @@ def combined_rules(flagged: DataFrame, settings: Settings = DEFAULT, rules: dict
     return stacked.select("threshold", "alerts", ratio(F.col("alerts"), F.col("n")).alias("alert_rate"), "caught", *[c.alias(k) for k, c in out.items()])
 
 
-def top_k(df: DataFrame, score: str, ks, settings: Settings = DEFAULT, key: str = "txn_id") -> DataFrame:
-    """(k, caught) among the k highest scores, k at most the number of rows; ties go by a fixed
-    pseudo-random order. Only the largest k rows are ever ranked."""
-    n = df.count()
+def ranking(df: DataFrame, *scores: str, settings: Settings = DEFAULT, key: str = "txn_id") -> DataFrame:
+    """A table of keys, scores and labels: all that a ranking is judged by, computed once."""
+    return materialize(df.select(key, settings.target, *scores))
+
+
+def label_totals(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(settings.target).cast("long")).alias("pos"))
+
+
+def top_k(table: DataFrame, score: str, ks, settings: Settings = DEFAULT, key: str = "txn_id") -> DataFrame:
+    """(k, caught) among the k highest scores of a ``ranking``, k at most the number of rows; ties go
+    by a fixed pseudo-random order. Only the largest k rows are ever ranked."""
+    n = table.count()
     ks = sorted({min(k, n) for k in ks})
     order = [F.desc(score), tie_break(F.col(key), settings.random_state), F.col(key)]
-    best = df.select(score, key, F.col(settings.target).cast("long").alias("__y")).orderBy(*order).limit(max(ks, default=0))
-    from pyspark.sql import Window
-
+    best = table.select(score, key, F.col(settings.target).cast("long").alias("__y")).orderBy(*order).limit(max(ks, default=0))
     ranked = best.withColumn("__rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     cells = ranked.agg(*[F.coalesce(F.sum(F.when(F.col("__rank") <= k, F.col("__y"))), F.lit(0)).alias(f"k{k}") for k in ks])
     return cells.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(f"k{k}").alias("caught")) for k in ks])).alias("r")).select("r.*")
@@ -86,14 +96,21 @@ def top_k(df: DataFrame, score: str, ks, settings: Settings = DEFAULT, key: str
 
 def precision_at_k(flagged: DataFrame, ks=None, settings: Settings = DEFAULT, score: str = "rule_score") -> DataFrame:
     """k, caught, precision_at_k, recall_at_k, lift."""
-    found = top_k(flagged, score, ks or settings.rule_k_values, settings)
-    totals = flagged.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(settings.target).cast("long")).alias("pos"))
+    own = ranking(flagged, score, settings=settings)
+    found = top_k(own, score, ks or settings.rule_k_values, settings)
     out = effects(F.col("n"), F.col("k"), F.col("caught"), F.col("pos"))
-    return found.crossJoin(F.broadcast(totals)).select("k", "caught", out["precision"].alias("precision_at_k"), out["recall"].alias("recall_at_k"), out["lift"].alias("lift"))
+    return found.crossJoin(F.broadcast(label_totals(own, settings))).select("k", "caught", out["precision"].alias("precision_at_k"), out["recall"].alias("recall_at_k"), out["lift"].alias("lift"))
+
+
+WEAK_LIFT = 1.2
 
 
 def baseline_report(df: DataFrame, settings: Settings = DEFAULT, rules: dict[str, Rule] | None = None) -> dict[str, DataFrame]:
-    """The three tables and the weak rules, from one evaluation of the flags."""
-    flagged = apply_rules(df, settings, rules)
+    """The three tables and the weak rules, from one evaluation of the flags; says which are weak."""
+    names = list(RULES if rules is None else rules)
+    flagged = materialize(apply_rules(df, settings, rules).select("txn_id", settings.target, *names, "rule_score", "any_rule"))
     single = individual_rules(flagged, settings, rules)
-    return {"individual": single.orderBy(F.desc("lift")), "combined": combined_rules(flagged, settings, rules), "at_k": precision_at_k(flagged, settings=settings), "weak": single.filter("lift < 1.2")}
+    weak = single.filter(F.col("lift") < WEAK_LIFT)
+    for r in weak.collect():
+        log.warning("rule %s has a lift of %.2f: little better than chance", r["rule"], r["lift"])
+    return {"individual": single.orderBy(F.desc("lift")), "combined": combined_rules(flagged, settings, rules), "at_k": precision_at_k(flagged, settings=settings), "weak": weak}

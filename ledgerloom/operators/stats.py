@@ -37,13 +37,28 @@ def chi2_yates(table: Sequence[int]) -> tuple[float, float]:
 
 
 def fisher_exact(table: Sequence[int]) -> tuple[float, float]:
-    """Odds ratio, and the two-sided p-value: the chance of all tables no likelier than this."""
+    """Odds ratio, and the two-sided p-value: the chance of all tables no likelier than this.
+
+    Chances fall on both sides of the mode, so on each side the sum begins where they come down to
+    the table's own, found by halving, and ends where nothing is added any more."""
     a, b, c, d = table
     row, column, n = a + b, a + c, a + b + c + d
     choose = lambda m, k: lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1)
     chance = lambda k: exp(choose(row, k) + choose(n - row, column - k) - choose(n, column))
-    own = chance(a)
-    p = sum(x for k in range(max(0, column - (n - row)), min(row, column) + 1) if (x := chance(k)) <= own * (1 + 1e-7))
+    least, most = max(0, column - (n - row)), min(row, column)
+    mode = min(most, max(least, (row + 1) * (column + 1) // (n + 2)))
+    own = chance(a) * (1 + 1e-7)
+    p = 0.0
+    for step, edge in ((-1, least), (1, most)):
+        near, far = mode + (step > 0), edge + step  # the side's first place, and the one beyond its last
+        low, high = 0, max(0, (far - near) * step)
+        while low < high:  # how many places from the mode are likelier than the table
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if chance(near + step * middle) > own else (low, middle)
+        k = near + step * low
+        while (far - k) * step > 0 and (x := chance(k)) > p * 1e-17:
+            p += x
+            k += step
     return (a * d / (b * c) if b * c else float("inf") if a * d else float("nan")), min(1.0, p)
 
 
@@ -56,20 +71,27 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, r: Pearson's r of average ranks, taken for each pair over rows that have both."""
+    """a, b, r: Pearson's r of average ranks, taken for each pair over rows that have both.
+
+    The columns are computed once. A column is ranked once for each set of rows that a pair leaves
+    it, over its distinct values."""
+    own = materialize(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]))
+    full = [i for i, n in enumerate(own.agg(*[F.count_if(F.col(f"v{i}").isNull()) for i in range(len(columns))]).first()) if not n]
+    ranked: dict[tuple[int, frozenset[int]], DataFrame] = {}
+
+    def ranks(i: int, rows: frozenset[int]) -> DataFrame:
+        if (i, rows) not in ranked:
+            some = own.filter(" and ".join([f"v{k} is not null" for k in sorted(rows)]) or "true")
+            counts = materialize(some.groupBy(f"v{i}").agg(F.count(F.lit(1)).alias("__equal")))
+            ranked[i, rows] = materialize(prefix_sums(counts, [], f"v{i}", {"__equal": "__upto"}).select(f"v{i}", (F.col("__upto") - (F.col("__equal") - 1) / 2).alias(f"r{i}")))
+        return ranked[i, rows]
+
     out = None
-    for a, b in combinations(columns, 2):
-        pair = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).filter("x is not null and y is not null")
-        pair = materialize(pair.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
-        for c in ("x", "y"):
-            counts = pair.groupBy(c).agg(F.sum("n").alias("__equal"))
-            ranks = prefix_sums(counts, [], c, {"__equal": "__upto"}).select(c, (F.col("__upto") - (F.col("__equal") - 1) / 2).alias(f"r{c}"))
-            pair = pair.join(ranks, c)
-        n, x, y = F.col("n").cast("double"), F.col("rx"), F.col("ry")
-        s = pair.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
-        top = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
-        low = F.sqrt((F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n")))
-        one = s.select(F.lit(a).alias("a"), F.lit(b).alias("b"), (top / F.nullif(low, F.lit(0.0))).alias("r"))
+    for i, j in combinations(range(len(columns)), 2):
+        rows = frozenset({i, j}.difference(full))
+        pair = own.select(f"v{i}", f"v{j}").filter(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull())
+        pair = pair.join(ranks(i, rows), f"v{i}").join(ranks(j, rows), f"v{j}")
+        one = pair.agg(F.corr(f"r{i}", f"r{j}").alias("r")).select(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), "r")
         out = one if out is None else out.union(one)
     return out
 
