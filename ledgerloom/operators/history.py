@@ -39,10 +39,13 @@ def _accounts(df: DataFrame, settings: Settings) -> DataFrame:
     One exchange for each side: rows dealt by the sender serve the sender's windows and those of
     the pair, whose rows lie together then too."""
     require_columns(df, REQUIRED)
-    by_src = df.repartition("src_account").withColumns(
-        {"__first": first_of("src_account", "dst_account"), "src_txn_count_prior": prior_count("src_account"), "src_secs_since_last": prior_gap("src_account")}
-    )
-    by_src = by_src.withColumns({"src_unique_dst_prior": running_distinct("__first", "src_account"), LOG_MEAN: prior_mean(F.log1p("amount_paid"), "src_account")})
+    by_src = df.repartition("src_account").withColumn("__first", first_of("src_account", "dst_account"))
+    by_src = by_src.withColumns(  # these share one sort
+        {
+            "src_txn_count_prior": prior_count("src_account"), "src_secs_since_last": prior_gap("src_account"),
+            "src_unique_dst_prior": running_distinct("__first", "src_account"), LOG_MEAN: prior_mean(F.log1p("amount_paid"), "src_account"),
+        }
+    )
     by_dst = by_src.repartition("dst_account").withColumns(
         {"dst_txn_count_prior": prior_count("dst_account"), "dst_secs_since_last": prior_gap("dst_account"), "dst_unique_src_prior": running_distinct("__first", "dst_account")}
     )
