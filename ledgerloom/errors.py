@@ -35,3 +35,15 @@ class SplitError(Exception):
 
 class TuningError(Exception):
     """Tuning settings are missing or malformed."""
+
+
+class RowCountError(Exception):
+    """A step that has to keep every row has lost or multiplied some."""
+
+
+class ModelUnavailableError(Exception):
+    """A model can't be fitted here, as a library that it needs isn't installed."""
+
+
+class NoRunError(Exception):
+    """The run store has no run that may be chosen."""

@@ -3,20 +3,53 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BOOLEAN_FEATURES, CATEGORICAL_FEATURES, DEFAULT, NUMERIC_FEATURES, Settings
-from ..operators.windows import exact_quantiles
+from ..errors import ModelUnavailableError
+from ..functions.columns import known
+from ..operators.graph import model_inputs
+from ..operators.windows import quantiles_by
+from ..scratch import materialize
 
 log = logging.getLogger(__name__)
 RARE = "__infrequent__"
+#: What stands for a missing number where the model can part it off.
+MISSING = -1e9
+#: Kinds of models that need a library besides Spark, and which.
+EXTERNAL = {"xgboost": "xgboost"}
+
+
+def _long(df: DataFrame, columns: Sequence[str], kind: str, missing: str | None = None) -> DataFrame:
+    """(column, value) of all cells of some columns."""
+    value = lambda c: F.col(c).cast(kind) if missing is None else F.coalesce(F.col(c).cast(kind), F.lit(missing))
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns])).alias("x")).select("x.*")
+
+
+def medians_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, median (exact; columns without a value are missing)."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, median double")
+    return quantiles_by(_long(df, columns, "double").filter(~F.isnan("value")), "column", "value", {"median": 0.5})
+
+
+def frequent_categories(df: DataFrame, columns: Sequence[str], min_share: float = 0.01) -> DataFrame:
+    """column, value of the categories that ``min_share`` of the rows have; missing is "Unknown"."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string")
+    counts = _long(df, columns, "string", "Unknown").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("column").agg(F.sum("n").alias("all"))
+    return counts.join(totals, "column").filter(F.col("n") >= min_share * F.col("all")).select("column", "value")
 
 
 @dataclass
@@ -27,26 +60,31 @@ class Prepared:
     boolean: tuple[str, ...]
     medians: dict[str, float]
     frequent: dict[str, list[str]]
+    native: bool = False
 
     @classmethod
-    def fit(cls, df: DataFrame, numeric=NUMERIC_FEATURES, boolean=BOOLEAN_FEATURES, categorical=CATEGORICAL_FEATURES, min_share: float = 0.01) -> Prepared:
-        have = set(df.columns)
-        numeric, boolean = tuple(c for c in numeric if c in have), tuple(c for c in boolean if c in have)
-        medians = {c: exact_quantiles(df.select(F.col(c).cast("double").alias(c)), c, (0.5,))[0] or 0.0 for c in numeric}
-        n = df.count()
-        frequent = {}
-        for c in (c for c in categorical if c in have):
-            counts = df.groupBy(F.coalesce(F.col(c), F.lit("Unknown")).alias("v")).count().filter(F.col("count") >= min_share * n)
-            frequent[c] = sorted(r["v"] for r in counts.collect())
-        return cls(numeric, boolean, medians, frequent)
+    def fit(cls, df: DataFrame, numeric: Sequence[str] | None = None, boolean: Sequence[str] | None = None, categorical: Sequence[str] = CATEGORICAL_FEATURES, min_share: float = 0.01) -> Prepared:
+        """By default all history features and all graph features that the table has. Medians and
+        categories take one pass each, whatever the number of columns."""
+        types = dict(df.dtypes)
+        graph = model_inputs(df.columns)
+        flags = [c for c in graph if types[c] == "boolean"]
+        numeric = tuple(c for c in (numeric if numeric is not None else (*NUMERIC_FEATURES, *[c for c in graph if c not in flags])) if c in types)
+        boolean = tuple(c for c in (boolean if boolean is not None else (*BOOLEAN_FEATURES, *flags)) if c in types)
+        categorical = [c for c in categorical if c in types]
+        medians = {r["column"]: r["median"] for r in medians_of(df, numeric).collect()}
+        frequent: dict[str, list[str]] = {c: [] for c in categorical}
+        for r in frequent_categories(df, categorical, min_share).collect():
+            frequent[r["column"]].append(r["value"])
+        return cls(numeric, boolean, {c: medians.get(c) or 0.0 for c in numeric}, {c: sorted(v) for c, v in frequent.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Medians for missing numbers with a flag beside each, "Unknown" for missing categories,
-        one value for all rare ones."""
+        """Medians for missing numbers (``native``: a number below all, which trees can part off)
+        with a flag beside each, "Unknown" for missing categories, one value for all rare ones."""
         out = {}
         for c in self.numeric:
-            out[f"n_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
-            out[f"m_{c}"] = F.col(c).isNull().cast("double")
+            out[f"n_{c}"] = F.coalesce(known(F.col(c).cast("double")), F.lit(MISSING if self.native else self.medians[c]))
+            out[f"m_{c}"] = known(F.col(c).cast("double")).isNull().cast("double")
         for c in self.boolean:
             out[f"b_{c}"] = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
         for c, values in self.frequent.items():
@@ -80,8 +118,8 @@ def default_specs() -> list[ModelSpec]:
     """The models that are compared. Boosted trees stand in where no other library is installed."""
     return [
         ModelSpec("logreg", "logreg", {"C": 1.0}), ModelSpec("random_forest", "forest", {"trees": 300, "depth": 12, "min_leaf": 50}),
-        ModelSpec("boosted_weighted", "boosted", {"rounds": 400, "depth": 6, "step": 0.05, "subsample": 0.8}),
-        ModelSpec("boosted_smote", "boosted", {"rounds": 400, "depth": 6, "step": 0.05, "subsample": 0.8}, weighted=False, oversample=True),
+        ModelSpec("boosted_weighted", "boosted", {"rounds": 400, "depth": 6, "step": 0.05, "subsample": 0.8, "colsample": 0.8}),
+        ModelSpec("boosted_smote", "boosted", {"rounds": 400, "depth": 6, "step": 0.05, "subsample": 0.8, "colsample": 0.8}, weighted=False, oversample=True),
     ]
 
 
@@ -93,7 +131,9 @@ def estimator(spec: ModelSpec, n: int, settings: Settings = DEFAULT):
     if spec.kind == "forest":
         return RandomForestClassifier(numTrees=int(p.get("trees", 300)), maxDepth=int(p.get("depth", 12)), minInstancesPerNode=int(p.get("min_leaf", 50)), seed=settings.random_state, **base, **weight)
     if spec.kind == "boosted":
-        return GBTClassifier(maxIter=int(p.get("rounds", 400)), maxDepth=int(p.get("depth", 6)), stepSize=p.get("step", 0.05), subsamplingRate=p.get("subsample", 0.8), minInstancesPerNode=int(p.get("min_leaf", 1)), seed=settings.random_state, **base, **weight)
+        return GBTClassifier(maxIter=int(p.get("rounds", 400)), maxDepth=int(p.get("depth", 6)), stepSize=p.get("step", 0.05), subsamplingRate=p.get("subsample", 0.8), featureSubsetStrategy=str(p.get("colsample", 0.8)), minInstancesPerNode=int(p.get("min_leaf", 1)), seed=settings.random_state, **base, **weight)
+    if spec.kind in EXTERNAL:
+        raise ModelUnavailableError(f"{spec.kind} needs {EXTERNAL[spec.kind]}, which isn't installed")
     raise ValueError(f"no model is of the kind {spec.kind!r}")
 
 
@@ -107,33 +147,71 @@ def with_weight(df: DataFrame, settings: Settings = DEFAULT, balanced: bool = Tr
     return df.withColumn("weight", F.when(y == 1, n / (2 * p)).otherwise(n / (2 * max(1, n - p))))
 
 
-def oversampled(df: DataFrame, settings: Settings = DEFAULT, neighbours: int = 5, share: float = 0.1, max_minority: int = 20_000) -> DataFrame:
-    """Positives joined by points between a positive and one of its nearest: SMOTE on the vectors.
-
-    The minority meets itself on each task, so it must be small; beyond ``max_minority`` this is an
-    error rather than a quadratic join."""
+def nearest_others(points: DataFrame, k: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+    """(i, place, z): the ``k`` nearest other points (i long, x array<double>) of each, nearest first,
+    ties to the smaller i. Points meet block after block of them, and a task hands on no more than
+    k for each, so neither a task nor the driver holds all."""
+    spark = points.sparkSession
+    schema = "i long, j long, d double, z array<double>"
+
+    def met(block: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array([r["i"] for r in block]), np.array([r["x"] for r in block], float)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = sent.value
+            best_d, best_j, best_z = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0, asked.shape[1]))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), float)
+                d = ((asked**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * asked @ x.T).clip(0.0)
+                d[ids[:, None] == own[None]] = np.inf
+                near = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
+                d, j, z = np.take_along_axis(d, near, 1), own[near], x[near]
+                d, j, z = np.hstack([best_d, d]), np.hstack([best_j, j]), np.concatenate([best_z, z], axis=1)
+                near = np.lexsort((j, d), axis=1)[:, :k]
+                best_d, best_j, best_z = np.take_along_axis(d, near, 1), np.take_along_axis(j, near, 1), np.take_along_axis(z, near[:, :, None], 1)
+            q, c = np.nonzero(np.isfinite(best_d))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_j[q, c]), pa.array(best_d[q, c]), pa.array(list(best_z[q, c]), pa.list_(pa.float64()))], names=["i", "j", "d", "z"])
+
+        return points.select("i", "x").mapInArrow(run, schema)
+
+    out, block, held = None, [], 0
+    for row in points.select("i", "x").toLocalIterator():
+        block.append(row)
+        held += 8 * len(row["x"])
+        if held >= block_bytes:
+            one = materialize(met(block))
+            out, block, held = one if out is None else out.union(one), [], 0
+    if block or out is None:
+        last = met(block) if block else spark.createDataFrame([], schema)
+        out = last if out is None else out.union(last)
+    place = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    return out.withColumn("place", place).filter(F.col("place") <= k).select("i", "place", "z")
+
+
+def oversampled(df: DataFrame, settings: Settings = DEFAULT, neighbours: int = 5, share: float = 0.1) -> DataFrame:
+    """Positives joined by points between a positive and one of its nearest: SMOTE on the vectors,
+    until positives are about ``share`` of the others. What is drawn is a hash of the point, so it
+    is the same on every run."""
     y = F.col(settings.target)
-    minority = df.filter(y == 1).select(vector_to_array("features").alias("x")).withColumn("i", F.monotonically_increasing_id())
+    minority = materialize(df.filter(y == 1).select(vector_to_array("features").alias("x")).withColumn("i", F.monotonically_increasing_id()))
     have, n = minority.count(), df.count()
-    if have > max_minority:
-        raise ValueError(f"{have} positives are too many to oversample; use weights")
     want = int(share * (n - have)) - have
     if have < 2 or want <= 0:
         return df.select("features", settings.target)
-    from pyspark.ml.functions import array_to_vector
-
-    other = F.broadcast(minority.select(F.col("x").alias("z"), F.col("i").alias("j")))
-    distance = F.aggregate(F.zip_with("x", "z", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = minority.join(other, F.col("i") != F.col("j")).groupBy("i").agg(F.first("x").alias("x"), F.min_by("z", distance).alias("z1"), F.sort_array(F.collect_list(F.struct(distance.alias("d"), F.col("j"), F.col("z")))).alias("all"))
+    near = nearest_others(minority, neighbours).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("place", "z"))).alias("all"))
     times = -(-want // have)
-    pick = (F.floor(F.rand(settings.random_state) * F.least(F.lit(neighbours), F.size("all"))) + 1).cast("int")
-    made = near.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("to", F.element_at("all", pick)["z"]).withColumn("u", F.rand(settings.random_state + 1))
-    point = F.transform(F.arrays_zip("x", "to"), lambda p: p["x"] + F.col("u") * (p["to"] - p["x"]))
+    drawn = lambda salt, n: F.pmod(F.xxhash64("i", "t", F.lit(settings.random_state + salt)), n)
+    made = minority.join(near, "i").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    made = made.filter((F.col("t") < times) | (drawn(0, F.lit(1 << 20)) < F.lit(int((want / have - times + 1) * (1 << 20)))))
+    made = made.withColumns({"to": F.element_at("all", (drawn(1, F.size("all").cast("long")) + 1).cast("int"))["z"], "u": drawn(2, F.lit(1 << 30)) / F.lit(float(1 << 30))})
+    point = F.zip_with("x", "to", lambda a, b: a + F.col("u") * (b - a))
     return df.select("features", settings.target).unionByName(made.select(array_to_vector(point).alias("features"), F.lit(1).cast(df.schema[settings.target].dataType).alias(settings.target)))
 
 
 def fit(spec: ModelSpec, train: DataFrame, prepared: Prepared | None = None, settings: Settings = DEFAULT) -> tuple[Prepared, PipelineModel]:
-    prepared = prepared or Prepared.fit(train)
+    prepared = replace(prepared or Prepared.fit(train), native=spec.kind == "boosted")
     ready = with_weight(prepared.transform(train), settings, spec.weighted).persist()
     try:
         n = ready.count()

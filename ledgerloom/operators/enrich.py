@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..errors import AccountsSchemaError, DuplicateAccountKeyError
+from ..errors import AccountsSchemaError, DuplicateAccountKeyError, RowCountError
 from ..functions.columns import extracted, namespaced, require_columns, whitelisted
 
 #: Columns of the raw dimension.
@@ -38,6 +38,14 @@ def require_unique(df: DataFrame, key: str = "account_key") -> DataFrame:
     return df
 
 
+def require_same_rows(before: DataFrame, after: DataFrame, step: str = "the step") -> DataFrame:
+    """``after``, if it has as many rows as ``before``."""
+    had, has = before.count(), after.count()
+    if had != has:
+        raise RowCountError(f"{step} made {has} rows of {had}")
+    return after
+
+
 def merge_accounts(transactions: DataFrame, accounts: DataFrame, validate: bool = True) -> DataFrame:
     """Attributes of both accounts, prefixed by side; unmatched ones are NULL. With unique keys on
     the right a left join keeps every transaction once; the plan decides how, by measured size."""

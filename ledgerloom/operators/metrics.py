@@ -39,9 +39,13 @@ def _auc() -> Column:
     return ratio(wins, pairs).alias("roc_auc")
 
 
+def ap_of(steps: DataFrame) -> DataFrame:
+    return steps.agg(_ap())
+
+
 def average_precision(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
     """pr_auc: the sum over scores of recall gained times precision there (no interpolation)."""
-    return score_steps(score_counts(df, score, settings)).agg(_ap())
+    return ap_of(score_steps(score_counts(df, score, settings)))
 
 
 def roc_auc(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
@@ -49,20 +53,31 @@ def roc_auc(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -
     return score_steps(score_counts(df, score, settings)).agg(_auc())
 
 
-def pr_curve(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
-    steps = score_steps(score_counts(df, score, settings))
+def curve_of(steps: DataFrame) -> DataFrame:
     return steps.select(F.col("score").alias("threshold"), "alerts", ratio(F.col("tp"), F.col("alerts")).alias("precision"), ratio(F.col("tp"), F.col("total_p")).alias("recall"))
 
 
-def choose_threshold(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
+def pr_curve(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
+    return curve_of(score_steps(score_counts(df, score, settings)))
+
+
+def threshold_of(steps: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The highest threshold that reaches the target recall; if none does, one of the most recall."""
-    curve = pr_curve(df, score, settings)
     viable = F.col("recall") >= settings.target_recall
     rank = F.struct(F.coalesce(viable, F.lit(False)).alias("v"), F.when(viable, F.col("threshold")).otherwise(F.col("recall")).alias("r"), (-F.col("threshold")).alias("t"))
-    best = curve.agg(F.max_by(F.struct("threshold", "precision", "recall"), rank).alias("b"))
+    best = curve_of(steps).agg(F.max_by(F.struct("threshold", "precision", "recall"), rank).alias("b"))
     return best.select(F.col("b.threshold").alias("threshold"), F.col("b.precision").alias("val_precision"), F.col("b.recall").alias("val_recall"), F.lit(settings.target_recall).alias("target_recall"))
 
 
+def choose_threshold(df: DataFrame, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
+    return threshold_of(score_steps(score_counts(df, score, settings)), settings)
+
+
+def blind_segments(segments: DataFrame, positives: int = 20, recall: float = 0.2) -> DataFrame:
+    """Of ``segment_recall``, the segments with many positives of which hardly any is caught."""
+    return segments.filter((F.col("positives") >= positives) & (F.col("recall") < recall))
+
+
 def operating_point(df: DataFrame, threshold: float, score: str = "score", settings: Settings = DEFAULT) -> DataFrame:
     y, hit = F.col(settings.target) == 1, F.col(score) >= threshold
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.columns import flag, ratio
 from ..scratch import materialize
-from .windows import prefix_sums, quantile_bucket
+from .windows import quantile_bucket, quantiles_by
 
 
 def _totals(df: DataFrame, settings: Settings) -> DataFrame:
@@ -53,27 +53,12 @@ def boolean_lift(df: DataFrame, column: str, settings: Settings = DEFAULT) -> Da
     return categorical_lift(df, column, settings).drop("share")
 
 
-def _quantiles_by(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """``by`` and the quantiles of ``value`` in each group, read off running counts of its distinct
-    values: no task holds those of a whole group."""
-    counts = materialize(df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n")))
-    totals = counts.groupBy(by).agg(F.sum("__n").alias("__all"))
-    upto = prefix_sums(counts, [by], value, {"__n": "__upto"}).join(totals, by)
-    cells = []
-    for name, q in shares.items():
-        at = F.lit(q) * (F.col("__all") - 1)
-        cells += [F.min(F.when(F.col("__upto") > f(at), F.col(value))).alias(f"{name}{end}") for f, end in ((F.floor, "_low"), (F.ceil, "_high"))]
-    found = upto.groupBy(by).agg(F.max("__all").alias("__all"), *cells)
-    place = lambda q: F.lit(q) * (F.col("__all") - 1)
-    return found.select(by, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (place(q) - F.floor(place(q)))).alias(n) for n, q in shares.items()])
-
-
 def numeric_describe(df: DataFrame, column: str, settings: Settings = DEFAULT, by: str | None = None) -> DataFrame:
     """count, mean, std, min, quartiles, p95, p99 and max by class."""
     own = df.select(F.col(by or settings.target).cast("long").alias("class"), F.col(column).cast("double").alias("x"))
     shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
     found = own.groupBy("class").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    quantiles = _quantiles_by(own, "class", "x", shares).withColumnRenamed("class", "__class")
+    quantiles = quantiles_by(own, "class", "x", shares).withColumnRenamed("class", "__class")
     both = found.join(quantiles, F.col("class").eqNullSafe(F.col("__class")), "left")
     return both.select("class", "count", "mean", "std", "min", *shares, "max")
 
@@ -107,7 +92,7 @@ def group_stats(df: DataFrame, by: str, value: str, distinct: str) -> DataFrame:
     """n, median, p95 of a value and distinct others, for each group."""
     own = df.select(F.col(by).alias("group"), F.col(value).cast("double").alias("x"), F.col(distinct).alias("d"))
     found = own.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("d").alias("distinct"))
-    quantiles = _quantiles_by(own, "group", "x", {"median": 0.5, "p95": 0.95}).withColumnRenamed("group", "__group")
+    quantiles = quantiles_by(own, "group", "x", {"median": 0.5, "p95": 0.95}).withColumnRenamed("group", "__group")
     return found.join(quantiles, F.col("group").eqNullSafe(F.col("__group")), "left").select("group", "n", "median", "p95", "distinct")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from itertools import combinations
 from math import erfc, exp, lgamma, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,3 +99,17 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def strong_pairs(correlations: DataFrame, least: float = 0.7) -> DataFrame:
     return correlations.filter(F.abs("r") > least).orderBy(F.desc(F.abs("r")))
+
+
+def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, vif: how far the others explain each column, over rows that have all; the diagonal of
+    the inverted correlation matrix, whose size is that of ``columns``. NULL where they explain all."""
+    own = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).dropna()
+    pairs = list(combinations(range(len(columns)), 2))
+    found = own.agg(*[F.corr(f"v{i}", f"v{j}").alias(f"r{i}_{j}") for i, j in pairs]).first() if pairs else ()
+    matrix = np.eye(len(columns))
+    for (i, j), r in zip(pairs, found, strict=True):
+        matrix[i, j] = matrix[j, i] = np.nan if r is None else r
+    ok = np.isfinite(matrix).all() and np.linalg.matrix_rank(matrix) == len(columns)
+    values = np.diag(np.linalg.inv(matrix)).tolist() if ok else [None] * len(columns)
+    return df.sparkSession.createDataFrame(list(zip(columns, values, strict=True)), "column string, vif double")

@@ -111,6 +111,21 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[
     return counted_quantiles(materialize(counts), value, "__n", shares)
 
 
+def quantiles_by(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and the quantiles of ``value`` in each group, read off running counts of its distinct
+    values: no task holds those of a whole group."""
+    counts = materialize(df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n")))
+    totals = counts.groupBy(by).agg(F.sum("__n").alias("__all"))
+    upto = prefix_sums(counts, [by], value, {"__n": "__upto"}).join(totals, by)
+    cells = []
+    for name, q in shares.items():
+        at = F.lit(q) * (F.col("__all") - 1)
+        cells += [F.min(F.when(F.col("__upto") > f(at), F.col(value))).alias(f"{name}{end}") for f, end in ((F.floor, "_low"), (F.ceil, "_high"))]
+    found = upto.groupBy(by).agg(F.max("__all").alias("__all"), *cells)
+    place = lambda q: F.lit(q) * (F.col("__all") - 1)
+    return found.select(by, *[(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (place(q) - F.floor(place(q)))).alias(n) for n, q in shares.items()])
+
+
 def bucket_of(value: Column, edges: Sequence[float]) -> Column:
     """Number of the interval (edge, next edge] a value lies in; the first includes its edge."""
     inner = list(edges)[1:-1]

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import logging
-import os
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
@@ -17,6 +15,7 @@ from ..errors import AccountsNotFoundError, AccountsSchemaError, LedgerNotFoundE
 from ..operators.clean import RAW_NAMES
 from ..operators.enrich import RAW_ACCOUNT_NAMES
 from ..operators.graph import as_float32
+from . import store
 
 log = logging.getLogger(__name__)
 
@@ -69,10 +68,13 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_stage(df: DataFrame, path: str, small: bool = False) -> str:
-    """Parquet, rows of a file in order of time; ``small`` halves doubles."""
+def write_stage(df: DataFrame, path: str, small: bool = False, global_order: bool = False) -> str:
+    """Parquet, rows of a file in order of time; ``small`` halves doubles; with ``global_order`` the
+    files follow one another in time too."""
     out = as_float32(df) if small else df
-    (out.sortWithinPartitions("timestamp") if "timestamp" in out.columns else out).write.mode("overwrite").parquet(path)
+    if "timestamp" in out.columns:
+        out = out.orderBy("timestamp") if global_order else out.sortWithinPartitions("timestamp")
+    out.write.mode("overwrite").parquet(path)
     log.info("wrote %s", path)
     return path
 
@@ -101,23 +103,27 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True)
 
 
-def write_metrics(metrics: Mapping, path: str) -> str:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(metrics, file, indent=2, sort_keys=True, default=float)
+def write_metrics(spark: SparkSession, metrics: Mapping, path: str) -> str:
+    store.write_text(spark, path, json.dumps(metrics, indent=2, sort_keys=True, default=float))
     return path
 
 
-def checksum(path: str) -> tuple[str, int]:
-    """md5 and size of a file, as a cold source's pointer records them."""
-    digest, size = hashlib.md5(), 0
-    with open(path, "rb") as file:
-        while chunk := file.read(1 << 20):
-            digest.update(chunk)
-            size += len(chunk)
-    return digest.hexdigest(), size
+def read_metrics(spark: SparkSession, path: str) -> dict:
+    return json.loads(store.read_text(spark, path))
 
 
-def verify_checksum(path: str, md5: str, size: int) -> None:
-    if checksum(path) != (md5, size):
+def write_pointer(spark: SparkSession, path: str) -> str:
+    """Record md5 and size of a cold source beside it."""
+    found, size = store.md5(spark, path)
+    store.write_text(spark, f"{path}.pointer.json", json.dumps({"md5": found, "size": size}))
+    return f"{path}.pointer.json"
+
+
+def verify_pointer(spark: SparkSession, path: str) -> bool:
+    """An error if a file isn't the one that its pointer records; False if it has no pointer."""
+    if not store.exists(spark, f"{path}.pointer.json"):
+        return False
+    wanted = json.loads(store.read_text(spark, f"{path}.pointer.json"))
+    if store.md5(spark, path) != (wanted["md5"], wanted["size"]):
         raise LedgerSchemaError(f"{path} is not the file its pointer records")
+    return True

@@ -1,15 +1,18 @@
 """Operators against hand-made ledgers, brute force and metamorphic checks."""
 
+import dataclasses
 import datetime as dt
 import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import errors
+from ledgerloom import config, errors, scratch
 from ledgerloom.cli import ORDER, Stages, run_stages
+from ledgerloom.functions import columns
 from ledgerloom.ml import experiments, models
 from ledgerloom.operators import clean, enrich, graph, history, metrics, profile, rules, split, stats, windows
 from ledgerloom.sources import files, runs, settings, views
@@ -208,14 +211,26 @@ def test_models_rank_better_than_chance(spark, tmp_path):
     store = str(tmp_path / "store")
     found = experiments.run_experiments(spark, train, val, store, specs)
     assert len(found) == 3 and found[0]["pr_auc"] > 0.6
+    assert found[0]["baseline"] == pytest.approx(experiments.rules_baseline(val)) and found[0]["vs_baseline"] == pytest.approx(found[0]["pr_auc"] / found[0]["baseline"])
     best = runs.best_run(spark, store)
     assert "smote" not in best["name"]
     loaded = runs.load_model(store, best["run_id"])
-    out = experiments.evaluate_on_test(loaded, found[0]["prepared"], val, val)
+    prepared = experiments.prepared_for(train, loaded)
+    out = experiments.evaluate_on_test(loaded, prepared, val, val)
     assert out["drop"] == pytest.approx(0.0) and out["operating_point"]["recall"] >= 0.6
+    assert set(out["tables"]) == {"recall_at_k", "vs_rules", "calibration", "by_payment_format"}
+    assert [runs.register_model(spark, store, "m", best["run_id"], experiments.signature(prepared), val.select(*prepared.numeric)) for _ in range(2)] == [1, 2]
+    kept = runs.registered_model(spark, store, "m")
+    assert kept["version"] == 2 and len(kept["example"]) == 5 and json.loads(kept["signature"])["numeric"] == list(prepared.numeric)
+    assert runs.registered_model(spark, store, "other") is None
+    skipped = experiments.run_experiments(spark, train, val, None, [models.ModelSpec("x", "xgboost"), specs[0]], 0.0)
+    assert [r["name"] for r in skipped] == ["logreg"]
+    with pytest.raises(ValueError):
+        experiments.run_experiments(spark, train, val, None, [models.ModelSpec("x", "unheard of")], 0.0)
     folds = experiments.expanding_folds(train, 3)
     assert [a.count() for a, _ in folds] == sorted(a.count() for a, _ in folds) and sum(b.count() for _, b in folds) + folds[0][0].count() == 400
     table = experiments.tune(specs[0], {"C": [0.1, 1.0]}, train, 2)
+    assert experiments.cv_results(spark, table).columns[-2:] == ["split0_test_score", "split1_test_score"]
     assert [r["rank"] for r in table] == [1, 2] and table[0]["mean_test_score"] >= table[1]["mean_test_score"]
 
 
@@ -224,15 +239,37 @@ def test_streams_equal_batch(spark, tmp_path):
     df = ledger(spark, rows)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = incremental.prior_features(stream).writeStream.format("memory").queryName("prior").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = {r["txn_id"]: (r["src_txn_count_prior"], r["src_unique_dst_prior"], r["src_secs_since_last"]) for r in spark.table("prior").collect()}
-    assert got == {i: (w[0], w[4], w[2]) for i, w in brute_history(rows).items()}
-    q = incremental.hopping_counts(stream, 3).writeStream.format("memory").queryName("hops").outputMode("complete").start()
+    sides = {"src": ("dst", 0, 4, 2), "dst": ("src", 1, 5, 3)}
+    for side, (other, count, partners, gap) in sides.items():
+        q = incremental.prior_features(stream, side, forget="900 days").writeStream.format("memory").queryName(f"prior_{side}").outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+        got = {r["txn_id"]: (r[f"{side}_txn_count_prior"], r[f"{side}_unique_{other}_prior"], r[f"{side}_secs_since_last"]) for r in spark.table(f"prior_{side}").collect()}
+        assert got == {i: (w[count], w[partners], w[gap]) for i, w in brute_history(rows).items()}
+    first = min(r[1] for r in rows)  # minutes after T0, which is a midnight
+    q = incremental.hopping_counts(stream, 3, origin=f"{first % 1440} minutes").writeStream.format("memory").queryName("hops").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("hops").agg(F.sum("n")).first()[0] == 3 * len(rows)
+    days = {(r["account"], (r["day"] - T0 - dt.timedelta(minutes=first)).days): (r["n"], r["partners"], pytest.approx(r["amount"])) for r in spark.table("hops").collect()}
+    nodes = graph.node_table(graph.with_day(df), (3,)).filter("txn_count_in_3d > 0").collect()
+    assert nodes and all(days[r["node"], r["day"]] == (r["txn_count_in_3d"], r["in_degree_3d"], r["amt_in_sum_3d"]) for r in nodes)
+
+
+def test_streams_forget_idle_accounts(spark, tmp_path):
+    df = ledger(spark, [(0, 0, "A", "B", 1.0), (1, 10, "A", "C", 1.0)])
+    later = ledger(spark, [(2, 60 * 24 * 40, "Z", "B", 1.0)])
+    again = ledger(spark, [(3, 60 * 24 * 80, "A", "C", 1.0)])
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(df.schema).parquet(source)
+    for i, part in enumerate((df, later, later.withColumn("txn_id", F.lit(9).cast("long")), again)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        q = incremental.prior_features(stream, forget="10 days").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+    got = {r["txn_id"]: r["src_txn_count_prior"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 9: 1, 3: 0}
 
 
 def test_stages_run_once(spark, tmp_path):
@@ -244,9 +281,22 @@ def test_stages_run_once(spark, tmp_path):
         lines.append(f"{at:%Y/%m/%d %H:%M},{rng.randrange(3)},A{rng.randrange(9)},{rng.randrange(3)},B{rng.randrange(9)},{i}.5,Euro,{i}.5,Euro,{rng.choice(['ACH', 'Cash'])},{int(rng.random() < 0.2)}")
     (tmp_path / "data/raw/transactions.csv").write_text("\n".join(lines))
     (tmp_path / "data/raw/accounts.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nX Bank #1,0,A1,E,Individual #1\n")
-    stages = Stages(spark, str(tmp_path))
-    names = list(ORDER)[:6]
+    (tmp_path / "params.json").write_text(json.dumps({"tuning": {"n_splits": 2, "scoring": "average_precision", "grids": {"logreg": {"C": [0.1], "max_iter": [5]}}}}))
+    specs = [models.ModelSpec("logreg", "logreg", {"max_iter": 10}), models.ModelSpec("boosted", "boosted", {"rounds": 2, "depth": 2})]
+    stages = Stages(spark, str(tmp_path), specs=specs)
+    names = list(ORDER)
+    with pytest.raises(errors.NoRunError):
+        stages.evaluate()
+    files.write_pointer(spark, stages.at("raw", "transactions.csv"))
     assert run_stages(stages, names) == names and run_stages(stages, names) == []
+    changed = Stages(spark, str(tmp_path), dataclasses.replace(config.DEFAULT, target_recall=0.5), specs)
+    assert run_stages(changed, ["evaluate"]) == ["evaluate"]
+    for report in ("comparison", "importances", "cv_results_logreg", "test_by_payment_format", "test_by_src_entity_type", "test_calibration", "test_recall_at_k", "test_vs_rules"):
+        assert files.read_report(spark, stages.at("reports", report)).count() > 0, report
+    prepared = models.Prepared.fit(stages.part("train"))
+    assert len(prepared.numeric) + len(prepared.boolean) + len(prepared.frequent) == 59
+    assert files.read_metrics(spark, stages.at("reports", "dropped_tail.json"))["rows"] == 400
+    assert runs.registered_model(spark, stages.at("models", "store"), "ledger_model")["version"] >= 1
     assert files.read_report(spark, stages.at("reports", "baseline_individual")).count() == 7
     assert stages.part("train").columns[-1] == "split" and len(graph.model_inputs(stages.part("val").columns)) == 43
 
@@ -259,15 +309,116 @@ def test_settings_and_files(spark, tmp_path):
     for bad in (path, tmp_path / "none.json"):
         with pytest.raises(errors.TuningError):
             settings.load_tuning(str(bad))
-    files.write_metrics({"a": 1.5}, str(tmp_path / "m/x.json"))
-    md5, size = files.checksum(str(tmp_path / "m/x.json"))
-    files.verify_checksum(str(tmp_path / "m/x.json"), md5, size)
+    file = files.write_metrics(spark, {"a": 1.5}, str(tmp_path / "m/x.json"))
+    assert files.read_metrics(spark, file) == {"a": 1.5} and not files.verify_pointer(spark, file)
+    files.write_pointer(spark, file)
+    assert files.verify_pointer(spark, file)
+    files.write_metrics(spark, {"a": 2}, file)
     with pytest.raises(errors.LedgerSchemaError):
-        files.verify_checksum(str(tmp_path / "m/x.json"), md5, size + 1)
+        files.verify_pointer(spark, file)
     files.write_report(scores(spark), str(tmp_path / "r"))
     assert files.read_report(spark, str(tmp_path / "r")).count() == 6
 
 
+def test_ids_keep_the_order_of_files(spark, tmp_path):
+    header = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering"
+    for k, name in enumerate("ab c"):
+        rows = [f"2022/09/01 00:20,1,A{i % 5},2,B,{1000 * k + i}.0,Euro,{1000 * k + i}.0,Euro,ACH,{i % 2}" for i in range(400)]
+        (tmp_path / f"{k}{name}.csv").write_text("\n".join([header, *rows]) + "\n")
+    small = {"spark.sql.files.maxPartitionBytes": "5000", "spark.sql.files.openCostInBytes": "10"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        for path, n in ((tmp_path, 1600), (tmp_path / "0a.csv", 400)):
+            df = files.read_transactions(spark, str(path))
+            assert df.rdd.getNumPartitions() > 3
+            found = [r["amount_paid"] for r in sorted(df.collect(), key=lambda r: r["txn_id"])]
+            assert found == sorted(found) and df.select("txn_id").distinct().count() == n
+        bare = files.read_transactions(spark, str(tmp_path)).drop("txn_id")
+        one, two = clean.add_txn_id(bare.union(bare)), clean.add_txn_id(bare.repartition(5).union(bare))
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.select("txn_id").distinct().count() == 3200
+        made = clean.clean(bare.repartition(4)).withColumn("score", F.lit(1.0))  # ids of all sizes
+        assert made.agg(F.max("txn_id")).first()[0] > 1 << 60
+        assert metrics.recall_at_k(made, ks=(10,)).first()["k"] == 10 and rules.precision_at_k(made.withColumn("rule_score", F.lit(1)), (10,)).count() == 1
+        gone = clean.tail_summary(clean.parse_timestamp(bare)).first()
+        assert (gone["rows"], gone["dropped"], gone["dropped_rate"]) == (1600, 0, None)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
+def test_rows_are_counted_after_joins(spark):
+    df = spark.range(5)
+    assert enrich.require_same_rows(df, df) is df
+    with pytest.raises(errors.RowCountError):
+        enrich.require_same_rows(df, df.union(df))
+
+
+def test_small_tools(spark):
+    df = spark.createDataFrame([("Portugal Bank #4507",), ("no number",), (None,), ("#x #12",)], "s string")
+    assert [r[0] for r in df.select(columns.number_after(F.col("s"))).collect()] == [4507.0, None, None, 12.0]
+    rows = ledger(spark, [(i, i, "A", "B", 1.0, "ACH", int(i % 5 == 0)) for i in range(100)])
+    sampled = profile.sample_for_plots(rows, 30)
+    assert sampled.count() == 50 and sampled.collect() == profile.sample_for_plots(rows, 30).collect()
+    assert split.two_way(rows).filter("split = 'fit'").count() == 70
+    faults = {r["split"]: tuple(r)[1:] for r in split.split_faults(split.with_split(rows)).collect()}
+    assert faults == {"train": (False, True, False), "val": (False, True, False), "test": (False, True, False)}
+    mixed = split.with_split(rows).withColumn("split", F.when(F.col("txn_id") == 99, "train").otherwise(F.col("split")))
+    assert {r["split"] for r in split.split_faults(mixed).filter("overlaps_next").collect()} == {"train"}
+
+
+def test_vif_equals_regressions(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3))
+    x[:, 2] += 0.8 * x[:, 0]
+    got = {r["column"]: r["vif"] for r in stats.vif(spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double"), ("a", "b", "c")).collect()}
+    for i, c in enumerate("abc"):
+        others = np.column_stack([np.ones(300), np.delete(x, i, 1)])
+        left = x[:, i] - others @ np.linalg.lstsq(others, x[:, i], rcond=None)[0]
+        assert got[c] == pytest.approx(((x[:, i] - x[:, i].mean()) ** 2).sum() / (left**2).sum())
+    same = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "a double, b double")
+    assert [r["vif"] for r in stats.vif(same, ("a", "b")).collect()] == [None, None]
+
+
+def test_running_sums_over_many_ranges(spark):
+    rng = random.Random(8)
+    values = sorted({(g, rng.randrange(10**6)) for g in "aaab" for _ in range(800)})
+    table = scratch.materialize(spark.createDataFrame([(g, v, rng.randrange(5)) for g, v in values], "g string, v long, w long"))
+    for by in ([], ["g"]):
+        whole = {(r["g"], r["v"]): r["s"] for r in windows.prefix_sums(table, by, "v", {"w": "s"}).collect()} if by else None
+        some = {(r["g"], r["v"]): r["s"] for r in windows.prefix_sums(table, by, "v", {"w": "s"}, bucket_rows=100).collect()} if by else None
+        if by:
+            assert whole == some
+    distinct = scratch.materialize(table.groupBy("v").agg(F.sum("w").alias("w")))
+    got = [[tuple(r) for r in windows.prefix_sums(distinct, [], "v", {"w": "s"}, bucket_rows=n).orderBy("v").collect()] for n in (100, 1 << 20)]
+    assert got[0] == got[1] and got[0][-1][2] == sum(r[1] for r in got[0])
+
+
+def test_fisher_sums_from_the_mode():
+    def whole(a, b, c, d):
+        row, column, n = a + b, a + c, a + b + c + d
+        weights = [math.comb(row, k) * math.comb(n - row, column - k) for k in range(max(0, column - n + row), min(row, column) + 1)]
+        own = math.comb(row, a) * math.comb(n - row, column - a)
+        return sum(w for w in weights if w <= own * (1 + 1e-9)) / math.comb(n, column)
+
+    rng = random.Random(1)
+    for _ in range(300):
+        table = tuple(rng.randrange(0, 30) for _ in range(4))
+        assert stats.fisher_exact(table)[1] == pytest.approx(whole(*table), rel=1e-7)
+    assert 0 <= stats.fisher_exact((5_000_000, 5_100_000, 5_050_000, 4_990_000))[1] < 1e-9
+
+
+def test_neighbours_of_any_number_of_points(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    points = scratch.materialize(spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "i long, x array<double>").repartition(4))
+    want = {(i, p + 1): list(x[j]) for i in range(60) for p, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j: (round(((x[i] - x[j]) ** 2).sum(), 9), j))[:5])}
+    for block_bytes in (8 << 20, 200):
+        found = models.nearest_others(points, 5, block_bytes).collect()
+        distance = lambda i, z: round(float(((x[i] - np.array(z)) ** 2).sum()), 9)
+        assert {(r["i"], r["place"]): distance(r["i"], r["z"]) for r in found} == {k: distance(k[0], z) for k, z in want.items()}
+
+
 def test_logreg_scores_are_the_production_model(spark, sf_dir, monkeypatch):
     from ledgerloom.plans import registry
 
