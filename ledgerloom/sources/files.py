@@ -48,6 +48,7 @@ def with_place(df: DataFrame, name: str = "txn_id") -> DataFrame:
     if len(paths) < 2:
         return df.withColumn(name, at)
     known = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "__path string, __file long")
+    known = F.broadcast(known) if len(paths) <= 100_000 else known  # a short row for each file
     placed = df.select("*", at.alias(name), F.col("_metadata.file_path").alias("__path")).join(known, "__path", "left")
     number = F.coalesce(F.col("__file"), F.raise_error(F.lit("a scanned file isn't in the listing")).cast("long"))
     return placed.withColumn(name, F.shiftleft(number, 40) + F.col(name)).drop("__path", "__file")
