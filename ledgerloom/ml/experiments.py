@@ -89,16 +89,19 @@ def importance_table(spark: SparkSession, found: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, place int, feature string, importance double")
 
 
-def expanding_folds(df: DataFrame, n_splits: int = 3) -> list[tuple[DataFrame, DataFrame]]:
-    """(train, test) folds in order of time: each trains on all rows before its test rows. Bounds
-    are positions in time order, looked up as quantiles; rows of one moment stay together."""
-    us = micros("timestamp")
+def fold_cuts(df: DataFrame, n_splits: int = 3) -> list[int]:
+    """Where the folds' training rows end: positions in time order, looked up as quantiles."""
     parts = n_splits + 1
-    cuts = exact_quantiles(df.select(us.alias("us")), "us", [i / parts for i in range(1, parts)]) + [None]
-    out = []
-    for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-        out.append((df.filter(us <= int(a)), df.filter(us > int(a)) if b is None else df.filter((us > int(a)) & (us <= int(b)))))
-    return out
+    found = exact_quantiles(df.select(micros("timestamp").alias("us")), "us", [i / parts for i in range(1, parts)])
+    return [int(c) for c in found if c is not None]
+
+
+def expanding_folds(df: DataFrame, n_splits: int = 3) -> list[tuple[DataFrame, DataFrame]]:
+    """(train, test) folds in order of time: each trains on all rows before its test rows; rows of one
+    moment stay together."""
+    us, cuts = micros("timestamp"), fold_cuts(df, n_splits)
+    ends = [*cuts[1:], None]
+    return [(df.filter(us <= a), df.filter(us > a) if b is None else df.filter((us > a) & (us <= b))) for a, b in zip(cuts, ends, strict=True)]
 
 
 def grid(options: dict[str, list]) -> list[dict]:

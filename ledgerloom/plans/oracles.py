@@ -321,6 +321,7 @@ ledger(
     SELECT CAST(count(*) FILTER (NOT is_cross_currency AND y = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT is_cross_currency AND y = 1) AS DOUBLE) AS b,
            CAST(count(*) FILTER (is_cross_currency AND y = 0) AS DOUBLE) AS c, CAST(count(*) FILTER (is_cross_currency AND y = 1) AS DOUBLE) AS d FROM ledger)""",
 )
+_hyper = "exp(lgamma(a+b+1) - lgamma({0}+1) - lgamma(a+b-{0}+1) + lgamma(c+d+1) - lgamma(a+c-{0}+1) - lgamma(c+d-a-c+{0}+1) - lgamma(a+b+c+d+1) + lgamma(a+c+1) + lgamma(b+d+1))"
 _NUMBERS = {"amount_paid": "amount_paid", "amt_pct_ccy": "pct", "src_log_dev": "log_dev", "src_secs_since_last": "src_gap"}
 
 
@@ -334,3 +335,104 @@ features(
     "spearman_pairs",
     _pairs(("amount_paid", "src_log_dev", "src_secs_since_last"), lambda a, b: f"{rounded(r='corr(x, z)')} FROM (SELECT {_rank(a)} AS x, {_rank(b)} AS z FROM features WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"),
 )
+ledger(
+    "fisher_exact",
+    f"""SELECT {rounded(odds_ratio="a * d / nullif(b * c, 0)", p_value="least(1, sum(x) FILTER (x <= own * (1 + 1e-7)))")} FROM (
+    SELECT a, b, c, d, {_hyper.format("a")} AS own, {_hyper.format("k")} AS x
+    FROM (SELECT *, unnest(generate_series(CAST(greatest(0, a + c - (c + d)) AS BIGINT), CAST(least(a + b, a + c) AS BIGINT))) AS k FROM cells)) GROUP BY a, b, c, d""",
+    more="""cells AS (
+    SELECT CAST(count(*) FILTER (NOT is_cross_currency AND y = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT is_cross_currency AND y = 1) AS DOUBLE) AS b,
+           CAST(count(*) FILTER (is_cross_currency AND y = 0) AS DOUBLE) AS c, CAST(count(*) FILTER (is_cross_currency AND y = 1) AS DOUBLE) AS d FROM ledger)""",
+)
+features("strong_pairs", f"SELECT a, b, {R('v')} AS r FROM ({_pairs(tuple(_NUMBERS), lambda a, b: f'(SELECT corr({a}, {b}) FROM features) AS v')}) WHERE abs(v) > 0.05")
+features(
+    "vif",
+    "SELECT column, " + rounded(vif="1 / (1 - (p * p + q * q - 2 * p * q * r) / (1 - r * r))") + """ FROM (
+    SELECT 'amount_paid' AS column, ab AS p, ac AS q, bc AS r FROM pairwise UNION ALL SELECT 'amt_pct_ccy', ab, bc, ac FROM pairwise UNION ALL SELECT 'src_secs_since_last', ac, bc, ab FROM pairwise)""",
+    "pairwise AS (SELECT corr(amount_paid, pct) AS ab, corr(amount_paid, src_gap) AS ac, corr(pct, src_gap) AS bc FROM features WHERE pct IS NOT NULL AND src_gap IS NOT NULL AND amount_paid IS NOT NULL)",
+)
+ledger("plot_sample", "SELECT y AS class, CASE WHEN y = 1 THEN count(*) ELSE least(500, count(*)) END AS n FROM ledger GROUP BY y")
+features(
+    "feature_projection",
+    f"""SELECT {rounded(amt_pct_ccy='pct', src_secs_since_last_log='ln(1 + src_gap)', dst_fanin_ratio='fanin', src_fanout_ratio='fanout', src_log_dev='log_dev', hour_sin='sin(2 * pi() * h / 24)', hour_cos='cos(2 * pi() * h / 24)')},
+    {_THRESHOLDS}, h = 0 AS is_hour_zero, payment_format, src_entity_type, dst_entity_type, src_bank_country, dst_bank_country FROM features LEFT JOIN merged USING (txn_id)""",
+    _CLEAN.removeprefix(_TRANSFERS + ",\n"),
+)
+
+# -- guards
+_MOMENT = "date_trunc('minute', timestamp) >= TIMESTAMP '2024-01-28'"
+ledger(
+    "tail_summary",
+    f"""SELECT count(*) AS rows, count(*) FILTER ({_MOMENT}) AS dropped, CAST(coalesce(sum(y) FILTER ({_MOMENT}), 0) AS BIGINT) AS dropped_positives,
+    {rounded(dropped_rate=f"CAST(sum(y) FILTER ({_MOMENT}) AS DOUBLE) / nullif(count(*) FILTER ({_MOMENT}), 0)")} FROM transfers""",
+)
+ledger("rows_after_merge", "SELECT (SELECT count(*) FROM cleaned) AS before, (SELECT count(*) FROM merged) AS after", _CLEAN)
+_KEPT = "kept AS (SELECT * FROM parted WHERE split = 'test' OR (payment_format NOT IN ('signup', 'view') AND NOT is_self_loop AND NOT is_burn_in))"
+ledger(
+    "split_faults",
+    """SELECT split, sum(y) = 0 AS no_positive, sum(y) < 1000 AS few_positives,
+    coalesce(max(us) > CASE split WHEN 'train' THEN (SELECT min(us) FROM kept WHERE split = 'val') WHEN 'val' THEN (SELECT min(us) FROM kept WHERE split = 'test') END, false) AS overlaps_next
+    FROM kept GROUP BY split""",
+    more=_SPLIT.format("ledger") + ", " + _KEPT,
+)
+ledger(
+    "two_way_split",
+    "SELECT CASE WHEN us <= a THEN 'fit' ELSE 'held_out' END AS split, count(*) AS rows, max(us) AS end_us FROM ledger CROSS JOIN cut GROUP BY 1",
+    more="cut AS (SELECT CAST(floor(quantile_cont(us, 0.7)) AS BIGINT) AS a FROM ledger)",
+)
+ORACLES["name_numbers"] = "SELECT c_custkey, " + R("CAST(nullif(regexp_extract(c_name, '#(\\d+)', 1), '') AS DOUBLE)") + " AS number FROM customer"
+flags(
+    "blind_segments",
+    f"""SELECT segment, positives, {rounded(recall='CAST(caught AS DOUBLE) / positives')} FROM (
+    SELECT currency_paid AS segment, CAST(sum(y) AS BIGINT) AS positives, count(*) FILTER (score >= 0.9 AND y = 1) AS caught FROM flagged WHERE currency_paid IS NOT NULL GROUP BY 1)
+    WHERE positives >= 20 AND CAST(caught AS DOUBLE) / positives < 0.2""",
+)
+
+# -- preparing models
+_PREPARED = {"src_secs_since_last_log": "ln(1 + src_gap)", "src_log_dev": "log_dev", "dst_fanin_ratio": "fanin", "src_fanout_ratio": "fanout", "amt_pct_ccy": "pct"}
+features("prepared_medians", " UNION ALL ".join(f"SELECT '{c}' AS column, {rounded(median=f'median({x})')} FROM features" for c, x in _PREPARED.items()))
+_FREQUENT = "frequent AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, coalesce({c}, 'Unknown') AS value FROM ledger GROUP BY 1, 2 HAVING count(*) >= 0.015 * (SELECT count(*) FROM ledger)" for c in ("payment_format", "currency_paid", "dst_account")
+) + ")"
+ledger("prepared_categories", "SELECT * FROM frequent", more=_FREQUENT)
+features(
+    "prepared_rows",
+    "SELECT txn_id, "
+    + ", ".join(f"{R(f'coalesce({x}, (SELECT median({x}) FROM features))')} AS n_{c}, {R(f'CAST(CAST({x} IS NULL AS INT) AS DOUBLE)')} AS m_{c}" for c, x in list(_PREPARED.items())[:3])
+    + ", " + rounded(b_src_rapid_txn="CAST(CAST(coalesce(src_gap <= 60, false) AS INT) AS DOUBLE)") + ", "
+    + ", ".join(f"CASE WHEN coalesce({c}, 'Unknown') IN (SELECT value FROM frequent WHERE frequent.column = '{c}') THEN coalesce({c}, 'Unknown') ELSE '__infrequent__' END AS c_{c}" for c in ("payment_format", "currency_paid", "dst_account"))
+    + " FROM features",
+    _FREQUENT,
+)
+ledger("class_weights", f"SELECT y AS class, {rounded(weight='(SELECT count(*) FROM ledger) / (2.0 * count(*))')} FROM ledger GROUP BY y")
+ledger(
+    "fold_sizes",
+    """SELECT CAST(f AS BIGINT) AS fold, (SELECT count(*) FROM ledger WHERE us <= q[f + 1]) AS train, (SELECT count(*) FROM ledger WHERE us > q[f + 1] AND (f = 2 OR us <= q[f + 2])) AS test
+    FROM (SELECT list_transform(quantile_cont(us, [0.25, 0.5, 0.75]), lambda x: CAST(floor(x) AS BIGINT)) AS q FROM ledger) CROSS JOIN (SELECT unnest(range(0, 3)) AS f)""",
+)
+ORACLES["top_run"] = f"SELECT CAST(s_suppkey AS VARCHAR) AS run_id, s_name AS name, {R('CAST(s_acctbal AS DOUBLE)')} AS pr_auc FROM supplier WHERE s_name NOT LIKE '%7%' ORDER BY s_acctbal DESC, run_id LIMIT 1"
+
+# -- sinks and back
+ledger(
+    "csv_ledger",
+    f"""SELECT epoch_us(timestamp) AS us, src_account, dst_account, {rounded(amount_paid="amount_paid")}, currency_paid, payment_format, y AS is_laundering, src_account = dst_account AS is_self_loop,
+    timestamp < (SELECT date_trunc('day', min(timestamp)) + INTERVAL 2 DAY FROM cleaned) AS is_burn_in FROM cleaned""",
+    _CLEAN,
+)
+ledger("split_sink", "SELECT split, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, min(us) AS start_us, max(us) AS end_us FROM kept WHERE split = 'val' GROUP BY split", more=_SPLIT.format("ledger") + ", " + _KEPT)
+ledger("stage_sink", f"SELECT txn_id, {R('round(CAST(CAST(amount_paid AS FLOAT) AS DOUBLE), 1)')} AS amount_paid FROM ledger")
+ledger("report_sink", f"SELECT value, n, lift FROM ({_LIFT.format('payment_format')})")
+
+# -- streams
+_LOGS = "avg(ln(1 + amount_paid)) OVER"
+for _side, _other, _w in (("src", "dst", _SRC), ("dst", "src", _DST)):
+    features(
+        f"stream_prior_{_side}",
+        f"""SELECT txn_id, {_side}_n AS {_side}_txn_count_prior, {_side}_u AS {_side}_unique_{_other}_prior, {rounded(**{f'{_side}_secs_since_last': f'{_side}_gap', f'{_side}_log_mean_prior': 'm'})}
+        FROM (SELECT *, {_LOGS} ({_w}) AS m FROM features)""",
+    )
+ledger(
+    "stream_windows",
+    f"""SELECT dst_account AS account, day_us, count(*) AS n, {rounded(amount='sum(amount_paid)', largest='max(amount_paid)')}, count(DISTINCT src_account) AS partners
+    FROM (SELECT *, (us // 86400000000 + unnest([1, 2, 3])) * 86400000000 AS day_us FROM ledger) GROUP BY 1, 2""",
+)

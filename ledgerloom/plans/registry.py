@@ -7,16 +7,20 @@ places, moments are epoch microseconds.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..config import MODEL_METRICS
-from ..functions.columns import micros
-from ..ml import models
+from ..functions.columns import micros, number_after
+from ..ml import experiments, models
 from ..operators import clean, enrich, graph, history, metrics, profile, rules, split, stats
+from ..sources import files, runs
 from ..sources.views import VIEW_SETTINGS as S
 from ..sources.views import ledger, table, transfers
+from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -466,6 +470,171 @@ def spearman_pairs(spark, sf_dir):
     return stats.spearman(features(spark, sf_dir), ("amount_paid", "src_log_dev", "src_secs_since_last"))
 
 
+@query
+def strong_pairs(spark, sf_dir):
+    return stats.strong_pairs(stats.pearson(features(spark, sf_dir), ("amount_paid", "amt_pct_ccy", "src_log_dev", "src_secs_since_last")), 0.05)
+
+
+@query
+def vif(spark, sf_dir):
+    return stats.vif(features(spark, sf_dir), ("amount_paid", "amt_pct_ccy", "src_secs_since_last"))
+
+
+@query
+def plot_sample(spark, sf_dir):
+    sampled = profile.sample_for_plots(ledger(spark, sf_dir), 500, S)
+    return sampled.groupBy(F.col(S.target).cast("long").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def feature_projection(spark, sf_dir):
+    kinds = merged(spark, sf_dir).select("txn_id", *[f"{s}_{a}" for s in ("src", "dst") for a in enrich.ATTRIBUTES])
+    return history.feature_matrix(features(spark, sf_dir).join(kinds, "txn_id", "left"))
+
+
+# -- guards ---------------------------------------------------------------------------------------
+
+
+@query
+def tail_summary(spark, sf_dir):
+    return clean.tail_summary(clean.parse_timestamp(raw_ledger(spark, sf_dir)), S)
+
+
+@query
+def rows_after_merge(spark, sf_dir):
+    before = cleaned(spark, sf_dir)
+    after = enrich.require_same_rows(before, merged(spark, sf_dir), "merge")
+    return before.agg(F.count(F.lit(1)).alias("before")).crossJoin(after.agg(F.count(F.lit(1)).alias("after")))
+
+
+@query
+def split_faults(spark, sf_dir):
+    return split.split_faults(split.build_splits(ledger(spark, sf_dir), S), S, few=1000)
+
+
+@query
+def two_way_split(spark, sf_dir):
+    return split.two_way(ledger(spark, sf_dir)).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.max(micros("timestamp")).alias("end_us"))
+
+
+@query
+def name_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", number_after(F.col("c_name")).alias("number"))
+
+
+@query
+def blind_segments(spark, sf_dir):
+    return metrics.blind_segments(metrics.segment_recall(scored(spark, sf_dir), "currency_paid", 0.9, settings=S)).select("segment", "positives", "recall")
+
+
+# -- preparing models -------------------------------------------------------------------------------
+
+_NUMBERS = ("src_secs_since_last_log", "src_log_dev", "dst_fanin_ratio", "src_fanout_ratio", "amt_pct_ccy")
+
+
+@query
+def prepared_medians(spark, sf_dir):
+    return models.medians_of(features(spark, sf_dir), _NUMBERS)
+
+
+@query
+def prepared_categories(spark, sf_dir):
+    return models.frequent_categories(ledger(spark, sf_dir), ("payment_format", "currency_paid", "dst_account"), 0.015)
+
+
+@query
+def prepared_rows(spark, sf_dir):
+    made = features(spark, sf_dir)
+    ready = models.Prepared.fit(made, _NUMBERS[:3], ("src_rapid_txn",), ("payment_format", "currency_paid", "dst_account"), 0.015).transform(made)
+    return ready.select("txn_id", *[f"{p}_{c}" for c in _NUMBERS[:3] for p in "nm"], "b_src_rapid_txn", "c_payment_format", "c_currency_paid", "c_dst_account")
+
+
+@query
+def class_weights(spark, sf_dir):
+    return models.with_weight(ledger(spark, sf_dir), S).groupBy(F.col(S.target).cast("long").alias("class")).agg(F.max("weight").alias("weight"))
+
+
+@query
+def fold_sizes(spark, sf_dir):
+    folds = experiments.expanding_folds(ledger(spark, sf_dir), 3)
+    sizes = [a.agg(F.lit(i).cast("long").alias("fold"), F.count(F.lit(1)).alias("train")).crossJoin(b.agg(F.count(F.lit(1)).alias("test"))) for i, (a, b) in enumerate(folds)]
+    return reduce(DataFrame.union, sizes)
+
+
+@query
+def top_run(spark, sf_dir):
+    """Runs as the suppliers give them: the balance is the metric, and a 7 in a name excludes."""
+    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("run_id"), F.col("s_name").alias("name"), F.create_map(F.lit("pr_auc"), F.col("s_acctbal").cast("double")).alias("metrics"))
+    return runs.top_run(made, exclude="7").select("run_id", "name", F.col("metrics")["pr_auc"].alias("pr_auc"))
+
+
+# -- sinks and back -----------------------------------------------------------------------------------
+
+
+@query
+def csv_ledger(spark, sf_dir):
+    """The raw ledger through CSV: written, scanned by position, cleaned."""
+    path = scratch.new_path(spark)
+    raw_ledger(spark, sf_dir).select(*clean.RAW_NAMES).write.csv(path, header=True)
+    out = clean.clean(files.read_transactions(spark, path), S)
+    return out.select(micros("timestamp").alias("us"), "src_account", "dst_account", "amount_paid", "currency_paid", "payment_format", "is_laundering", "is_self_loop", "is_burn_in")
+
+
+@query
+def split_sink(spark, sf_dir):
+    path = files.write_splits(split.build_splits(ledger(spark, sf_dir), S), scratch.new_path(spark))
+    return split.split_summary(files.read_split(spark, path, "val"), S).drop("rate")
+
+
+@query
+def stage_sink(spark, sf_dir):
+    path = files.write_stage(ledger(spark, sf_dir).select("txn_id", "timestamp", "amount_paid"), scratch.new_path(spark), small=True, global_order=True)
+    kept = files.read_stage(spark, path)
+    return kept.select("txn_id", F.round(F.col("amount_paid").cast("double"), 1).alias("amount_paid"))
+
+
+@query
+def report_sink(spark, sf_dir):
+    path = files.write_report(profile.categorical_lift(ledger(spark, sf_dir), "payment_format", S), scratch.new_path(spark))
+    return files.read_report(spark, path).select("value", F.col("n").cast("long").alias("n"), "lift")
+
+
+# -- streams ----------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir):
+    """The ledger as a stream of files."""
+    given = ledger(spark, sf_dir).select("txn_id", "timestamp", "src_account", "dst_account", "amount_paid")
+    path = scratch.new_path(spark)
+    given.write.parquet(path)
+    return spark.readStream.schema(given.schema).parquet(path)
+
+
+def _streamed(spark, out, mode):
+    """What a stream has given when all its files are read; the last batch holds all in complete mode."""
+    path = scratch.new_path(spark)
+    write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    run = out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch.new_path(spark)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query
+def stream_prior_src(spark, sf_dir):
+    return _streamed(spark, incremental.prior_features(_stream(spark, sf_dir), "src"), "append").drop("src_account")
+
+
+@query
+def stream_prior_dst(spark, sf_dir):
+    return _streamed(spark, incremental.prior_features(_stream(spark, sf_dir), "dst"), "append").drop("dst_account")
+
+
+@query
+def stream_windows(spark, sf_dir):
+    found = _streamed(spark, incremental.hopping_counts(_stream(spark, sf_dir), 3), "complete")
+    return found.select("account", micros("day").alias("day_us"), "n", "amount", "largest", "partners")
+
+
 # -- models: no SQL says what they are, so they are only run --------------------------------------
 
 

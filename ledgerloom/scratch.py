@@ -21,11 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_SHARED
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of this application's own in the shared folder, for whatever goes there and back."""
+    return f"{_own(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: this cuts the
     lineage, survives lost executors and computes costly columns once."""
     spark = df.sparkSession
-    path = f"{_own(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

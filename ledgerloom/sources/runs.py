@@ -26,10 +26,19 @@ def search_runs(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/runs")
 
 
+def eligible_runs(table: DataFrame, metric: str = "pr_auc", exclude: str = "smote") -> DataFrame:
+    """Runs that have the metric and whose name doesn't contain ``exclude``."""
+    return table.filter(~F.coalesce(F.col("name").contains(exclude), F.lit(False)) & F.col("metrics")[metric].isNotNull())
+
+
+def top_run(table: DataFrame, metric: str = "pr_auc", exclude: str = "smote") -> DataFrame:
+    """The eligible run of the highest metric, of equal ones the first by id, as one row or none."""
+    return eligible_runs(table, metric, exclude).orderBy(F.desc(F.col("metrics")[metric]), "run_id").limit(1)
+
+
 def best_run(spark: SparkSession, store: str, metric: str = "pr_auc", exclude: str = "smote"):
-    """The run of the highest metric whose name doesn't contain ``exclude``; None if there is none."""
-    found = search_runs(spark, store).filter(~F.coalesce(F.col("name").contains(exclude), F.lit(False)) & F.col("metrics")[metric].isNotNull())
-    return found.orderBy(F.desc(F.col("metrics")[metric]), "run_id").first()
+    """``top_run`` of a store, as its row; None if there is none."""
+    return top_run(search_runs(spark, store), metric, exclude).first()
 
 
 def register_model(spark: SparkSession, store: str, name: str, run_id: str, signature: dict, example: DataFrame) -> int:
