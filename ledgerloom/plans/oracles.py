@@ -347,8 +347,8 @@ ledger(
 features("strong_pairs", f"SELECT a, b, {R('v')} AS r FROM ({_pairs(tuple(_NUMBERS), lambda a, b: f'(SELECT corr({a}, {b}) FROM features) AS v')}) WHERE abs(v) > 0.05")
 features(
     "vif",
-    "SELECT column, " + rounded(vif="1 / (1 - (p * p + q * q - 2 * p * q * r) / (1 - r * r))") + """ FROM (
-    SELECT 'amount_paid' AS column, ab AS p, ac AS q, bc AS r FROM pairwise UNION ALL SELECT 'amt_pct_ccy', ab, bc, ac FROM pairwise UNION ALL SELECT 'src_secs_since_last', ac, bc, ab FROM pairwise)""",
+    'SELECT x.column, ' + rounded(vif="1 / (1 - (p * p + q * q - 2 * p * q * r) / (1 - r * r))") + """ FROM (
+    SELECT 'amount_paid' AS column, ab AS p, ac AS q, bc AS r FROM pairwise UNION ALL SELECT 'amt_pct_ccy', ab, bc, ac FROM pairwise UNION ALL SELECT 'src_secs_since_last', ac, bc, ab FROM pairwise) x""",
     "pairwise AS (SELECT corr(amount_paid, pct) AS ab, corr(amount_paid, src_gap) AS ac, corr(pct, src_gap) AS bc FROM features WHERE pct IS NOT NULL AND src_gap IS NOT NULL AND amount_paid IS NOT NULL)",
 )
 ledger("plot_sample", "SELECT y AS class, CASE WHEN y = 1 THEN count(*) ELSE least(500, count(*)) END AS n FROM ledger GROUP BY y")
