@@ -71,4 +71,29 @@ ranked AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op5_vp_search": OP5, "op8_url_filter": OP8, "op9_decontaminate": OP9}
+_PLACES = """
+  SELECT r, i - 1 AS place, '{label}' AS label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs)
+  WHERE w[i : i + {last}] = {words}"""
+_PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+LICENSE_BASE = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+places AS ({" UNION ALL ".join(_PLACES.format(label=label, last=len(words) - 1, words=words) for label, words in _PHRASES.items())}),
+found AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM docs LEFT JOIN found USING (r)
+"""
+
+_ALL = "regexp_extract_all(coalesce(text, ''), '{}')".format
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE
+    WHEN (length({_DIGITS}) - i) % 2 = 1 THEN CAST(substr({_DIGITS}, i + 1, 1) AS INT)
+    ELSE (CAST(substr({_DIGITS}, i + 1, 1) AS INT) * 2) // 10 + (CAST(substr({_DIGITS}, i + 1, 1) AS INT) * 2) % 10 END)) % 10 = 0"""
+PII_BASE = rf"""
+SELECT doc_id, CAST(len({_ALL(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")}) AS BIGINT) AS n_email,
+  CAST(len(list_filter({_ALL(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")}, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(p, 3) AS INT) > 255)) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter({_ALL("[0-9]([ -]?[0-9])+")}, lambda x: length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN})) AS BIGINT) AS n_card,
+  CAST(len(list_filter({_ALL(r"\+[0-9][ ().0-9-]+[0-9]")}, lambda x: length({_DIGITS}) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone
+FROM documents
+"""
+
+ORACLES = {"license_base": LICENSE_BASE, "pii_base": PII_BASE, "op3_line_dedup": OP3, "op5_vp_search": OP5, "op8_url_filter": OP8, "op9_decontaminate": OP9}

@@ -74,10 +74,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read(spark, sf_dir, "documents"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: the base phrases."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: the counts of the base kinds."""
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_html_extraction, op3_line_dedup, op4_language_id, op5_vp_search,
         op6_simhash_dedup, op7_pii, op8_url_filter, op9_decontaminate, op10_bpe,
+        license_base, pii_base,
     )
 }
