@@ -25,22 +25,31 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without texts that are null or have no letter. Learns from the documents themselves; an ambiguous
+    language, a null id or a repeated row is no reason to go."""
     return language_id.keep_identified(docs, language_id.train(docs)).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines that three documents or more hold, but in the largest id that has them. Null texts
+    become empty; rows with a null id lose nothing; no document goes."""
     return _documents(line_dedup.dedup_lines(docs))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id, null ids last, one of
+    equal rows."""
     return simhash_dedup.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the passages of ``benchmark``, and without documents of which no word is left. Null and
+    empty texts stay."""
     return _documents(decontaminate.remove_contamination(docs, read(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts as digests, one row for each document; null texts have no tokens."""
     return encoded(docs)
 
 
