@@ -39,8 +39,8 @@ def fingerprint(spark: SparkSession, paths: list[str], settings: Settings) -> st
 
 class Stages:
     """The stages over one root folder. ``specs``: the models to compare; ``tuning``: the file with the
-    grids, ``params.yaml`` or ``params.json`` of the root by default; ``hot_accounts``: see
-    ``history.build_features``."""
+    grids, ``params.yaml`` or ``params.json`` of the root by default; ``hot_accounts``: no task
+    holds all rows of an account or pair."""
 
     def __init__(self, spark: SparkSession, root: str = ".", settings: Settings = DEFAULT, specs: list | None = None, tuning: str | None = None, hot_accounts: bool = False):
         self.spark, self.root, self.settings, self.specs, self.hot_accounts = spark, root, settings, specs, hot_accounts
@@ -71,7 +71,7 @@ class Stages:
 
     def graph(self) -> None:
         before = files.read_stage(self.spark, self.at("interim", "features"))
-        files.write_stage(graph.build_graph_features(before, self.settings), self.at("interim", "graph"), small=True)
+        files.write_stage(graph.build_graph_features(before, self.settings, self.hot_accounts), self.at("interim", "graph"), small=True)
         enrich.require_same_rows(before, files.read_stage(self.spark, self.at("interim", "graph")), "graph")
 
     def split(self) -> None:

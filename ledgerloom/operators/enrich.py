@@ -26,15 +26,16 @@ def clean_accounts(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return out
 
 
-def duplicate_keys(df: DataFrame, key: str = "account_key") -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys or ("account_key",)).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
-def require_unique(df: DataFrame, key: str = "account_key") -> DataFrame:
+def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` itself, if no key stands twice; otherwise an error that names some."""
-    some = [r[key] for r in duplicate_keys(df, key).orderBy(key).limit(5).collect()]
+    keys = keys or ("account_key",)
+    some = [tuple(r[k] for k in keys) for r in duplicate_keys(df, *keys).orderBy(*keys).limit(5).collect()]
     if some:
-        raise DuplicateAccountKeyError(f"account keys stand twice, such as {some}")
+        raise DuplicateAccountKeyError(f"keys {keys} stand twice, such as {some}")
     return df
 
 

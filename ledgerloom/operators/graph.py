@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MODEL_METRICS, Settings
 from ..functions.columns import clipped, micros, ratio, require_columns
-from .windows import prior_count, prior_mean
+from ..scratch import materialize
+from .enrich import require_unique
+from .windows import prior, prior_count, prior_mean
 
 DAY_US = 86_400_000_000
 METRICS = (
@@ -90,11 +92,25 @@ def node_table(df: DataFrame, widths: tuple[int, ...] = DEFAULT.widths) -> DataF
     return nodes.select(*out)
 
 
-def pair_features(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    pair, log_amount = ("src_account", "dst_account"), F.log1p("amount_paid")
-    df = df.withColumn("pair_txn_count_prior", prior_count(*pair))
-    deviation = F.when(F.col("pair_txn_count_prior") >= settings.min_pair_prior, log_amount - prior_mean(log_amount, *pair))
-    return df.withColumns({"is_first_interaction": F.col("pair_txn_count_prior") == 0, "pair_amt_log_dev": deviation})
+def pair_features(df: DataFrame, settings: Settings = DEFAULT, hot_pairs: bool = False) -> DataFrame:
+    """Prior transfers of a pair, whether this is its first, and the log distance from its own
+    geometric mean. ``hot_pairs``: no task may hold all rows of a pair; they are cut by day, and each
+    day starts from what the days before it sum up to."""
+    pair, log_amount = ["src_account", "dst_account"], F.log1p("amount_paid")
+    if hot_pairs:
+        df = df.withColumn("__chunk", F.date_trunc("day", "timestamp"))
+        before = Window.partitionBy(*pair).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        sums = df.groupBy(*pair, "__chunk").agg(F.count(F.lit(1)).alias("__n"), F.count(log_amount).alias("__a"), F.coalesce(F.sum(log_amount), F.lit(0.0)).alias("__s"))
+        starts = sums.select(*pair, "__chunk", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("__n", "__a", "__s")])
+        within = prior(*pair, "__chunk")
+        known = F.col("__a0") + F.count(log_amount).over(within)
+        mean = (F.col("__s0") + F.coalesce(F.sum(log_amount).over(within), F.lit(0.0))) / F.nullif(known, F.lit(0).cast("long"))
+        df = df.join(starts, [*pair, "__chunk"]).withColumns({"pair_txn_count_prior": F.col("__n0") + prior_count(*pair, "__chunk"), "__mean": mean})
+        df = df.drop("__chunk", "__n0", "__a0", "__s0")
+    else:
+        df = df.withColumns({"pair_txn_count_prior": prior_count(*pair), "__mean": prior_mean(log_amount, *pair)})
+    deviation = F.when(F.col("pair_txn_count_prior") >= settings.min_pair_prior, log_amount - F.col("__mean"))
+    return df.withColumns({"is_first_interaction": F.col("pair_txn_count_prior") == 0, "pair_amt_log_dev": deviation}).drop("__mean")
 
 
 def join_side(df: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
@@ -119,10 +135,11 @@ def accelerations(df: DataFrame, short: int = 1, long: int = 7) -> DataFrame:
     return df.withColumns({f"{s}_{m}_accel": ratio(F.col(f"{s}_{m}_{short}d"), F.col(f"{s}_{m}_{long}d")) for s in ("src", "dst") for m in ("in_degree", "out_degree")})
 
 
-def build_graph_features(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Two joins bring all widths to both sides; counts without activity are 0, the rest NULL."""
-    dated = with_day(pair_features(df, settings))
-    nodes = node_table(dated, settings.widths)
+def build_graph_features(df: DataFrame, settings: Settings = DEFAULT, hot_pairs: bool = False) -> DataFrame:
+    """Two joins bring all widths to both sides; counts without activity are 0, the rest NULL. The
+    node table is computed once for both, and (node, day) is made sure to be its key."""
+    dated = with_day(pair_features(df, settings, hot_pairs))
+    nodes = require_unique(materialize(node_table(with_day(df), settings.widths)), "node", "day")
     out = join_side(join_side(dated, nodes, "src"), nodes, "dst")
     out = out.fillna(0, subset=[f"{s}_{m}_{w}d" for s in ("src", "dst") for m in ZERO_FILLED for w in settings.widths])
     if 1 in settings.widths and 7 in settings.widths:

@@ -117,6 +117,15 @@ def test_node_table_equals_brute_force(spark):
     assert want["Z", 1][-1] == 0.5  # a self-loop is its own reverse
 
 
+def test_hot_pairs_have_the_same_history(spark):
+    rows = noisy(300, 7, 3)
+    names = ("txn_id", "pair_txn_count_prior", "is_first_interaction", "pair_amt_log_dev")
+    both = [sorted((r[0], r[1], r[2], None if r[3] is None else round(r[3], 9)) for r in graph.pair_features(ledger(spark, rows), hot_pairs=hot).select(*names).collect()) for hot in (False, True)]
+    assert both[0] == both[1] and len(both[0]) == 300
+    with pytest.raises(errors.DuplicateAccountKeyError):
+        enrich.require_unique(spark.createDataFrame([("a", 1), ("a", 1), ("a", 2)], "node string, day int"), "node", "day")
+
+
 def test_graph_sees_no_future(spark):
     rows = noisy(120, 5)
     columns = ["txn_id", *graph.model_inputs(graph.build_graph_features(ledger(spark, rows[:1])).columns)]
