@@ -64,6 +64,46 @@ def test_license_repeated_notices_have_a_span_each():
     assert got[6] == pytest.approx(0.9) and got[7] == ""
 
 
+def brute_scan(templates, words, min_match, min_cover, max_gap):
+    """Score and labels by all substrings, all places and a quadratic chain."""
+    tokens = [words_of(t.encode()) for _, t in templates]
+    has = lambda part: any(part == t[i : i + len(part)] for t in tokens for i in range(len(t) - len(part) + 1))
+    size = [max(n for n in range(i + 2) if n == 0 or has(words[i - n + 1 : i + 1])) for i in range(len(words))]
+    long = [(i, n) for i, n in enumerate(size) if n >= min_match and (i + 1 == len(words) or size[i + 1] != n + 1)]
+    score, labels = 0.0, set()
+    for (label, _), t in zip(templates, tokens):
+        matches = sorted((i - n + 1, i, a + n - 1) for i, n in long for a in range(len(t) - n + 1) if t[a : a + n] == words[i - n + 1 : i + 1])
+        clusters = []
+        for m in matches:
+            if clusters and m[0] - clusters[-1][-1][1] <= max_gap:
+                clusters[-1].append(m)
+            else:
+                clusters.append([m])
+        for cluster in clusters:
+            best = []
+            for k, (a, b, at) in enumerate(cluster):
+                n = b - a + 1
+                best.append(n + max((best[j] for j in range(k) if cluster[j][1] < a and cluster[j][2] < at - n + 1), default=0))
+            share = min(1.0, max(best) / len(t))
+            score = max(score, share)
+            if share >= min_cover:
+                labels.add(label)
+    return score, ",".join(sorted(labels))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_license_chains_equal_brute_force(seed):
+    rng = random.Random(seed)
+    templates = tuple((f"t{i}", " ".join(rng.choice("abcd") for _ in range(rng.randrange(6, 14)))) for i in range(4))
+    automaton = license_scan.LicenseAutomaton(templates, {})
+    for _ in range(60):
+        parts = [" ".join(rng.choice("abcdx") for _ in range(rng.randrange(8))) for _ in range(3)]
+        pieces = [t.split() for _, t in templates]
+        text = " ".join([parts[0], " ".join(rng.choice(pieces)[: rng.randrange(14)]), parts[1], " ".join(rng.choice(pieces)[rng.randrange(6) :]), parts[2]])
+        got = license_scan.scan_text(automaton, text.encode(), 2, 0.6, 5)
+        assert (got[6], got[5]) == (pytest.approx(brute_scan(templates, words_of(text.encode()), 2, 0.6, 5)[0]), brute_scan(templates, words_of(text.encode()), 2, 0.6, 5)[1]), text
+
+
 def test_license_texts_are_whole_spans():
     automaton = license_scan.LicenseAutomaton()
     longest = {label: max((t for x, t in license_scan.NOTICES if x == label), key=len) for label in ("mit", "apache-2.0", "gpl", "bsd-2-clause", "isc", "zlib", "unlicense")}
