@@ -71,7 +71,7 @@ class Stages:
 
     def graph(self) -> None:
         before = files.read_stage(self.spark, self.at("interim", "features"))
-        files.write_stage(graph.build_graph_features(before, self.settings, self.hot_accounts), self.at("interim", "graph"), small=True)
+        files.write_stage(graph.build_graph_features(before, self.settings, self.hot_accounts, validate=True), self.at("interim", "graph"), small=True)
         enrich.require_same_rows(before, files.read_stage(self.spark, self.at("interim", "graph")), "graph")
 
     def split(self) -> None:

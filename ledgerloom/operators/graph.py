@@ -135,11 +135,13 @@ def accelerations(df: DataFrame, short: int = 1, long: int = 7) -> DataFrame:
     return df.withColumns({f"{s}_{m}_accel": ratio(F.col(f"{s}_{m}_{short}d"), F.col(f"{s}_{m}_{long}d")) for s in ("src", "dst") for m in ("in_degree", "out_degree")})
 
 
-def build_graph_features(df: DataFrame, settings: Settings = DEFAULT, hot_pairs: bool = False) -> DataFrame:
-    """Two joins bring all widths to both sides; counts without activity are 0, the rest NULL. The
-    node table is computed once for both, and (node, day) is made sure to be its key."""
+def build_graph_features(df: DataFrame, settings: Settings = DEFAULT, hot_pairs: bool = False, validate: bool = False) -> DataFrame:
+    """Two joins bring all widths to both sides; counts without activity are 0, the rest NULL. By its
+    last grouping (node, day) is the node table's key; ``validate`` writes the table out and counts."""
     dated = with_day(pair_features(df, settings, hot_pairs))
-    nodes = require_unique(materialize(node_table(with_day(df), settings.widths)), "node", "day")
+    nodes = node_table(with_day(df), settings.widths)
+    if validate:
+        nodes = require_unique(materialize(nodes), "node", "day")
     out = join_side(join_side(dated, nodes, "src"), nodes, "dst")
     out = out.fillna(0, subset=[f"{s}_{m}_{w}d" for s in ("src", "dst") for m in ZERO_FILLED for w in settings.widths])
     if 1 in settings.widths and 7 in settings.widths:

@@ -293,7 +293,7 @@ _UNIT = "SELECT '{0}' AS unit, CAST({1} AS BIGINT) AS value, count(*) AS n, CAST
 ledger("temporal_rollup", _UNIT.format("hour", "hour(timestamp)") + " UNION ALL " + _UNIT.format("dayofweek", "isodow(timestamp) - 1"))
 ledger("daily_rollup", f"SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, {rounded(rate='avg(y)')} FROM ledger GROUP BY 1")
 ORACLES["column_profile"] = " UNION ALL ".join(
-    f"""SELECT '{c}' AS column, count(*) - count({c}) AS nulls, {R(f'1.0 - count({c}) / CAST(count(*) AS DOUBLE)')} AS null_pct, count(DISTINCT {c}) AS unique,
+    f"""SELECT '{c}' AS column, CASE any_value(typeof({c})) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(any_value(typeof({c}))) END AS dtype, count(*) - count({c}) AS nulls, {R(f'1.0 - count({c}) / CAST(count(*) AS DOUBLE)')} AS null_pct, count(DISTINCT {c}) AS unique,
     {R(f'count(DISTINCT {c}) / CAST(count(*) AS DOUBLE)')} AS unique_pct, min(CAST({c} AS VARCHAR)) AS example, count(DISTINCT {c}) <= 1 AS is_constant, count(DISTINCT {c}) / CAST(count(*) AS DOUBLE) > 0.9 AS is_identifier FROM customer"""
     for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
 )

@@ -399,7 +399,7 @@ def daily_rollup(spark, sf_dir):
 
 @query
 def column_profile(spark, sf_dir):
-    return profile.column_profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]).drop("dtype")
+    return profile.column_profile(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 
 
 @query
@@ -640,6 +640,6 @@ def stream_windows(spark, sf_dir):
 
 @query
 def logreg_scores(spark, sf_dir):
-    train = features(spark, sf_dir)
+    train = scratch.materialize(features(spark, sf_dir))  # read by every step of a fit
     prepared, model = models.fit(models.default_specs()[0], train, settings=S)
     return models.score(model, prepared, train).select("txn_id", "score")

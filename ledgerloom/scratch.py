@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SHARED = "/tmp/checkpoints/ledgerloom"
 
 
+_leaving: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where that is unset, a local one if the master is
     local; on a cluster this is an error, as executors couldn't read each other's parts."""
@@ -32,6 +35,11 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
+    own = _own(spark)
+    if own not in _leaving:  # what is left goes with the application
+        _leaving.add(own)
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
