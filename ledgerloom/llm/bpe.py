@@ -44,6 +44,40 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain_bytes} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class PairTable:
+    """Ranks of pairs of ids in an open hash table of arrays, to be asked for many pairs at once."""
+
+    def __init__(self, ranks: dict[int, int]):
+        self.bits = max(4, (4 * len(ranks)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.zeros(1 << self.bits, np.int64)
+        left = np.array(list(ranks), np.int64)
+        values = np.array(list(ranks.values()), np.int64)
+        at = self._home(left)
+        while len(left):  # of those that want a place the first gets it, if it is free
+            places, first = np.unique(at, return_index=True)
+            free = first[self.keys[places] < 0]
+            self.keys[at[free]], self.ranks[at[free]] = left[free], values[free]
+            waits = np.ones(len(left), bool)
+            waits[free] = False
+            left, values, at = left[waits], values[waits], (at[waits] + 1) & (len(self.keys) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray, none: int) -> np.ndarray:
+        keys = a << 32 | b
+        at, out = self._home(keys), np.full(len(keys), none, np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.ranks[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+        return out
+
+
 class Vocabulary:
     """Ids, merge ranks and special tokens of a byte-level BPE file of the tokenizers library."""
 
@@ -62,6 +96,7 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks.setdefault(ids[a] << 32 | ids[b], len(self.made))
             self.made.append(ids[a + b])
+        self._pairs = PairTable(self.ranks)
         self.special: dict[str, int] = {}
         for token in data.get("added_tokens", []):
             if token["single_word"] or token["lstrip"] or token["rstrip"]:
@@ -92,6 +127,50 @@ class Vocabulary:
                 ranks[i] = get(new << 32 | ids[i + 1], none)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words at once, as little-endian 32-bit integers. All words take a step
+        together: in each the first pair of its lowest rank is merged, until none has a pair left.
+        Long words are merged one by one."""
+        out = [array("I", self.merge(w)).tobytes() if len(w) > 64 or not w else b"" for w in words]
+        own = np.array([i for i, w in enumerate(words) if 0 < len(w) <= 64], np.int64)
+        sizes = np.array([len(words[i]) for i in own.tolist()], np.int64)
+        ids = np.array(self.of_byte, np.int64)[np.frombuffer(b"".join([words[i] for i in own.tolist()]), np.uint8)]
+        word = np.repeat(np.arange(len(own)), sizes)  # the word of each token
+        made, none = np.array([*self.made, 0], np.int64), len(self.made)
+
+        def ranked(at: np.ndarray) -> np.ndarray:
+            """The rank of the pair that begins at each place; ``none`` at the end of a word."""
+            after = np.minimum(at + 1, len(ids) - 1)
+            inside = (at + 1 < len(ids)) & (word[at] == word[after])
+            return np.where(inside, self._pairs.get(ids[at], ids[after], none), none)
+
+        rank = ranked(np.arange(len(ids)))
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            sizes = np.diff(np.append(starts, len(ids)))
+            least = np.minimum.reduceat(rank, starts)
+            done = least == none
+            if done.any():
+                raw = ids.astype("<u4").tobytes()
+                for i, a, n in zip(own[word[starts[done]]].tolist(), starts[done].tolist(), sizes[done].tolist(), strict=True):
+                    out[i] = raw[4 * a : 4 * (a + n)]
+                left = np.repeat(~done, sizes)
+                ids, word, rank = ids[left], word[left], rank[left]
+                if not len(ids):
+                    break
+                least, sizes = least[~done], sizes[~done]
+            places = np.flatnonzero(rank == np.repeat(least, sizes))
+            places = places[np.append(True, word[places][1:] != word[places][:-1])]  # the first of each word
+            ids[places] = made[rank[places]]
+            kept = np.ones(len(ids), bool)
+            kept[places + 1] = False
+            ids, word, rank = ids[kept], word[kept], rank[kept]
+            places -= np.arange(len(places))  # so many tokens went before
+            rank[places] = ranked(places)
+            before = places[(places > 0) & (word[places - 1] == word[places])] - 1
+            rank[before] = ranked(before)
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -148,6 +227,7 @@ class Lexicon:
         self.label, self.target, self.number = part("B", edges), part("I", edges), part("I", edges)
         self.offset, self.ids = part("I", words + 1), part("I", ids)
         self.states, self.words = states, words
+        self._edges: tuple[np.ndarray, ...] | None = None
 
     @classmethod
     def mapped(cls, block: bytes) -> Lexicon:
@@ -226,6 +306,37 @@ class Lexicon:
             state = target[edge]
         return total if self.final[state] else -1
 
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """``get`` of many words: all walk the automaton together, a byte at a time."""
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.label):
+            return out
+        if self._edges is None:
+            first = np.frombuffer(self.first, np.uint32).astype(np.int64)
+            states = np.repeat(np.arange(self.states, dtype=np.int64), np.diff(first))
+            # the edges of a state are in order of their labels
+            self._edges = (states << 8 | np.frombuffer(self.label, np.uint8), np.frombuffer(self.target, np.uint32), np.frombuffer(self.number, np.uint32), np.frombuffer(self.final, np.uint8))
+        keys, target, number, final = self._edges
+        sizes = np.array([len(w) for w in words], np.int64)
+        data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        walking = np.flatnonzero(sizes > 0)
+        state, total = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        depth = 0
+        while len(walking):
+            wanted = state[walking] << 8 | data[starts[walking] + depth]
+            edge = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            goes = keys[edge] == wanted
+            walking, edge = walking[goes], edge[goes]
+            state[walking] = target[edge]
+            total[walking] += number[edge]
+            depth += 1
+            there = sizes[walking] == depth
+            for i in walking[there][final[state[walking[there]]] != 0].tolist():
+                rank = int(total[i])
+                out[i] = self.ids[self.offset[rank] : self.offset[rank + 1]].tobytes()
+            walking = walking[~there]
+        return out
+
     def get(self, word: bytes) -> bytes | None:
         """Ids of a word as little-endian 32-bit integers; None if the lexicon hasn't the word."""
         rank = self.rank(word)
@@ -235,24 +346,25 @@ class Lexicon:
 class Encoder:
     """Encodes whole texts: special tokens first, then words, by memo, lexicon or exact merges."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_words: int = 300_000):
-        self.vocabulary, self.lexicon, self.memo_words = vocabulary, lexicon, memo_words
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_words: int = 300_000, chunk_words: int = 200_000):
+        self.vocabulary, self.lexicon, self.memo_words, self.chunk_words = vocabulary, lexicon, memo_words, chunk_words
         self.memo: dict[str, bytes] = {}
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
         self.table = vocabulary.bytes
 
-    def _ids(self, word: str) -> bytes:
-        data = word.encode()
-        found = self.lexicon.get(data) if self.lexicon is not None else None
-        if found is None:
-            ids = self.vocabulary.merge(data)
-            found = array("I", ids).tobytes()
-        if len(self.memo) >= self.memo_words:  # only what is kept for speed is bounded
-            self.memo.clear()
-        if len(data) <= 64:
-            self.memo[word] = found
-        return found
+    def _learn(self, distinct: set[str]) -> None:
+        """Bring the words of a chunk into the memo. If that makes it too large, it keeps only them:
+        what is kept for speed is bounded, by ``memo_words`` or by what a chunk has."""
+        new = [w for w in distinct if w not in self.memo]
+        if len(self.memo) + len(new) > self.memo_words:
+            self.memo = {w: self.memo[w] for w in distinct if w in self.memo}
+        data = [w.encode() for w in new]
+        found = self.lexicon.get_all(data) if self.lexicon is not None else [None] * len(new)
+        unseen = [i for i, f in enumerate(found) if f is None]
+        for i, ids in zip(unseen, self.vocabulary.merge_all([data[i] for i in unseen]), strict=True):
+            found[i] = ids
+        self.memo.update(zip(new, found, strict=True))
 
     def split(self, text: str) -> Iterator[tuple[str, bool]]:
         """(piece, is it a special token) of a text."""
@@ -262,15 +374,32 @@ class Encoder:
         for i, piece in enumerate(self.cut(text)):
             yield piece, i % 2 == 1
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of texts as little-endian 32-bit integers. Texts go in chunks of ``chunk_words`` words
+        or one text, whose distinct words are looked up together."""
         out: list[bytes] = []
-        get = self.memo.get
-        for piece, special in self.split(text):
-            if special:
-                out.append(struct.pack("<I", self.vocabulary.special[piece]))
-            else:
-                out += [get(w) or self._ids(w) for w in split_words(piece)]
-        return b"".join(out)
+        chunk: list[list[tuple[list[str], int | None]]] = []  # the pieces of each text: words, or a special token
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            self._learn(set().union(*[words for pieces in chunk for words, _ in pieces]))
+            get = self.memo.__getitem__
+            for pieces in chunk:
+                out.append(b"".join([struct.pack("<I", token) if token is not None else b"".join(map(get, words)) for words, token in pieces]))
+            chunk.clear()
+            held = 0
+
+        for text in texts:
+            chunk.append([([], self.vocabulary.special[piece]) if special else (split_words(piece), None) for piece, special in self.split(text)])
+            held += sum(len(words) for words, _ in chunk[-1])
+            if held >= self.chunk_words:
+                flush()
+        flush()
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -334,7 +463,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         encoder = Encoder(known, Lexicon.mapped(data))
 
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
-            ids = [encoder.encode(t.decode("utf-8", "replace")) for t in as_bytes(batch.column(batch.schema.get_field_index(text_col)))]
+            ids = encoder.encode_all(t.decode("utf-8", "replace") for t in as_bytes(batch.column(batch.schema.get_field_index(text_col))))
             return [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([encoder.decode(i) for i in ids], pa.string())]
 
         return run

@@ -354,6 +354,22 @@ def test_bpe_equals_the_library(spark, sf_dir):
     assert bpe.encode_texts(docs_of(spark, []), path).count() == 0
 
 
+def test_merges_of_many_words_equal_merges_of_one():
+    vocabulary = bpe.Vocabulary.load(public_tokenizers.path(queries.TOKENIZER))
+    rng = random.Random(6)
+    words = [bytes(rng.randrange(256) for _ in range(rng.randrange(90))) for _ in range(1500)] + [b"a" * n for n in range(80)] + [b"ab" * n for n in range(40)]
+    words += [" ".join(rng.choice(["the", "of", "tion", "ing", "zqx"]) for _ in range(rng.randrange(6))).encode() for _ in range(1500)]
+    one = [np.array(vocabulary.merge(w), "<u4").tobytes() for w in words]
+    assert vocabulary.merge_all(words) == one and vocabulary.merge_all([]) == []
+    lexicon = bpe.Lexicon.mapped(bpe.Lexicon.build({w: vocabulary.merge(w) for w in set(words[::3]) if 0 < len(w) <= 64}))
+    assert lexicon.get_all(words) == [lexicon.get(w) for w in words]
+    assert bpe.Lexicon(bpe.Lexicon.build({})).get_all([b"a", b""]) == [None, None]
+    texts = ["", "one two", "<|endoftext|>", "é" * 500] + [" ".join(w.decode("utf-8", "replace") for w in rng.sample(words, 9)) for _ in range(50)]
+    whole = bpe.Encoder(vocabulary, lexicon).encode_all(texts)
+    tight = bpe.Encoder(vocabulary, lexicon, memo_words=3, chunk_words=5).encode_all(texts)
+    assert whole == tight == [bpe.Encoder(vocabulary).encode(t) for t in texts]
+
+
 def test_narrow_words_equal_the_pattern():
     every = [chr(c) for c in range(0x250)]
     rng = np.random.default_rng(5)
