@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -50,6 +51,13 @@ def join_counted(table: DataFrame, own: DataFrame, key: str, rows: int, hot_keys
     return rest.join(cold, key).unionByName(table.join(F.broadcast(hot), key))
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where its C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``df.mapInArrow`` over batches of at most ``BATCH_ROWS`` rows: Spark's default of 10,000
     whole texts a batch, once in the JVM and again in Python, is too much for a small executor."""
@@ -61,6 +69,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[
     def freed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         pa.default_memory_pool().release_unused()  # the worker lives on
+        _trim()
 
     return df.mapInArrow(freed, schema)
 
